@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["op1_decontaminate", "op3_pack"]
+MODULES = ["op1_decontaminate", "op3_pack", "op4_quality"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
