@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 
 #: The same definition of a word for DuckDB.
 WORD_SQL = r"[0-9a-z\x{80}-\x{10FFFF}]+"
-#: Text bytes that are taken through numpy at once; a longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+#: Text bytes, and rows, that are taken through numpy at once; a longer text is a slice of its own.
+SLICE_BYTES, SLICE_ROWS = 2_000_000, 4096
 
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
@@ -62,11 +62,16 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     if batch.num_rows == 0:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    for a, b in cuts(sizes, most):
+        yield batch.slice(a, b - a)
+
+
+def cuts(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of rows [a, b) with about so many bytes and at most SLICE_ROWS rows."""
     group = np.cumsum(sizes.astype(np.int64)) // most
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
+    rows = np.arange(len(sizes)) // SLICE_ROWS
+    at = [0, *(np.flatnonzero((np.diff(group) != 0) | (np.diff(rows) != 0)) + 1).tolist(), len(sizes)]
+    yield from ((a, b) for a, b in zip(at, at[1:]) if b > a)
 
 
 def spans(body: np.ndarray, at: np.ndarray, table: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
