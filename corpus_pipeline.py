@@ -1,6 +1,8 @@
 """Documents to training sequences: quality, near duplicates, benchmark leaks, secrets, packing.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's docs.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's docs; all but
+the last return the columns of documents. Rejected documents, near duplicates and documents with benchmark items go, secrets are
+cut out of the texts that stay, and what stays is packed.
 """
 
 from __future__ import annotations
@@ -9,18 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from symloom.llm.op1_decontaminate import without_leaks
 from symloom.llm.op3_pack import pack
+from symloom.llm.op4_quality import accepted, fitted
+from symloom.llm.op6_near_dedup import one_of_each
+from symloom.llm.op8_secrets import redacted
 from symloom.llm.store import table, written
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return accepted(docs, fitted(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redacted(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("decontaminate", decontaminate), ("pack", packing)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("pack", packing)]
 #: Models, sketches and packing plans aren't SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
