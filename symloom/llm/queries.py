@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["op1_decontaminate", "op3_pack", "op4_quality", "op6_near_dedup", "op8_secrets"]
+MODULES = ["op1_decontaminate", "op2_ctw", "op3_pack", "op4_quality", "op6_near_dedup", "op7_language", "op8_secrets"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
