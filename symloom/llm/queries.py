@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["op1_decontaminate", "op2_ctw", "op3_pack", "op4_quality", "op5_hamming", "op6_near_dedup", "op7_language", "op8_secrets", "op10_warc"]
+MODULES = ["op1_decontaminate", "op2_ctw", "op3_pack", "op4_quality", "op5_hamming", "op6_near_dedup", "op7_language", "op8_secrets", "op9_suffix_dedup", "op10_warc"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
