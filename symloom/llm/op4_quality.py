@@ -1,9 +1,9 @@
 """Quality classifier: nearest-neighbour voting on labelled latent-semantic vectors.
 
-Terms of a document are its lower-cased words, its runs of symbols, and binned shares of capitals, symbols, repeated words,
-digits and word lengths. Terms that go with a label are weighted by their log-odds; a truncated SVD of the labelled
-documents' term matrix gives the latent space. The labelled vectors are broadcast, and for every document the cosines with all of
-them are computed exactly, block by block; its K nearest, with all that tie with the Kth, vote by similarity.
+Terms of a document are its lower-cased words, the beginnings of longer ones, its runs of symbols, and binned shares of capitals, symbols, repeated words,
+digits and word lengths. For each label (quality, toxicity), the terms that go with it are weighted by their log-odds, and a truncated SVD
+of the labelled documents' term matrix gives a latent space. The labelled vectors are broadcast, and for every document the cosines with
+all of them are computed exactly, block by block; its K nearest, with all that tie with the Kth, vote by similarity.
 
 The labelled rows are a bounded sample (SAMPLE a class, chosen by a hash of doc_id), so the broadcast doesn't grow with the data.
 
@@ -20,10 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm.store import table
-from symloom.llm.words import _WORD, flat, mix, slices, span_hashes, spans
+from symloom.llm.words import _WORD, cuts, flat, mix, powers, slices, span_hashes, spans
 
 #: Labelled rows a class, terms, latent dimensions, neighbours.
 SAMPLE, TERMS, DIMS, K = 1000, 1024, 64, 15
+#: How far a term's shares in the two classes must lie apart, in standard errors; the constant component of every vector.
+LEAST_Z, CONSTANT = 3.0, 2.0
+#: Lengths in bytes of the word beginnings that are terms too: words of one stem share them, whatever their endings.
+BEGINNINGS = (4, 5, 6, 7, 8)
 SCHEMA = "doc_id bigint, p_quality double, p_toxic double, keep boolean"
 
 _SPACE = np.zeros(256, bool)
@@ -52,73 +56,104 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(word), bool)
     again[1:] = (word[1:] == word[:-1]) & (of_word[1:] == of_word[:-1])
     shares = [between(per(_UPPER[raw])) / length, np.bincount(of_symbol, minlength=n) / words_in, between(per(_SYMBOL[raw])) / length, np.bincount(of_word[again], minlength=n) / words_in, between(per(_DIGIT[raw])) / length, np.minimum(np.diff(at) / words_in, 40) / 40]
-    docs, hashes = [of_word, of_symbol], [word, symbol]
+    of_beginning, beginning = beginnings(body, starts, ends)
+    docs, hashes = [of_word, of_symbol, of_word[of_beginning]], [word, symbol, beginning]
     for j, share in enumerate(shares):
         docs.append(np.arange(n))
         hashes.append(mix((np.minimum(share, 1) * 12).round().astype(np.uint64) + np.uint64(1000 * (j + 1))))
     return np.concatenate(docs), np.concatenate(hashes)
 
 
-class Model:
-    """Vocabulary, projection and labelled vectors; judge() gives the votes for texts."""
+def beginnings(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...] = BEGINNINGS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first bytes of words that are longer than so many, and which word each is of."""
+    size, sums = ends - starts, np.zeros(len(starts), np.uint64)
+    of, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    power = powers(max(lengths) + 1)
+    at = np.flatnonzero(size > min(lengths))
+    for j in range(max(lengths)):
+        at = at[size[at] > j]
+        sums[at] += (body[starts[at] + j].astype(np.uint64) + np.uint64(1)) * power[j]
+        if j + 1 in lengths:
+            long = at[size[at] > j + 1]
+            of.append(long)
+            hashes.append(mix(sums[long] ^ np.uint64(0x5851F42D4C957F2D * (j + 1) % 2**64)))
+    return np.concatenate(of), np.concatenate(hashes)
+
+
+def term_sets(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (document, term hash) without repetitions, a slice of the texts at a time."""
+    docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for a, b in cuts(np.array([len(t) for t in texts], np.int64), 300_000):
+        d, h = terms(pa.array(texts[a:b], pa.string()))
+        order = np.lexsort((h, d))
+        d, h = d[order], h[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+        docs.append(d[new] + a)
+        hashes.append(h[new])
+    return np.concatenate(docs), np.concatenate(hashes)
 
-    def __init__(self, texts: list, quality: np.ndarray, toxic: np.ndarray, n_terms: int = TERMS, dims: int = DIMS, k: int = K) -> None:
-        self.k = k
-        self.labels = [None if len(y) == 0 or y.min() == y.max() else y.astype(np.float32) for y in (quality, toxic)]
-        self.vocabulary = np.zeros(0, np.uint64)
-        if len(texts) == 0:
-            return
-        d, h = terms(pa.array(texts, pa.string()))
-        vocabulary, inverse = np.unique(h, return_inverse=True)
-        pair = np.unique(d.astype(np.int64) * len(vocabulary) + inverse)
-        d, t = pair // len(vocabulary), pair % len(vocabulary)
-        weight, score = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
-        for y in self.labels:
-            if y is not None:
-                n1, n0 = y.sum(), (1 - y).sum()
-                p1 = (np.bincount(t, weights=y[d], minlength=len(vocabulary)) + 0.5) / (n1 + 1)
-                p0 = (np.bincount(t, weights=1 - y[d], minlength=len(vocabulary)) + 0.5) / (n0 + 1)
-                p = (p1 * n1 + p0 * n0) / (n1 + n0)
-                z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-                score = np.maximum(score, z)
-                weight = np.maximum(weight, np.where(z >= 3, np.abs(np.log(p1 / p0)), 0))
-        chosen = np.sort(np.lexsort((vocabulary, -score))[:n_terms])
-        chosen = chosen[weight[chosen] > 0]
-        self.vocabulary, self.weight = vocabulary[chosen], weight[chosen].astype(np.float32)
+
+class Space:
+    """The latent space of one label: terms that go with it, the projection, and the labelled vectors.
+
+    Every vector has a constant component besides, so documents without any of the terms are near those that have none either.
+    """
+
+    def __init__(self, docs: np.ndarray, hashes: np.ndarray, y: np.ndarray, n_terms: int, dims: int) -> None:
+        self.y = y.astype(np.float32)
+        vocabulary, t = np.unique(hashes, return_inverse=True)
+        n1, n0 = y.sum(), (1 - y).sum()
+        p1 = (np.bincount(t, weights=y[docs], minlength=len(vocabulary)) + 0.5) / (n1 + 1)
+        p0 = (np.bincount(t, weights=1 - y[docs], minlength=len(vocabulary)) + 0.5) / (n0 + 1)
+        p = (p1 * n1 + p0 * n0) / (n1 + n0)
+        z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+        chosen = np.sort(np.lexsort((vocabulary, -z))[:n_terms])
+        chosen = chosen[z[chosen] >= LEAST_Z]
+        self.vocabulary, self.weight = vocabulary[chosen], np.abs(np.log(p1 / p0))[chosen].astype(np.float32)
         self.near = np.zeros(1 << 16, bool)
         self.near[self.vocabulary >> np.uint64(48)] = True
-        matrix = self.matrix(pa.array(texts, pa.string()))
+        matrix = self.matrix(docs, hashes, len(y))
         values, vectors = np.linalg.eigh((matrix.T @ matrix).astype(np.float64))
         self.projection = vectors[:, np.argsort(-values)[:dims]].astype(np.float32)
-        self.vectors = self.unit(matrix @ self.projection)
-
-    @staticmethod
-    def unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-    def matrix(self, texts: pa.Array) -> np.ndarray:
-        d, h = terms(texts)
-        out = np.zeros((len(texts), len(self.vocabulary)), np.float32)
-        hit = np.flatnonzero(self.near[h >> np.uint64(48)])
-        at = np.minimum(np.searchsorted(self.vocabulary, h[hit]), len(self.vocabulary) - 1)
-        hit, at = hit[self.vocabulary[at] == h[hit]], at[self.vocabulary[at] == h[hit]]
-        out[d[hit], at] = 1
-        return self.unit(out * self.weight)
-
-    def judge(self, texts: pa.Array, block: int = 512) -> list[np.ndarray | None]:
-        """Votes for quality and toxicity; None for a label that the labelled documents don't tell."""
-        if not len(self.vocabulary):
-            return [None, None]
-        own, out = self.unit(self.matrix(texts) @ self.projection), [np.zeros(len(texts)) for _ in self.labels]
+        self.vectors = self.latent(matrix)
+
+    def matrix(self, docs: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, len(self.vocabulary)), np.float32)
+        if len(self.vocabulary):
+            hit = np.flatnonzero(self.near[hashes >> np.uint64(48)])
+            at = np.minimum(np.searchsorted(self.vocabulary, hashes[hit]), len(self.vocabulary) - 1)
+            same = self.vocabulary[at] == hashes[hit]
+            out[docs[hit[same]], at[same]] = 1
+        return out * self.weight
+
+    def latent(self, matrix: np.ndarray) -> np.ndarray:
+        x = np.concatenate([matrix @ self.projection, np.full((len(matrix), 1), CONSTANT, np.float32)], axis=1)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def vote(self, own: np.ndarray, k: int, block: int = 512) -> np.ndarray:
+        """The share of the label among the k nearest labelled vectors and all that tie with the kth, weighted by similarity."""
+        out, k = np.zeros(len(own)), min(k, len(self.vectors))
         for a in range(0, len(own), block):
             near = own[a : a + block] @ self.vectors.T
-            k = min(self.k, near.shape[1])
             kth = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k : near.shape[1] - k + 1]
-            vote = np.where(near >= kth - 1e-5, np.maximum(near, 1e-6), 0)
-            for o, y in zip(out, self.labels):
-                if y is not None:
-                    o[a : a + block] = vote @ y / vote.sum(axis=1)
-        return [o if y is not None else None for o, y in zip(out, self.labels)]
+            weight = np.where(near >= kth - 1e-5, np.maximum(near, 1e-6), 0)
+            out[a : a + block] = weight @ self.y / weight.sum(axis=1)
+        return out
+
+
+class Model:
+    """A space for each label; judge() gives the votes for texts."""
+
+    def __init__(self, texts: list, quality: np.ndarray, toxic: np.ndarray, n_terms: int = TERMS, dims: int = DIMS, k: int = K) -> None:
+        self.k = k
+        docs, hashes = term_sets(texts)
+        self.spaces = [None if len(y) == 0 or y.min() == y.max() else Space(docs, hashes, y, n_terms, dims) for y in (quality, toxic)]
+
+    def judge(self, texts: pa.Array) -> list[np.ndarray | None]:
+        """Votes for quality and toxicity; None for a label that the labelled documents don't tell."""
+        docs, hashes = terms(texts)
+        return [None if s is None else s.vote(s.latent(s.matrix(docs, hashes, len(texts))), self.k) for s in self.spaces]
 
     def keep(self, votes: list[np.ndarray | None], n: int) -> np.ndarray:
         quality, toxic = votes
