@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from symloom.llm.store import BROADCAST_IDS, drop_path, table, with_ids, written
 from symloom.llm.words import SLICE_ROWS, cuts, mix, shingles, slices, words
 
-K, REGISTERS, ROWS, THRESHOLD = 3, 63, 3, 0.5
+K, REGISTERS, ROWS, THRESHOLD = 3, 90, 3, 0.45
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
