@@ -125,7 +125,7 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, level:
         if rows:
             yield one_file(number, rows)
 
-    ordered = spread.repartition(files, "file").sortWithinPartitions("file", "page_id", "url", F.xxhash64("html"), "html").select("file", "page_id", "url", "html")
+    ordered = spread.repartitionById(files, "file").sortWithinPartitions("file", "page_id", "url", F.xxhash64("html"), "html").select("file", "page_id", "url", "html")
     return written(ordered.mapInArrow(run, INDEX), "warc-index")[0]
 
 
