@@ -14,7 +14,6 @@ CALLS = "id bigint, caller_symbol_id bigint, callee_symbol_id bigint, callee_raw
 IMPORTS = "id bigint, file_id bigint, raw_path string, resolved_file_id bigint, resolved_symbol_id bigint, alias string, line int"
 TYPES = "id bigint, symbol_id bigint, relation string, target_symbol_id bigint, target_raw_name string, file_id bigint, line int"
 TABLES = {"files": FILES, "symbols": SYMBOLS, "refs": REFS, "calls": CALLS, "imports": IMPORTS, "types": TYPES}
-EDGES = "src bigint, dst bigint, kind string, kind_rank int, row_id bigint, top_id bigint"
 #: Tables that hang on a file.
 OWNED = ["symbols", "refs", "calls", "imports", "types"]
 
