@@ -46,7 +46,7 @@ def module_path(path: Column, language: Column) -> Column:
 
 def host(url: Column) -> Column:
     """The host of an address as a folder name: other characters than letters, digits, dot, dash and underscore become underscores."""
-    found = F.try_parse_url(url, F.lit("HOST"))
+    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
     return F.coalesce(F.nullif(F.regexp_replace(found, "[^A-Za-z0-9._-]", "_"), F.lit("")), F.lit("local"))
 
 

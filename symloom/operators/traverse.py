@@ -1,7 +1,7 @@
 """Walks over the symbol graph.
 
 What a walk under a budget admits is bounded by the budget, so its order is kept on the driver; each step asks the stored edges, which lie sorted by
-src, for the neighbours of the nodes at hand. Paths have no such bound, so their frontiers are tables.
+src, for the neighbours of the nodes at hand. Paths have no such bound, so their frontiers become tables once they are large.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symloom.operators.graph import KINDS
 from symloom.operators.ids import dense_ids
 from symloom.shared import stored
 
 NODE_COST = 80
 _SEQ = ["kind_rank", "row_id", "top_id"]
+#: Nodes that a path search may keep on the driver.
+ON_DRIVER = 20_000
 #: Nodes up to which a frontier goes into the scan's filter.
 IN_LIST = 1000
 
@@ -97,17 +100,37 @@ def _union(edges: DataFrame, met: list[DataFrame]) -> DataFrame:
     return out.dropDuplicates()
 
 
-def shortest_path(edges: DataFrame, symbols: DataFrame, start: int, goal: int, most_hops: int | None = None) -> list[tuple[int, str | None]] | None:
+def shortest_path(edges: DataFrame, symbols: DataFrame, start: int, goal: int, most_hops: int | None = None, on_driver: int = ON_DRIVER) -> list[tuple[int, str | None]] | None:
     """[(node, kind of the edge that leads to it)], None if either is unknown or no path leads there. Of shortest paths, the one that a breadth-first walk finds first.
 
-    Frontiers and the visited set are tables in the shared folder; the goal is looked for before a level is built, and each level keeps its
-    nodes' order so that ties fall as they would in one queue.
+    As long as the nodes met are few, their order is kept on the driver and a level is one job. Beyond on_driver nodes the search goes over tables in the shared
+    folder, whatever their size: the goal is looked for before a level is built, and levels keep their nodes' order so that ties fall as in one queue.
     """
     known = {r.id for r in symbols.where(F.col("id").isin([start, goal])).select("id").distinct().collect()}
     if {start, goal} - known:
         return None
     if start == goal:
         return [(start, None)]
+    before: dict[int, tuple[int, str] | None] = {start: None}
+    frontier, hops = [start], 0
+    while frontier and (most_hops is None or hops < most_hops):
+        hops += 1
+        new = _new(_from(edges, frontier), list(before), on_driver + 1)
+        if len(before) + len(new) > on_driver:
+            return _path_over_tables(edges, start, goal, most_hops)
+        for r in new:
+            before[r.dst] = (frontier[r.at.pos], KINDS[r.at.kind_rank])
+        if goal in before:
+            trail, node = [], goal
+            while before[node]:
+                trail.append((node, before[node][1]))
+                node = before[node][0]
+            return [(start, None), *reversed(trail)]
+        frontier = [r.dst for r in new]
+    return None
+
+
+def _path_over_tables(edges: DataFrame, start: int, goal: int, most_hops: int | None) -> list[tuple[int, str | None]] | None:
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(start, 0)], "node bigint, pos bigint")
     visited, levels, hops = frontier.select("node"), [frontier], 0

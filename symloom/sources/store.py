@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,8 @@ class Store:
             (df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df).write.parquet(f"{self.path}/{name}/{table}")
             return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}/{table}")
 
-        done = {table: write(table, df) for table, df in tables.items()}
+        with ThreadPoolExecutor(4) as pool:  # tables are independent jobs, most of them small
+            done = dict(zip(tables, pool.map(write, tables, tables.values())))
         write("edges", graph.edges(done["symbols"], done["calls"], done["types"], done["imports"]))
         meta = {"snapshot": name, "previous": before.get("snapshot"), "schema_version": schema_version, "created_at": before.get("created_at", int(time.time())), "indexed_at": int(time.time())}
         staged = f"{self.path}/.{POINTER}.{uuid.uuid4().hex}"
