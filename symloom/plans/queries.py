@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom import render
+from symloom.extract.pipeline import extract
 from symloom.functions import paths
 from symloom.operators import diff, graph, load, lookup, meter, resolve, traverse, tree, verbs
 from symloom.plans.sql import using
 from symloom.sources.projection import Projection, projection
+from symloom.shared import new_path
 from symloom.sources.registry import EXTENSIONS, with_language
 from symloom.streaming.watch import debounced, watched
 
@@ -111,6 +114,41 @@ def _(p):
     return f.select("doc_id", paths.module_path(F.col("path"), F.col("language")).alias("module_path"))
 
 
+#: Languages in turn by brand: extension, a type of two lines, its kind, what precedes its name, and lines before the first.
+_SOURCES = [
+    ("rs", "pub struct {n} {{\n}}\n", "struct", "catalog::brand_{b}::", ""), ("py", "class {n}:\n    pass\n", "class", "catalog.brand_{b}.", ""), ("ts", "export class {n} {{\n}}\n", "class", "catalog::brand_{b}::", ""),
+    ("js", "class {n} {{\n}}\n", "class", "catalog::brand_{b}::", ""), ("go", "type {n} struct {{\n}}\n", "struct", "catalog::", "package catalog\n"), ("java", "class {n} {{\n}}\n", "class", "", ""),
+    ("cs", "class {n} {{\n}}\n", "class", "", ""), ("dart", "class {n} {{\n}}\n", "class", "catalog::brand_{b}::", ""),
+]
+
+
+def _by_brand(value: Callable[[tuple], str]) -> str:
+    return "CASE b % 8 " + " ".join(f"WHEN {i} THEN {value(x)}" for i, x in enumerate(_SOURCES)) + " END"
+
+
+_NAME = "concat(replace(p_name, ' ', '_'), '_', CAST(p_partkey AS VARCHAR(20)))"
+_PREFIX = _by_brand(lambda x: "concat(" + ", ".join(["''", *[f"'{y}'" for y in x[3].split("{b}")[:1] if y], *(["CAST(b AS VARCHAR(9))", "'" + x[3].split("{b}")[1] + "'"] if "{b}" in x[3] else [])]) + ")")
+
+
+@query("o14_extract", f"""SELECT concat('catalog/brand_', CAST(b AS VARCHAR(9)), '.', {_by_brand(lambda x: "'" + x[0] + "'")}) AS path, concat({_PREFIX}, name) AS qualified_name, {_by_brand(lambda x: "'" + x[2] + "'")} AS kind,
+    CAST(2 * i - 1 + CASE WHEN b % 8 = 4 THEN 1 ELSE 0 END AS INT) AS start_line, CAST(2 * i + CASE WHEN b % 8 = 4 THEN 1 ELSE 0 END AS INT) AS end_line
+    FROM (SELECT CAST(substr(p_brand, 7) AS INT) AS b, {_NAME} AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part)""")
+def _(p):
+    """Source files in all eight languages, written from the parts of each brand, and read by the extractors."""
+    part = p.source("part").select(F.substring("p_brand", 7, 9).cast("int").alias("b"), "p_partkey", F.expr(_NAME).alias("name"))
+
+    def template(x: tuple) -> tuple[str, str]:
+        return tuple(y.replace("{{", "{").replace("}}", "}") for y in x[1].split("{n}"))
+
+    head, tail = (F.element_at(F.array(*[F.lit(template(x)[j]) for x in _SOURCES]), F.col("b") % 8 + 1) for j in (0, 1))
+    each = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _SOURCES]), F.col("b") % 8 + 1)
+    one = part.withColumn("code", F.concat(head, "name", tail)).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "code"))).alias("all"))
+    path = F.concat(F.lit("catalog/brand_"), F.col("b").cast("string"), F.lit("."), each(0))
+    content = F.encode(F.concat(each(4), F.array_join(F.col("all.code"), "")), "UTF-8")
+    files = with_language(one.select(path.alias("path"), content.alias("content"))).select("path", "language", "content", F.unhex(F.sha2("content", 256)).alias("content_hash"), F.octet_length("content").cast("bigint").alias("size_bytes"), F.lit(0).cast("bigint").alias("modified_at"))
+    return extract(files).select("path", F.explode("symbols").alias("s")).select("path", "s.qualified_name", "s.kind", "s.start_line", "s.end_line")
+
+
 # --- loading and upkeep
 
 _PARENT_NAME = "regexp_replace(qualified_name, '::[^:]*$', '')"
@@ -456,6 +494,12 @@ def _(p):
     return graph.top_by(s, ["path"], ["start_line", "id"], 2**31 - 1, "position").select((F.col("position") - 1).alias("position"), "path", "id")
 
 
+@query("o59_map_text")
+def _(p):
+    text = render.map_({"scope": "", "depth": 2, "root": tree.build(p.files, p.symbols, p.resolved_calls)})
+    return p.spark.createDataFrame(list(enumerate(text.splitlines())), "line_no bigint, line string")
+
+
 @query("module_dependencies", using("files symbols directed", ", w AS (SELECT id, regexp_replace(path, '/[^/]*$', '') AS dir FROM symbols JOIN files USING (file_id)) SELECT x.dir AS from_dir, y.dir AS to_dir, kind, count(*) AS edges FROM directed d JOIN w x ON x.id = d.a JOIN w y ON y.id = d.b GROUP BY x.dir, y.dir, kind"))
 def _(p):
     return graph.module_dependencies(graph.directed(p.symbols, p.resolved_calls, p.resolved_types, p.resolved_imports), p.symbols, p.files)
@@ -472,6 +516,17 @@ def _(p):
     return debounced(p._sql(_CHANGED), "6 hours")
 
 
+@query("o62_stream_batches")
+def _(p):
+    """The stream itself: events are read as they would arrive, and settled paths leave in batches once the watermark has passed them."""
+    spark, out = p.spark, new_path(p.spark, "settled")
+    folder, _, name = p.source("events").inputFiles()[0].rpartition("/")  # a stream reads a folder: the table's, or the one in which its only file lies
+    events = spark.readStream.schema(p.source("events").schema).option("pathGlobFilter", name if name == "events.parquet" else "*.parquet").parquet(folder)
+    settled = debounced(p._sql(_CHANGED.replace("{events}", "{e}"), e=events).withColumn("ts", F.col("ts").cast("timestamp")), "6 hours")
+    settled.writeStream.outputMode("append").option("checkpointLocation", new_path(spark, "watch")).format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(settled.schema).parquet(out)
+
+
 @query("o61_watched_paths", f"SELECT DISTINCT path FROM ({_KEPT})")
 def _(p):
     return p._sql(_CHANGED).where(watched(F.col("path"))).select("path").distinct()
