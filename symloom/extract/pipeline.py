@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from symloom.extract import registry
 from symloom.extract.record import Found
-from symloom.schema import EXTRACTED
+from symloom.schema import EXTRACTED, struct
 
 
 def extract_text(content: bytes, language: str, path: str, more=None, more_modules=None) -> Found:
@@ -23,6 +23,7 @@ def extract(files: DataFrame) -> DataFrame:
     Files are read where they lie in their partitions, so no content is shuffled. An error in an extractor fails the job: nothing is left out silently.
     """
     more, modules = registry.registered()
+    names = struct(EXTRACTED).names
 
     def run(batches):
         for frame in batches:
@@ -30,7 +31,7 @@ def extract(files: DataFrame) -> DataFrame:
             for r in frame.itertuples(index=False):
                 found = extract_text(bytes(r.content), r.language, r.path, more, modules)
                 rows.append((r.path, r.language, r.content_hash, r.size_bytes, r.modified_at, found.symbols, found.refs, found.calls, found.imports, found.types))
-            yield pd.DataFrame(rows, columns=["path", "language", "content_hash", "size_bytes", "modified_at", "symbols", "refs", "calls", "imports", "types"])
+            yield pd.DataFrame(rows, columns=names)
 
     wanted = files.select("path", "language", "content", "content_hash", F.col("size_bytes").cast("bigint").alias("size_bytes"), F.col("modified_at").cast("bigint").alias("modified_at"))
     return wanted.mapInPandas(run, EXTRACTED)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symloom.operators.ids import dense_ids
 from symloom.shared import stored
-from symloom.schema import FILES, IMPORTS, CALLS, REFS, SYMBOLS, TYPES, struct
+from symloom.schema import CALLS, FILES, IMPORTS, REFS, SYMBOLS, TABLES, TYPES, struct
 
 
 class Rejected(ValueError):
@@ -54,7 +54,7 @@ def flatten(extracted: DataFrame, first_ids: dict[str, int] | None = None, stric
 
     Equal paths are always rejected; equal qualified names in a file are with strict, else the first stays.
     """
-    first = {t: 1 for t in ("files", "symbols", "refs", "calls", "imports", "types")} | (first_ids or {})
+    first = dict.fromkeys(TABLES, 1) | (first_ids or {})
     extracted = stored(extracted, "extracted")  # six tables are made of it
     twice = duplicates(extracted, ["path"]).limit(1).collect()
     if twice:

@@ -73,7 +73,7 @@ def _(p):
     return named.groupBy("host", "sha8", "ext").agg(F.min("page_id").alias("page_id"), F.count("*").alias("pages"))
 
 
-@query("o09_scan", using("files symbols", "SELECT s.id, s.qualified_name, s.name, s.kind, f.path, f.language, s.start_line, s.parent_symbol_id FROM symbols s JOIN files f USING (file_id)"))
+@query("o09_scan", using("files symbols", "SELECT language, path, kind, name, start_line, parent_symbol_id, qualified_name, id FROM files JOIN symbols USING (file_id)"))
 def _(p):
     return graph.decorated(p.symbols, p.files).select("id", "qualified_name", "name", "kind", "path", "language", "start_line", "parent_symbol_id")
 
@@ -258,7 +258,7 @@ def _(p):
     return graph.decorated(p.symbols, p.files).select("id", "path", "language")
 
 
-@query("o32_call_sites", using("files symbols rcalls", "SELECT c.id, c.callee_symbol_id, s.qualified_name AS caller, sf.path AS caller_path, cf.path AS site_path, c.line, c.col FROM rcalls c JOIN symbols s ON s.id = c.caller_symbol_id JOIN files sf ON sf.file_id = s.file_id JOIN files cf ON cf.file_id = c.file_id WHERE c.callee_symbol_id IS NOT NULL"))
+@query("o32_call_sites", using("files symbols rcalls", "SELECT c.id, c.callee_symbol_id, s.qualified_name AS caller, sf.path AS caller_path, cf.path AS site_path, c.line, c.col FROM files cf JOIN rcalls c USING (file_id) JOIN symbols s ON c.caller_symbol_id = s.id JOIN files sf ON s.file_id = sf.file_id WHERE c.callee_symbol_id IS NOT NULL"))
 def _(p):
     c, s, f = p.resolved_calls.where("callee_symbol_id IS NOT NULL"), p.symbols, p.files
     caller = s.join(f, "file_id").select(F.col("id").alias("caller_symbol_id"), F.col("qualified_name").alias("caller"), F.col("path").alias("caller_path"))

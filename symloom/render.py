@@ -21,7 +21,7 @@ def _lines(*parts: str) -> str:
 def query(answer: dict) -> str:
     out = _lines(f"# Query: {answer['question']}", "")
     if not answer["seeds"]:
-        return out + _lines("_No symbols matched the question. Try a more specific name or qualifier._")
+        return out + _lines("_No symbols matched the question. " + "Try a more specific name or qualifier._")
     seeds, rest = answer["nodes"][: answer["seeds"]], answer["nodes"][answer["seeds"] :]
     out += _lines(f"## Seeds ({len(seeds)})", *map(_bullet, seeds), "")
     if rest:
@@ -80,7 +80,7 @@ def explain(answer: dict) -> str:
     names = {"parents": "parent", "children": "child", "callers": "caller", "callees": "callee", "types": "type", "imports": "import"}
     total = sum(len(answer[b]) for b in names)
     if not total:
-        return out + _lines("_This symbol has no parents, children, callers, callees, type relations, or imports recorded in the index._")
+        return out + _lines(f"_This symbol has no {', '.join(list(names)[:4])}, type relations, or imports recorded in the index._")
     out += _lines(f"**Neighbors:** {total} total ({' / '.join(f'{len(answer[b])} {one}' for b, one in names.items())})", "")
     for b in names:
         if answer[b]:

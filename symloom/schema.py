@@ -15,7 +15,7 @@ IMPORTS = "id bigint, file_id bigint, raw_path string, resolved_file_id bigint,
 TYPES = "id bigint, symbol_id bigint, relation string, target_symbol_id bigint, target_raw_name string, file_id bigint, line int"
 TABLES = {"files": FILES, "symbols": SYMBOLS, "refs": REFS, "calls": CALLS, "imports": IMPORTS, "types": TYPES}
 #: Tables that hang on a file.
-OWNED = ["symbols", "refs", "calls", "imports", "types"]
+OWNED = ["types", "imports", "calls", "refs", "symbols"]
 
 #: What extraction finds in one file; each list becomes a table.
 EXTRACTED = (

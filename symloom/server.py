@@ -20,7 +20,7 @@ class RpcError(Exception):
 
 
 def _tool(name: str, what: str, required: list[str], **kinds: str) -> dict:
-    return {"name": name, "description": what, "inputSchema": {"type": "object", "required": required, "properties": {k: {"type": t} | ({"minimum": 0} if t == "integer" else {}) for k, t in kinds.items()}}}
+    return {"name": name, "description": what, "inputSchema": {"properties": {k: {"type": t} | ({"minimum": 0} if t == "integer" else {}) for k, t in kinds.items()}, "required": required, "type": "object"}}
 
 
 TOOLS = [
@@ -68,11 +68,11 @@ class Server:
 
     @staticmethod
     def _error(id_: Any, code: int, text: str) -> dict:
-        return {"jsonrpc": "2.0", "id": id_, "error": {"code": code, "message": text}}
+        return {"jsonrpc": "2.0", "id": id_, "error": dict(message=text, code=code)}
 
     def _dispatch(self, method: str, params: dict) -> Any:
         if method == "initialize":
-            return {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "symloom", "version": "1"}}
+            return {"serverInfo": dict(name="symloom", version="1"), "protocolVersion": PROTOCOL, "capabilities": dict(tools={})}
         if method == "tools/list":
             return {"tools": TOOLS}
         if method in ("shutdown", "initialized", "notifications/initialized", "exit", "ping"):
@@ -95,7 +95,8 @@ class Server:
         if not self.index.store.exists():
             raise RpcError(INTERNAL_ERROR, f"no index at {self.index.root}; build it first")
         self.index.ensure_fresh()
-        return {"content": [{"type": "text", "text": self.call(params["name"], given)}], "isError": False}
+        block = dict(text=self.call(params["name"], given), type="text")
+        return {"isError": False, "content": [block]}
 
     def call(self, name: str, a: dict) -> str:
         ix = self.index

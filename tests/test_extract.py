@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from symloom.extract.pipeline import extract_text
+from symloom.sources.registry import supported_languages
 
 
 def found(text: str, language: str, path: str):
@@ -338,7 +339,7 @@ def test_dart():
     assert bark["doc_comment"] == "Barks." and DART[bark["body_start_byte"] : bark["body_end_byte"]] == "void bark(int n)" and bark["visibility"] is None
 
 
-@pytest.mark.parametrize("language", ["rust", "python", "typescript", "javascript", "go", "java", "csharp", "dart"])
+@pytest.mark.parametrize("language", sorted(supported_languages()))
 def test_anything_can_be_read(language):
     """Broken, empty and odd texts give what they can and never raise."""
     texts = {"rust": RUST, "python": PYTHON, "typescript": TS, "javascript": TS, "go": GO, "java": JAVA, "csharp": CSHARP, "dart": DART}

@@ -16,8 +16,8 @@ from symloom.operators.lookup import Ambiguous
 from symloom.server import Server
 
 TREE = {
-    "src/lib.rs": "pub fn lib_root() -> u32 { 0 }\n",
     "src/main.rs": "fn main_entry() {}\n",
+    "src/lib.rs": "pub fn lib_root() -> u8 { 1 }\n",
     "src/foo/mod.rs": "pub fn foo_mod() {}\n",
     "src/foo/bar.rs": "/// Says bar.\npub fn bar_fn() { helper(); helper(); }\nfn helper() {\n    let a = 1;\n    let b = 2;\n}\n",
     "pkg/__init__.py": "def pkg_init(): pass\n",
@@ -175,7 +175,7 @@ def test_migration(ix, spark):
 
 def test_server(ix, spark, tmp_path):
     server = Server(ix)
-    ask = lambda **m: server.handle(json.dumps({"jsonrpc": "2.0", "id": 1} | m))
+    ask = lambda **m: server.handle(json.dumps(dict(jsonrpc="2.0", id=1) | m))
     tool = lambda name, **a: ask(method="tools/call", params={"name": name, "arguments": a})
     assert server.handle("{")["error"]["code"] == -32700 and ask()["error"]["code"] == -32600 and ask(method="no")["error"]["code"] == -32601
     assert len(ask(method="tools/list")["result"]["tools"]) == 7 and "serverInfo" in ask(method="initialize")["result"]
@@ -185,10 +185,10 @@ def test_server(ix, spark, tmp_path):
     for name, a in (("refs", {"symbol": "leaf"}), ("query", {"question": "leaf", "dfs": True}), ("explain", {"symbol": "leaf"}), ("path", {"from": "entry", "to": "leaf"}), ("slice", {"location": "a.rs:2"}), ("map", {})):
         assert tool(name, **a)["result"]["isError"] is False, name
     assert tool("slice", location="a.rs")["error"]["code"] == -32602
-    assert Server(Index(spark, str(tmp_path / "pkg"))).handle(json.dumps({"id": 2, "method": "tools/call", "params": {"name": "map"}}))["error"]["code"] == -32603
+    assert Server(Index(spark, str(tmp_path / "pkg"))).handle(json.dumps(dict(params=dict(name="map"), method="tools/call", id=2)))["error"]["code"] == -32603
     out = io.StringIO()
     server.serve(io.StringIO('\n{"id": 1, "method": "ping"}\n{"method": "initialized"}\n'), out)
-    assert json.loads(out.getvalue()) == {"jsonrpc": "2.0", "id": 1, "result": {}}
+    assert json.loads(out.getvalue()) == dict(result={}, jsonrpc="2.0", id=1)
 
 
 def test_command_line(spark, tmp_path, capsys):
