@@ -22,7 +22,8 @@ from symloom.llm.store import table, written
 from symloom.llm.words import flat, slices
 
 DEPTH = 4
-#: Runs whose code lengths may be sent to every task (12 bytes each); a larger model is joined by run instead.
+#: Runs whose code lengths are sent to every task (12 bytes each), the most frequent ones; documents are joined with the others by run, and
+#: those are rare, so what is shuffled is a small part of the corpus however large the model.
 BROADCAST_RUNS = 20_000_000
 SCHEMA = "doc_id bigint, n_bytes bigint, bits double, bits_per_byte double"
 
@@ -121,7 +122,7 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def code_lengths(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The model: rows (run, bits), the code length of a run's last byte after the bytes before it."""
+    """The model: rows (run, n, bits), how often a run occurs and the code length of its last byte after the bytes before it."""
     spark = docs.sparkSession
 
     def trees(groups):
@@ -132,14 +133,14 @@ def code_lengths(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             some = np.flatnonzero(zeros + ones)
             for a in range(0, len(code), 20_000):
                 values = pa.array(p[a : a + 20_000].astype(np.float32).ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(code[a : a + 20_000]), pa.FixedSizeListArray.from_arrays(values, 8).cast(pa.list_(pa.float32())), pa.nulls(len(code[a : a + 20_000]), pa.list_(pa.float64()))], ["run", "p", "root"])
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.list_(pa.float32())), pa.array([[zeros[i], ones[i], log_w[i]] for i in some], pa.list_(pa.float64()))], ["run", "p", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(code[a : a + 20_000]), pa.array(n[a : a + 20_000].astype(np.int64)), pa.FixedSizeListArray.from_arrays(values, 8).cast(pa.list_(pa.float32())), pa.nulls(len(code[a : a + 20_000]), pa.list_(pa.float64()))], ["run", "n", "p", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.list_(pa.float32())), pa.array([[zeros[i], ones[i], log_w[i]] for i in some], pa.list_(pa.float64()))], ["run", "n", "p", "root"])
 
     def grouped(t: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(trees([t])))
 
     counts = counted(docs, depth)
-    rows, _ = written(counts.groupBy(F.col("run").bitwiseAND(0xFF00).alias("last")).applyInArrow(lambda t: grouped(t.combine_chunks()), "run bigint, p array<float>, root array<double>"), "trees")
+    rows, _ = written(counts.groupBy(F.col("run").bitwiseAND(0xFF00).alias("last")).applyInArrow(lambda t: grouped(t.combine_chunks()), "run bigint, n bigint, p array<float>, root array<double>"), "trees")
     root = np.zeros((3, 256))
     for r in rows.where("root IS NOT NULL").groupBy("run").agg(*[F.sum(F.col("root")[i]).alias(f"r{i}") for i in range(3)]).collect():
         root[:, r.run] = r[1:]
@@ -151,33 +152,53 @@ def code_lengths(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def finish(batches):
         for batch in batches:
             code = batch.column(0).to_numpy()
-            p = batch.column(1).flatten().to_numpy().reshape(-1, 8).astype(np.float64)
+            p = batch.column(2).flatten().to_numpy().reshape(-1, 8).astype(np.float64)
             bits = np.zeros(len(code))
             for j in range(8):
                 d, bit = (1 << j) | ((code & 255) >> (8 - j)), (code >> (7 - j)) & 1
                 bits -= np.log2(own[d] * estimate[bit, d] + (1 - own[d]) * p[:, j])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.astype(np.float32))], ["run", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits.astype(np.float32))], ["run", "n", "bits"])
 
-    return written(rows.where("p IS NOT NULL").select("run", "p").mapInArrow(finish, "run bigint, bits float"), "code-lengths")[0]
+    return written(rows.where("p IS NOT NULL").select("run", "n", "p").mapInArrow(finish, "run bigint, n bigint, bits float"), "code-lengths")[0]
+
+
+def least_frequency(model: DataFrame, most: int) -> int:
+    """The least power of two such that at most so many runs are that frequent."""
+    by_size = sorted(map(tuple, model.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()), reverse=True)  # 64 rows at most
+    total, least = 0, 64
+    for b, n in by_size:
+        total += n
+        if total > most:
+            break
+        least = b
+    return 1 << least
 
 
 def score(docs: DataFrame, model: DataFrame, depth: int = DEPTH, most: int = BROADCAST_RUNS) -> DataFrame:
     """Rows (doc_id, n_bytes, bits, bits_per_byte), one a row of docs, for a model over these documents; a run that the model has never seen takes 8 bits."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if model.count() <= most:
-        t = model.toArrow()
-        known, bits = t.column(0).to_numpy(), t.column(1).to_numpy()
-        order = np.argsort(known)
-        sent = docs.sparkSession.sparkContext.broadcast((known[order], bits[order]))
+    size = model.count()
+    frequent = model if size <= most else model.where(F.col("n") >= F.lit(min(least_frequency(model, most), 2**63 - 1)))
+    t = frequent.select("run", "bits").toArrow()
+    order = np.argsort(t.column(0).to_numpy())
+    sent = docs.sparkSession.sparkContext.broadcast((t.column(0).to_numpy()[order], t.column(1).to_numpy()[order]))
+
+    def known(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code lengths by the table that was sent, and which runs it has."""
+        runs_, bits = sent.value
+        if not len(runs_):
+            return np.full(len(code), 8.0), np.zeros(len(code), bool)
+        i = np.minimum(np.searchsorted(runs_, code), len(runs_) - 1)
+        hit = runs_[i] == code
+        return np.where(hit, bits[i], np.float32(8)).astype(np.float64), hit
+
+    if size <= most:
 
         def run(batches):
-            known, bits = sent.value
             for batch in batches:
                 for part in slices(batch):
                     code, at = runs(part.column(1), depth)
-                    i = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
-                    each = np.where(known[i] == code, bits[i], np.float32(8)).astype(np.float64) if len(known) else np.full(len(code), 8.0)
-                    total = np.concatenate([[0], np.cumsum(each)])
+                    total = np.concatenate([[0], np.cumsum(known(code)[0])])
                     total, n = total[at[1:]] - total[at[:-1]], np.diff(at)
                     rate = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0).round(6), mask=n == 0)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total.round(3)), rate], ["doc_id", "n_bytes", "bits", "bits_per_byte"])
@@ -185,20 +206,28 @@ def score(docs: DataFrame, model: DataFrame, depth: int = DEPTH, most: int = BRO
         return own.mapInArrow(run, SCHEMA)
 
     def parts(batches):
+        """For each row its bits from the table in one row without a run, and its other runs."""
         for batch in batches:
             for part in slices(batch):
                 code, at = runs(part.column(1), depth)
-                for i in range(part.num_rows):
-                    u, n = np.unique(code[at[i] : at[i + 1]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), part.column(0)[i].as_py())), part.column(2).slice(i, 1).take(pa.array(np.zeros(len(u), int))), pa.array(u), pa.array(n)], ["doc_id", "row", "run", "n"])
+                each, hit = known(code)
+                total = np.concatenate([[0], np.cumsum(np.where(hit, each, 0))])
+                whole = total[at[1:]] - total[at[:-1]]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.int64()), pa.array(whole)], ["row", "run", "n", "bits"])
+                owner = np.repeat(np.arange(part.num_rows), np.diff(at))[~hit]
+                rare = code[~hit]
+                order = np.lexsort((rare, owner))
+                owner, rare = owner[order], rare[order]
+                new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (rare[1:] != rare[:-1]))) if len(owner) else np.zeros(0, int)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[new])), pa.array(rare[new]), pa.array(np.diff(np.append(new, len(owner)))), pa.nulls(len(new), pa.float64())], ["row", "run", "n", "bits"])
 
     # every row by its own number, so repeated rows and null ids stay apart; the numbers are fixed by writing them
     rows, _ = written(own.withColumn("row", F.monotonically_increasing_id()), "rows")
-    per = rows.where("doc_id IS NOT NULL").mapInArrow(parts, "doc_id bigint, row bigint, run bigint, n bigint")
-    per = per.unionAll(rows.where("doc_id IS NULL").withColumn("doc_id", F.lit(0).cast("bigint")).mapInArrow(parts, "doc_id bigint, row bigint, run bigint, n bigint"))
-    sums = per.join(model, "run", "left").groupBy("row").agg(F.sum(F.col("n") * F.coalesce(F.col("bits"), F.lit(8.0)).cast("double")).alias("bits"))
+    found, _ = written(rows.select("row", "text").mapInArrow(parts, "row bigint, run bigint, n bigint, bits double"), "found")
+    rest = found.where("run IS NOT NULL").select("row", "run", "n").join(model.select("run", F.col("bits").alias("each")), "run", "left").select("row", (F.col("n") * F.coalesce(F.col("each"), F.lit(8.0)).cast("double")).alias("bits"))
+    sums = found.where("run IS NULL").select("row", "bits").unionAll(rest).groupBy("row").agg(F.sum("bits").alias("bits"))
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    return rows.join(sums, "row", "left").select("doc_id", n.alias("n_bytes"), F.round(F.coalesce("bits", F.lit(0.0)), 3).alias("bits"), F.when(n > 0, F.round(F.col("bits") / n, 6)).alias("bits_per_byte"))
+    return rows.select("doc_id", "row", n.alias("n_bytes")).join(sums, "row").select("doc_id", "n_bytes", F.round("bits", 3).alias("bits"), F.when(F.col("n_bytes") > 0, F.round(F.col("bits") / F.col("n_bytes"), 6)).alias("bits_per_byte"))
 
 
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:

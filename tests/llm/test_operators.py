@@ -121,7 +121,7 @@ def ctw_bits(corpus: list[bytes], text: bytes, depth: int) -> float:
     return total
 
 
-@pytest.mark.parametrize("most", [10**9, 0])
+@pytest.mark.parametrize("most", [10**9, 12, 0])
 def test_context_tree_weighting(spark, most):
     texts = ["abracadabra abracadabra", "the cat sat on the mat, the cat", "ñandú é", "x", ""]
     docs = documents(spark, [(i, t) for i, t in enumerate(texts)] + [(9, None), (None, "the mat")])
