@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from symloom.extract.pipeline import extract
 from symloom.operators import diff, graph, load, lookup, resolve, traverse, tree, verbs
-from symloom.shared import stored
+from symloom.shared import scratch, stored
 from symloom.sources import discover, fetch
 from symloom.sources.registry import EXTENSIONS
 from symloom.sources.store import Store
@@ -63,8 +63,9 @@ class Index:
 
     def build(self, strict: bool = False) -> Summary:
         """Everything anew; files that were added by address stay."""
-        files = self._listed()
-        return self._publish(load.flatten(extract(discover.read(files, self.root)), strict=strict), Summary(new=files.count()))
+        with scratch(self.spark):
+            files = self._listed()
+            return self._publish(load.flatten(extract(discover.read(files, self.root)), strict=strict), Summary(new=files.count()))
 
     def _listed(self) -> DataFrame:
         found = discover.listed(self.spark, self.root)
@@ -91,6 +92,10 @@ class Index:
 
         All files are read once for their hashes; contents of unchanged ones go no further.
         """
+        with scratch(self.spark):
+            return self._update(compat_cascade)
+
+    def _update(self, compat_cascade: bool) -> Summary:
         tables, listed = self.store.tables(), self._listed()
         state = stored(diff.file_diff(tables["files"], discover.read(listed, self.root, content=False)), "diff")
         n = diff.summary(state).first()
@@ -103,10 +108,11 @@ class Index:
 
     def upsert_paths(self, paths: list[str]) -> Summary:
         """Extracts some files, whatever their state, and replaces their rows."""
-        tables = self.store.tables()
-        files = discover.read_files(self.spark, self.root, paths)
-        batch = load.flatten(extract(files), diff.next_ids(tables))
-        return self._publish(diff.upsert(tables, batch, files.select("path").limit(0)), Summary(new=len(paths)))
+        with scratch(self.spark):
+            tables = self.store.tables()
+            files = discover.read_files(self.spark, self.root, paths)
+            batch = load.flatten(extract(files), diff.next_ids(tables))
+            return self._publish(diff.upsert(tables, batch, files.select("path").limit(0)), Summary(new=len(paths)))
 
     def ensure_fresh(self, enabled: bool = True, throttle: float = THROTTLE_SECONDS) -> tuple[str, Summary | None]:
         """disabled, throttled, up-to-date or updated. The stamp is set before the work, so askers at once don't all do it."""

@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it; a folder of our own where that is unset and the session is local."""
@@ -21,13 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A path of its own below the shared folder, deleted with the driver's JVM."""
+    """A path of its own below the shared folder, deleted when scratch() is left, else with the driver's JVM."""
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
     fs, at = _fs(spark, path)
     fs.deleteOnExit(at)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that are stored within when it is left: for work whose result lies elsewhere by then, again and again in one session."""
+    token = _scope.set([])
+    try:
+        yield
+    finally:
+        for path in _scope.get():
+            remove(spark, path)
+        _scope.reset(token)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: what comes after doesn't depend on any executor's memory."""
     path = new_path(df.sparkSession, tag)
