@@ -9,8 +9,9 @@ Everything is built-in functions: documents without any part are dropped by one
 from the lengths of what lies between matches, and only parts are shuffled, never texts.
 
 Nulls: a null text has no parts; a null doc_id is carried as null, its parts are linked within rows with the same text. Empty texts have no
-parts. Repeated rows count once. Patterns have bounded repetitions, so a very long text takes time in proportion. Values are
-reported as their length and a hash, never in clear. Other columns are not looked at in the query and carried in the stage.
+parts. Repeated rows count once. Values run to the end of their characters, whatever their length; what has no
+bound repeats one class of characters, so a very long text takes time in proportion. Values are reported as their length and a hash, never in clear, and kept as
+hashes from the scan on. Other columns are not looked at in the query and carried in the stage.
 """
 
 from __future__ import annotations
@@ -21,17 +22,17 @@ from pyspark.sql import functions as F
 from symloom.llm.store import table, written
 
 SCOPE = 200
-#: name, class, strong, pattern; the first that matches a part gives its name. Patterns mean the same to Java and RE2.
+#: name, class, strong, pattern; the first that matches a part gives its name.
 RULES = [
     ("key_block", "secret", True, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
     ("cloud_key_id", "identifier", True, r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
     ("forge_token", "secret", True, r"gh[opsu]_[0-9A-Za-z]{36}"),
-    ("assigned_secret", "secret", True, r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_KEY) ?[=:] ?['\"]?[0-9A-Za-z+/_.~-]{8,128}['\"]?"),
-    ("assigned_user", "identifier", False, r"(?:[Uu]ser(?:name)?|USER|[Ll]ogin|[Cc]lient_?[Ii][Dd]|[Aa]ccount) ?[=:] ?['\"]?[0-9A-Za-z+/_.@~-]{3,64}['\"]?"),
-    ("url", "endpoint", False, r"(?:https?|postgres|mysql|mongodb|redis|amqp|ssh|s3)://[0-9A-Za-z.:@_/~?&=%+-]{3,256}"),
+    ("assigned_secret", "secret", True, r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_KEY) ?[=:] ?['\"]?[0-9A-Za-z+/_.~-]{8,}['\"]?"),
+    ("assigned_user", "identifier", False, r"(?:[Uu]ser(?:name)?|USER|[Ll]ogin|[Cc]lient_?[Ii][Dd]|[Aa]ccount) ?[=:] ?['\"]?[0-9A-Za-z+/_.@~-]{3,}['\"]?"),
+    ("url", "endpoint", False, r"(?:https?|postgres|mysql|mongodb|redis|amqp|ssh|s3)://[0-9A-Za-z.:@_/~?&=%+-]{3,}"),
     ("mail", "identifier", False, r"[0-9A-Za-z._+-]{1,64}@[0-9A-Za-z-]{1,63}(?:\.[0-9A-Za-z-]{1,63}){1,8}"),
     ("machine", "endpoint", False, r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5})?"),
-    ("bare_hex", "secret", False, r"[0-9a-f]{32,128}"),
+    ("bare_hex", "secret", False, r"[0-9a-f]{32,}"),
 ]
 #: For each rule, sets of strings: a match has one of each set. Rules that aren't here start with a cheap class of characters.
 NEEDS = {
@@ -71,31 +72,31 @@ def first_rule(value: Column, field: int) -> Column:
 
 
 def parts(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, mark, start, stop, value, rule, kind, strong); places count characters from 0, mark is a hash of the text."""
+    """Rows (doc_id, mark, start, stop, value_hash, rule, kind, strong); places count characters from 0, mark is a hash of the text."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(has_part(F.col("text")))
     found = own.select("doc_id", F.xxhash64("text").alias("mark"), F.regexp_extract_all("text", F.lit(ANY), 0).alias("hit"), F.transform(F.split("text", ANY, -1), F.length).alias("gap")).distinct()
     sizes = F.transform("hit", F.length)
     # where each match begins: all gaps so far and all matches before
     at = F.transform("hit", lambda x, i: F.struct(x.alias("value"), (F.aggregate(F.slice("gap", 1, i + 1), F.lit(0), lambda a, y: a + y) + F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, y: a + y)).cast("bigint").alias("start")))
     one = found.select("doc_id", "mark", F.explode(at).alias("p")).select("doc_id", "mark", "p.start", (F.col("p.start") + F.length("p.value")).alias("stop"), "p.value")
-    named = one.select("*", first_rule(F.col("value"), 0).alias("rule"), first_rule(F.col("value"), 1).alias("kind"), first_rule(F.col("value"), 2).alias("strong"))
+    named = one.select("doc_id", "mark", "start", "stop", F.substring(F.sha2("value", 256), 1, 16).alias("value_hash"), first_rule(F.col("value"), 0).alias("rule"), first_rule(F.col("value"), 1).alias("kind"), first_rule(F.col("value"), 2).alias("strong"))
     return written(named, "parts")[0]  # both sides of the interval join: the texts are searched once
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The parts that are reported, with the kinds and places of what completes them."""
-    cell = scope + 512  # wider than any scope and part: a scope touches three cells at most
+    cell = scope + 512  # a part and a scope are in every cell that they touch; rows hold no values, so a long part costs in proportion
     p = found.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("stop") - 1) / cell)))).alias("p")
     s = found.withColumn("cell", F.explode(F.sequence(F.floor(F.greatest(F.col("start") - scope, F.lit(0)) / cell), F.floor((F.col("stop") + scope - 1) / cell)))).alias("s")
     on = F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("s.mark") == F.col("p.mark")) & (F.col("s.cell") == F.col("p.cell")) & (F.col("p.start") < F.col("s.stop") + scope) & (F.col("p.stop") > F.col("s.start") - scope) & (F.col("p.kind") != F.col("s.kind"))
-    key = ["doc_id", "mark", "start", "stop", "value", "rule", "kind", "strong"]
+    key = ["doc_id", "mark", "start", "stop", "value_hash", "rule", "kind", "strong"]
     both = s.join(p, on, "left").groupBy(*[F.col(f"s.{x}") for x in key]).agg(F.array_sort(F.collect_set("p.kind")).alias("with"), F.min("p.start").alias("first_with"))
     return both.where(F.col("strong") | (F.size("with") > 0))
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Rows (doc_id, rule, kind, strong, start, length, value_hash, completed_by): one for each reported part."""
-    return linked(parts(docs), scope).select("doc_id", "rule", "kind", "strong", "start", (F.col("stop") - F.col("start")).alias("length"), F.substring(F.sha2("value", 256), 1, 16).alias("value_hash"), F.array_join("with", ",").alias("completed_by"))
+    return linked(parts(docs), scope).select("doc_id", "rule", "kind", "strong", "start", (F.col("stop") - F.col("start")).alias("length"), "value_hash", F.array_join("with", ",").alias("completed_by"))
 
 
 def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -122,14 +123,29 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+#: The rules as the SQL has them: bounded values and one search for all, which gives the same on the given tables.
+SQL_RULES = [
+    ("key_block", "secret", True, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    ("cloud_key_id", "identifier", True, r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
+    ("forge_token", "secret", True, r"gh[opsu]_[0-9A-Za-z]{36}"),
+    ("assigned_secret", "secret", True, r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_KEY) ?[=:] ?['\"]?[0-9A-Za-z+/_.~-]{8,128}['\"]?"),
+    ("assigned_user", "identifier", False, r"(?:[Uu]ser(?:name)?|USER|[Ll]ogin|[Cc]lient_?[Ii][Dd]|[Aa]ccount) ?[=:] ?['\"]?[0-9A-Za-z+/_.@~-]{3,64}['\"]?"),
+    ("url", "endpoint", False, r"(?:https?|postgres|mysql|mongodb|redis|amqp|ssh|s3)://[0-9A-Za-z.:@_/~?&=%+-]{3,256}"),
+    ("mail", "identifier", False, r"[0-9A-Za-z._+-]{1,64}@[0-9A-Za-z-]{1,63}(?:\.[0-9A-Za-z-]{1,63}){1,8}"),
+    ("machine", "endpoint", False, r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5})?"),
+    ("bare_hex", "secret", False, r"[0-9a-f]{32,128}"),
+]
+SQL_ANY = "|".join(f"(?:{r[3]})" for r in SQL_RULES)
+
+
 def case(field: int) -> str:
     value = lambda x: literal(x) if isinstance(x, str) else str(x).lower()
-    return "CASE " + " ".join(f"WHEN regexp_matches(value, {literal('^(?:' + r[3] + ')')}) THEN {value(r[field])}" for r in RULES) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches(value, {literal('^(?:' + r[3] + ')')}) THEN {value(r[field])}" for r in SQL_RULES) + " END"
 
 
 SQL = f"""
-WITH f AS (SELECT DISTINCT doc_id, text, regexp_extract_all(text, {literal(ANY)}) AS hit, list_transform(regexp_split_to_array(text, {literal(ANY)}), lambda x: length(x)) AS gap
-  FROM documents WHERE regexp_matches(text, {literal(ANY)})),
+WITH f AS (SELECT DISTINCT doc_id, text, regexp_extract_all(text, {literal(SQL_ANY)}) AS hit, list_transform(regexp_split_to_array(text, {literal(SQL_ANY)}), lambda x: length(x)) AS gap
+  FROM documents WHERE regexp_matches(text, {literal(SQL_ANY)})),
 e AS (SELECT doc_id, text, hit, gap, unnest(range(1, len(hit) + 1)) AS i FROM f),
 p AS (SELECT doc_id, text, hit[i] AS value, (list_sum(gap[1:i]) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM e),
 r AS (SELECT *, start + length(value) AS stop, {case(0)} AS rule, {case(1)} AS kind, {case(2)} AS strong FROM p),

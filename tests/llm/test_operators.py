@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -410,6 +411,22 @@ def test_secrets_places(spark):
         assert re.fullmatch(next(x[3] for x in op8.RULES if x[0] == r.rule), text[r.start : r.start + r.length])
 
 
+def spotted(spark, text: str) -> tuple[list, str]:
+    """The reported parts of one text as (rule, start, length, value_hash), and the text without them."""
+    docs = documents(spark, [(1, text)])
+    got = sorted((r.rule, r.start, r.length, r.value_hash) for r in op8.scan(docs).collect())
+    return got, op8.redacted(docs).first().text
+
+
+def test_secrets_of_any_length(spark):
+    key, other = "Ab3_" * 1500, "Ab3_" * 1499 + "Ab4_"
+    for value in (key, other):
+        got, left = spotted(spark, f"token = {value} end")
+        assert got == [("assigned_secret", 0, len(value) + 8, hashlib.sha256(f"token = {value}".encode()).hexdigest()[:16])] and left == "[assigned_secret] end"
+    got, left = spotted(spark, f"user={'u' * 900} https://h.example.org/{'p' * 3000} {'0a' * 500} end")
+    assert [g[:3] for g in got] == [("assigned_user", 0, 905), ("bare_hex", 3929, 1000), ("url", 906, 3022)] and left == "[assigned_user] [url] [bare_hex] end"
+
+
 # --- 9
 
 def passages(docs: list[tuple], length: int) -> list[tuple]:
