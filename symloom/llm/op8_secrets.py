@@ -1,7 +1,7 @@
 """Secret scans: multipart credential linking by an interval join.
 
 A part is an access identifier, a secret or an endpoint, found by the rules below at a place in a text. Strong parts have a form that
-nothing else has and are reported by themselves. Weak ones (mail addresses, bare hexadecimal strings, bare addresses of machines, plain
+nothing else has and are reported by themselves; a private key is one from BEGIN to END. Weak ones (mail addresses, bare hexadecimal strings, bare addresses of machines, plain
 user names) are reported only if a part of another class lies in their scope, the SCOPE characters before and after them. Parts
 are joined with scopes by document and cell of the text, so a document with very many parts costs no cross product.
 
@@ -10,7 +10,7 @@ from the lengths of what lies between matches, and only parts are shuffled, neve
 
 Nulls: a null text has no parts; a null doc_id is carried as null, its parts are linked within rows with the same text. Empty texts have no
 parts. Repeated rows count once. Values run to the end of their characters, whatever their length; what has no
-bound repeats one class of characters, so a very long text takes time in proportion. Values are reported as their length and a hash, never in clear, and kept as
+bound repeats one class of characters or gives nothing back, so a very long text takes time in proportion. Values are reported as their length and a hash, never in clear, and kept as
 hashes from the scan on. Other columns are not looked at in the query and carried in the stage.
 """
 
@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 from symloom.llm.store import table, written
 
 SCOPE = 200
+#: Of a key: its BEGIN and END, and what may stand between them on a line's edge where END is missing.
+BEGIN, END, GAP = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "-----END [A-Z ]{0,20}PRIVATE KEY-----", r"(?:\\[rnt]|[\s\"'>|#*,+])*+"
+#: To the END if no other BEGIN or END comes before it; else the lines of base64 with the headers before them, a short one only as the last.
+KEY_BLOCK = BEGIN + r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+" + END + "|(?:(?:" + GAP + r"[A-Z][0-9A-Za-z-]{1,40}: [^\r\n\\]*+)*+(?:" + GAP + "[0-9A-Za-z+/]{16,}+={0,2}+)++(?:" + GAP + r"[0-9A-Za-z+/]{1,15}+={0,2}+(?![^\s\\\"'-]|[ \t]*[^\s\\\"'-]))?+)?+)"
 #: name, class, strong, pattern; the first that matches a part gives its name.
 RULES = [
-    ("key_block", "secret", True, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    ("key_block", "secret", True, KEY_BLOCK),
     ("cloud_key_id", "identifier", True, r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
     ("forge_token", "secret", True, r"gh[opsu]_[0-9A-Za-z]{36}"),
     ("assigned_secret", "secret", True, r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_KEY) ?[=:] ?['\"]?[0-9A-Za-z+/_.~-]{8,}['\"]?"),

@@ -427,6 +427,18 @@ def test_secrets_of_any_length(spark):
     assert [g[:3] for g in got] == [("assigned_user", 0, 905), ("bare_hex", 3929, 1000), ("url", 906, 3022)] and left == "[assigned_user] [url] [bare_hex] end"
 
 
+def test_secrets_key_bodies(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    one, two = ("\n".join(c * 64 for c in x) + "\n" + x + "==" for x in ("AbCd", "eFgH"))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A0B\n\n"
+    texts = [f"a {begin}\n{one}\n{end} b", f"a {begin}\n{two}\n{end} b", f"a {begin}\n{head}{one}\n", f"a {begin}\n{one}\n{begin}\n{two}\n{end} b", repr(f"{begin}\n{one}\n{end}\n"), f"{begin} begins a key"]
+    docs = documents(spark, list(enumerate(texts)))
+    left = [r.text for r in op8.redacted(docs).orderBy("doc_id").collect()]
+    assert left == ["a [key_block] b"] * 2 + ["a [key_block]\n", "a [key_block]\n[key_block] b", "'[key_block]\\n'", "[key_block] begins a key"]
+    got = {r.doc_id: r for r in op8.scan(docs).where("doc_id < 2").collect()}
+    assert got[0].value_hash != got[1].value_hash and got[0].length == len(texts[0]) - 4
+
+
 # --- 9
 
 def passages(docs: list[tuple], length: int) -> list[tuple]:
