@@ -5,6 +5,9 @@ nothing else has and are reported by themselves; a private key is one from BEGIN
 user names) are reported only if a part of another class lies in their scope, the SCOPE characters before and after them. Parts
 are joined with scopes by document and cell of the text, so a document with very many parts costs no cross product.
 
+Weak parts don't overlap each other, the first in the text counts. Each strong rule is searched on its own, so strong parts are found inside
+any other part; where parts overlap, a redacted text has one spot for all of them.
+
 Everything is built-in functions: documents without any part are dropped by one pattern right after the scan, places come
 from the lengths of what lies between matches, and only parts are shuffled, never texts.
 
@@ -16,7 +19,7 @@ hashes from the scan on. Other columns are not looked at in the query and carrie
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symloom.llm.store import table, written
@@ -26,7 +29,7 @@ SCOPE = 200
 BEGIN, END, GAP = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "-----END [A-Z ]{0,20}PRIVATE KEY-----", r"(?:\\[rnt]|[\s\"'>|#*,+])*+"
 #: To the END if no other BEGIN or END comes before it; else the lines of base64 with the headers before them, a short one only as the last.
 KEY_BLOCK = BEGIN + r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+" + END + "|(?:(?:" + GAP + r"[A-Z][0-9A-Za-z-]{1,40}: [^\r\n\\]*+)*+(?:" + GAP + "[0-9A-Za-z+/]{16,}+={0,2}+)++(?:" + GAP + r"[0-9A-Za-z+/]{1,15}+={0,2}+(?![^\s\\\"'-]|[ \t]*[^\s\\\"'-]))?+)?+)"
-#: name, class, strong, pattern; the first that matches a part gives its name.
+#: name, class, strong, pattern; of those that match at a place the first gives the weak part its name.
 RULES = [
     ("key_block", "secret", True, KEY_BLOCK),
     ("cloud_key_id", "identifier", True, r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
@@ -47,20 +50,22 @@ NEEDS = {
 ANY = "|".join(f"(?:{r[3]})" for r in RULES)
 
 
+def has_needs(text: Column, name: str) -> Column:
+    """Whether the text has the plain strings that each match of the rule has."""
+    out = F.lit(True)
+    for strings in NEEDS.get(name, []):
+        some = F.lit(False)
+        for x in strings:
+            some = some | text.contains(x)
+        out = out & some
+    return out
+
+
 def has_part(text: Column) -> Column:
     """Whether any rule matches; a rule's pattern is tried only on texts with the plain strings that each of its matches has."""
-    def any_of(tests: list[Column]) -> Column:
-        out = tests[0]
-        for x in tests[1:]:
-            out = out | x
-        return out
-
     found = F.lit(False)
     for name, _, _, pattern in RULES:
-        test = text.rlike(pattern)
-        for strings in reversed(NEEDS.get(name, [])):
-            test = F.when(any_of([text.contains(x) for x in strings]), test).otherwise(False)
-        found = found | test
+        found = found | (F.when(has_needs(text, name), text.rlike(pattern)).otherwise(False) if name in NEEDS else text.rlike(pattern))
     return F.coalesce(found, F.lit(False))
 
 
@@ -68,22 +73,36 @@ def literal(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def first_rule(value: Column, field: int) -> Column:
+def first_rule(value: Column) -> Column:
     out = F.lit(None)
     for rule in reversed(RULES):
-        out = F.when(value.rlike("^(?:" + rule[3] + ")"), F.lit(rule[field])).otherwise(out)
+        out = F.when(value.rlike("^(?:" + rule[3] + ")"), F.lit(rule[0])).otherwise(out)
+    return out
+
+
+def of_rule(name: Column, field: int) -> Column:
+    out = F.lit(None)
+    for rule in RULES:
+        out = F.when(name == rule[0], F.lit(rule[field])).otherwise(out)
     return out
 
 
 def parts(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, mark, start, stop, value_hash, rule, kind, strong); places count characters from 0, mark is a hash of the text."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(has_part(F.col("text")))
-    found = own.select("doc_id", F.xxhash64("text").alias("mark"), F.regexp_extract_all("text", F.lit(ANY), 0).alias("hit"), F.transform(F.split("text", ANY, -1), F.length).alias("gap")).distinct()
+    text = F.col("text")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.cast("string").alias("text")).where(has_part(text))
+    # all rules in one search, for the weak parts, and each strong rule on its own: no part that begins before it hides it
+    hits = lambda pattern, test: F.when(test, F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"), F.transform(F.split(text, pattern, -1), F.length).alias("gap")))
+    found = own.select("doc_id", F.xxhash64("text").alias("mark"), hits(ANY, F.lit(True)).alias("any"), *[hits(r[3], has_needs(text, r[0])).alias(r[0]) for r in RULES if r[2]]).distinct()
+    each = F.array(*[F.struct(F.lit(x).alias("search"), F.col(f"{x}.hit").alias("hit"), F.col(f"{x}.gap").alias("gap")) for x in ["any"] + [r[0] for r in RULES if r[2]]])
+    searched = found.select("doc_id", "mark", F.explode(each).alias("s")).select("doc_id", "mark", "s.*").where(F.size("hit") > 0)
     sizes = F.transform("hit", F.length)
     # where each match begins: all gaps so far and all matches before
     at = F.transform("hit", lambda x, i: F.struct(x.alias("value"), (F.aggregate(F.slice("gap", 1, i + 1), F.lit(0), lambda a, y: a + y) + F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, y: a + y)).cast("bigint").alias("start")))
-    one = found.select("doc_id", "mark", F.explode(at).alias("p")).select("doc_id", "mark", "p.start", (F.col("p.start") + F.length("p.value")).alias("stop"), "p.value")
-    named = one.select("doc_id", "mark", "start", "stop", F.substring(F.sha2("value", 256), 1, 16).alias("value_hash"), first_rule(F.col("value"), 0).alias("rule"), first_rule(F.col("value"), 1).alias("kind"), first_rule(F.col("value"), 2).alias("strong"))
+    one = searched.select("doc_id", "mark", "search", F.explode(at).alias("p")).select("doc_id", "mark", "search", "p.start", (F.col("p.start") + F.length("p.value")).alias("stop"), "p.value")
+    own_rule = F.when(F.col("search") == "any", first_rule(F.col("value"))).otherwise(F.col("search"))
+    named = one.select("doc_id", "mark", "start", "stop", F.substring(F.sha2("value", 256), 1, 16).alias("value_hash"), "search", own_rule.alias("rule"))
+    named = named.select("doc_id", "mark", "start", "stop", "value_hash", "search", "rule", of_rule(F.col("rule"), 1).alias("kind"), of_rule(F.col("rule"), 2).alias("strong")).where(~F.col("strong") | (F.col("search") != "any")).drop("search")
     return written(named, "parts")[0]  # both sides of the interval join: the texts are searched once
 
 
@@ -108,7 +127,12 @@ def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Documents stay whole otherwise. A text without any part goes through untouched, beside the join.
     """
-    spots = linked(parts(docs), scope).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "rule"))).alias("spots")).select(F.col("doc_id").alias("spot_id"), F.col("mark").alias("spot_mark"), "spots")
+    # overlapping parts are one spot, named by its first strong part, or else its first
+    w = Window.partitionBy("doc_id", "mark").orderBy("start", "stop", "rule")
+    apart = F.col("start") >= F.coalesce(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = linked(parts(docs), scope).withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "mark", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min(F.struct(~F.col("strong"), "start", "rule")).getField("rule").alias("rule"))
+    spots = runs.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "rule"))).alias("spots")).select(F.col("doc_id").alias("spot_id"), F.col("mark").alias("spot_mark"), "spots")
     names = docs.columns
     text = F.col("d.text").cast("string")
     has = has_part(text)

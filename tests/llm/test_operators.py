@@ -439,6 +439,20 @@ def test_secrets_key_bodies(spark):
     assert got[0].value_hash != got[1].value_hash and got[0].length == len(texts[0]) - 4
 
 
+def test_secrets_inside_others(spark):
+    forge, key = "ghp_" + "a1B2" * 9, "AKIA" + "Z9" * 8
+    texts = [f"see https://{forge}@host.example/x.git now", "see https://host/cb?token=abcdefgh12345678&x=1 now", f"account: {key} now", f"token={forge} now", f"user={key}, {'0a' * 16} now", "see https://host/plain now"]
+    docs = documents(spark, list(enumerate(texts)))
+    got = defaultdict(set)
+    for r in op8.scan(docs).collect():
+        got[r.doc_id].add((r.rule, texts[r.doc_id][r.start : r.start + r.length]))
+    assert got[0] >= {("forge_token", forge)} and got[1] >= {("assigned_secret", "token=abcdefgh12345678")} and got[2] == {("cloud_key_id", key)}
+    assert got[3] == {("forge_token", forge), ("assigned_secret", f"token={forge}")} and 5 not in got
+    assert got[4] == {("cloud_key_id", key), ("assigned_user", f"user={key}"), ("bare_hex", "0a" * 16)}
+    left = [r.text for r in op8.redacted(docs).orderBy("doc_id").collect()]
+    assert left == ["see [forge_token] now", "see [assigned_secret] now", "account: [cloud_key_id] now", "[assigned_secret] now", "[cloud_key_id], [bare_hex] now", texts[5]]
+
+
 # --- 9
 
 def passages(docs: list[tuple], length: int) -> list[tuple]:
