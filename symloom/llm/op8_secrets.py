@@ -1,7 +1,7 @@
 """Secret scans: multipart credential linking by an interval join.
 
 A part is an access identifier, a secret or an endpoint, found by the rules below at a place in a text. Strong parts have a form that
-nothing else has and are reported by themselves; a private key is one from BEGIN to END. Weak ones (mail addresses, bare hexadecimal strings, bare addresses of machines, plain
+nothing else has and are reported by themselves; a private key is one from BEGIN to END. Weak ones (mail addresses, bare hexadecimal strings, long runs of both cases and digits, bare addresses of machines, plain
 user names) are reported only if a part of another class lies in their scope, the SCOPE characters before and after them. Parts
 are joined with scopes by document and cell of the text, so a document with very many parts costs no cross product.
 
@@ -29,25 +29,36 @@ SCOPE = 200
 BEGIN, END, GAP = "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "-----END [A-Z ]{0,20}PRIVATE KEY-----", r"(?:\\[rnt]|[\s\"'>|#*,+])*+"
 #: To the END if no other BEGIN or END comes before it; else the lines of base64 with the headers before them, a short one only as the last.
 KEY_BLOCK = BEGIN + r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+" + END + "|(?:(?:" + GAP + r"[A-Z][0-9A-Za-z-]{1,40}: [^\r\n\\]*+)*+(?:" + GAP + "[0-9A-Za-z+/]{16,}+={0,2}+)++(?:" + GAP + r"[0-9A-Za-z+/]{1,15}+={0,2}+(?![^\s\\\"'-]|[ \t]*[^\s\\\"'-]))?+)?+)"
+#: Words that name a secret. A name may go on after its word (secret_access_key, tokenValue, secretkey; not secretary), up to the next word.
+WORD = "(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_KEY|[Aa]ccess_?[Kk]ey(?!_?[Ii][Dd])|ACCESS_KEY(?!_ID))"
+NAME = WORD + "(?:(?=[0-9_]|[A-Z][a-z]|[Kk]ey|KEY|[Aa]ccess|ACCESS)(?:(?!" + WORD + ")[0-9A-Za-z_])++)?+"
+#: A whole run of characters of base64 and names, of 20 or more, with letters of both cases and digits.
+RUN = "[0-9A-Za-z+/_-]"
+MIXED = f"(?<!{RUN})(?={RUN}{{20}})(?=[0-9A-Z+/_-]*+[a-z])(?=[0-9a-z+/_-]*+[A-Z])(?=[A-Za-z+/_-]*+[0-9]){RUN}++(?:={{1,2}}+(?![0-9A-Za-z+/_=-]))?+"
 #: name, class, strong, pattern; of those that match at a place the first gives the weak part its name.
 RULES = [
     ("key_block", "secret", True, KEY_BLOCK),
     ("cloud_key_id", "identifier", True, r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
     ("forge_token", "secret", True, r"gh[opsu]_[0-9A-Za-z]{36}"),
-    ("assigned_secret", "secret", True, r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi_?[Kk]ey|API_KEY) ?[=:] ?['\"]?[0-9A-Za-z+/_.~-]{8,}['\"]?"),
+    ("assigned_secret", "secret", True, NAME + r" ?[=:] ?['\"]?[0-9A-Za-z+/_.~-]{8,}['\"]?"),
     ("assigned_user", "identifier", False, r"(?:[Uu]ser(?:name)?|USER|[Ll]ogin|[Cc]lient_?[Ii][Dd]|[Aa]ccount) ?[=:] ?['\"]?[0-9A-Za-z+/_.@~-]{3,}['\"]?"),
     ("url", "endpoint", False, r"(?:https?|postgres|mysql|mongodb|redis|amqp|ssh|s3)://[0-9A-Za-z.:@_/~?&=%+-]{3,}"),
     ("mail", "identifier", False, r"[0-9A-Za-z._+-]{1,64}@[0-9A-Za-z-]{1,63}(?:\.[0-9A-Za-z-]{1,63}){1,8}"),
     ("machine", "endpoint", False, r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5})?"),
+    ("mixed_run", "secret", False, MIXED),
+    ("upper_hex", "secret", False, r"(?<![0-9A-F])(?=[0-9]*+[A-F])[0-9A-F]{32,}"),
     ("bare_hex", "secret", False, r"[0-9a-f]{32,}"),
 ]
 #: For each rule, sets of strings: a match has one of each set. Rules that aren't here start with a cheap class of characters.
 NEEDS = {
     "key_block": [["-----BEGIN"]], "cloud_key_id": [["AKIA", "ASIA"]], "forge_token": [["gho_", "ghp_", "ghs_", "ghu_"]],
-    "assigned_secret": [["=", ":"], ["assword", "PASSWORD", "asswd", "ecret", "SECRET", "oken", "TOKEN", "pi_", "piK", "pik", "API_KEY"]],
+    "assigned_secret": [["=", ":"], ["assword", "PASSWORD", "asswd", "ecret", "SECRET", "oken", "TOKEN", "pi_", "piK", "pik", "API_KEY", "ccess_", "ccessK", "ccessk", "ACCESS_KEY"]],
     "assigned_user": [["=", ":"], ["ser", "USER", "ogin", "lient", "ccount"]], "url": [["://"]], "mail": [["@"]],
 }
-ANY = "|".join(f"(?:{r[3]})" for r in RULES)
+#: Weak parts without a form of their own are searched in what the other rules leave.
+BARE = ["mixed_run", "upper_hex", "bare_hex"]
+ANY = "|".join(f"(?:{r[3]})" for r in RULES if r[0] not in BARE)
+REST = "|".join(f"(?:{r[3]})" for r in RULES if r[0] in BARE)
 
 
 def has_needs(text: Column, name: str) -> Column:
@@ -73,9 +84,9 @@ def literal(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def first_rule(value: Column) -> Column:
+def first_rule(value: Column, bare: bool) -> Column:
     out = F.lit(None)
-    for rule in reversed(RULES):
+    for rule in [r for r in reversed(RULES) if (r[0] in BARE) == bare]:
         out = F.when(value.rlike("^(?:" + rule[3] + ")"), F.lit(rule[0])).otherwise(out)
     return out
 
@@ -91,18 +102,22 @@ def parts(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, mark, start, stop, value_hash, rule, kind, strong); places count characters from 0, mark is a hash of the text."""
     text = F.col("text")
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.cast("string").alias("text")).where(has_part(text))
-    # all rules in one search, for the weak parts, and each strong rule on its own: no part that begins before it hides it
-    hits = lambda pattern, test: F.when(test, F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"), F.transform(F.split(text, pattern, -1), F.length).alias("gap")))
-    found = own.select("doc_id", F.xxhash64("text").alias("mark"), hits(ANY, F.lit(True)).alias("any"), *[hits(r[3], has_needs(text, r[0])).alias(r[0]) for r in RULES if r[2]]).distinct()
-    each = F.array(*[F.struct(F.lit(x).alias("search"), F.col(f"{x}.hit").alias("hit"), F.col(f"{x}.gap").alias("gap")) for x in ["any"] + [r[0] for r in RULES if r[2]]])
+    # all rules in one search, for the weak parts, then the bare ones where the others are blank, and each strong rule on its own: no part
+    # that begins before it hides it
+    blank = lambda hits: F.array_join(F.transform(F.split(text, ANY, -1), lambda x, i: F.concat(x, F.coalesce(F.repeat(F.lit(" "), F.length(F.get(hits, i))), F.lit("")))), "")
+    own = own.select("*", F.regexp_extract_all(text, F.lit(ANY), 0).alias("hits")).select("doc_id", "text", F.when(text.rlike(REST), blank(F.col("hits"))).alias("left"))
+    hits = lambda of, pattern, test: F.when(test, F.struct(F.regexp_extract_all(of, F.lit(pattern), 0).alias("hit"), F.transform(F.split(of, pattern, -1), F.length).alias("gap")))
+    strong = [r[0] for r in RULES if r[2]]
+    found = own.select("doc_id", F.xxhash64("text").alias("mark"), hits(text, ANY, F.lit(True)).alias("any"), hits(F.col("left"), REST, F.col("left").isNotNull()).alias("rest"), *[hits(text, r[3], has_needs(text, r[0])).alias(r[0]) for r in RULES if r[2]]).distinct()
+    each = F.array(*[F.struct(F.lit(x).alias("search"), F.col(f"{x}.hit").alias("hit"), F.col(f"{x}.gap").alias("gap")) for x in ["any", "rest", *strong]])
     searched = found.select("doc_id", "mark", F.explode(each).alias("s")).select("doc_id", "mark", "s.*").where(F.size("hit") > 0)
     sizes = F.transform("hit", F.length)
     # where each match begins: all gaps so far and all matches before
     at = F.transform("hit", lambda x, i: F.struct(x.alias("value"), (F.aggregate(F.slice("gap", 1, i + 1), F.lit(0), lambda a, y: a + y) + F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, y: a + y)).cast("bigint").alias("start")))
     one = searched.select("doc_id", "mark", "search", F.explode(at).alias("p")).select("doc_id", "mark", "search", "p.start", (F.col("p.start") + F.length("p.value")).alias("stop"), "p.value")
-    own_rule = F.when(F.col("search") == "any", first_rule(F.col("value"))).otherwise(F.col("search"))
+    own_rule = F.when(F.col("search") == "any", first_rule(F.col("value"), False)).when(F.col("search") == "rest", first_rule(F.col("value"), True)).otherwise(F.col("search"))
     named = one.select("doc_id", "mark", "start", "stop", F.substring(F.sha2("value", 256), 1, 16).alias("value_hash"), "search", own_rule.alias("rule"))
-    named = named.select("doc_id", "mark", "start", "stop", "value_hash", "search", "rule", of_rule(F.col("rule"), 1).alias("kind"), of_rule(F.col("rule"), 2).alias("strong")).where(~F.col("strong") | (F.col("search") != "any")).drop("search")
+    named = named.select("doc_id", "mark", "start", "stop", "value_hash", "search", "rule", of_rule(F.col("rule"), 1).alias("kind"), of_rule(F.col("rule"), 2).alias("strong")).where(~F.col("strong") | ~F.col("search").isin("any", "rest")).drop("search")
     return written(named, "parts")[0]  # both sides of the interval join: the texts are searched once
 
 

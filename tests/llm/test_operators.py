@@ -453,6 +453,18 @@ def test_secrets_inside_others(spark):
     assert left == ["see [forge_token] now", "see [assigned_secret] now", "account: [cloud_key_id] now", "[assigned_secret] now", "[cloud_key_id], [bare_hex] now", texts[5]]
 
 
+def test_secrets_multipart(spark):
+    key, half = "AKIA" + "Z9" * 8, "wJalrXUtnFEMI/K7MDENG+bPxRfiCYabcdefgh12"
+    texts = [f"{key} {half} end", f"aws_secret_access_key = {half} end", f"secret_key={half} end", f"access_key: {half} end", f"AWS_SECRET_ACCESS_KEY={half} end", f"user=bob {'0A' * 20} end", f"{half} end", f"{'0A' * 20} end", "Secretary: Elizabeth the_Function_of_2 user=bob", f"aws_access_key_id = {key} end", f"{key}/{half}= end", f"secretAccessKey: {half}x{'Ab3_' * 3000} end"]
+    docs = documents(spark, list(enumerate(texts)))
+    got = defaultdict(set)
+    for r in op8.scan(docs).collect():
+        got[r.doc_id].add((r.rule, r.completed_by))
+    assert got[0] == {("cloud_key_id", "secret"), ("mixed_run", "identifier")} and got[5] == {("assigned_user", "secret"), ("upper_hex", "identifier")} and got[9] == {("cloud_key_id", "")}
+    left = [r.text for r in op8.redacted(docs).orderBy("doc_id").collect()]
+    assert left == ["[cloud_key_id] [mixed_run] end", "aws_secret_[assigned_secret] end", "[assigned_secret] end", "[assigned_secret] end", "AWS_SECRET_[assigned_secret] end", "[assigned_user] [upper_hex] end"] + texts[6:9] + ["aws_access_key_id = [cloud_key_id] end", "[cloud_key_id][mixed_run] end", "secret[assigned_secret] end"]
+
+
 # --- 9
 
 def passages(docs: list[tuple], length: int) -> list[tuple]:
