@@ -171,9 +171,9 @@ def near_duplicates(docs: DataFrame, k: int = K, registers: int = REGISTERS, row
     digests, _ = written(own.select("doc_id", F.unhex(F.md5("text")).alias("digest")), "digests")
     shared, _ = written(digests.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).where("node <> last").select("digest", "node"), "shared")
     small = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    copies, _ = written(digests.join(F.broadcast(shared) if small else shared, "digest").where("doc_id <> node").select("doc_id", "node").distinct(), "copies")
-    repeated, _ = written(copies.select("doc_id").distinct(), "repeated")
-    texts = with_ids(own, repeated, "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
+    copies, _ = written(digests.join(F.broadcast(shared) if small else shared, "digest").where("doc_id <> node").select("doc_id", "node", "digest").distinct(), "copies")
+    repeated = copies.select("doc_id", "digest")  # a document's other texts stay
+    texts = with_ids(own.withColumn("digest", F.unhex(F.md5("text"))), repeated, ["doc_id", "digest"], "left_anti", BROADCAST_IDS // 2).select(F.col("doc_id").alias("node"), "text")
     band, _ = written(bands(texts, k, registers, rows).withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1").select("band", "node"), "bands")
     star = band.withColumn("a", F.min("node").over(Window.partitionBy("band"))).where("a <> node").select("a", F.col("node").alias("b")).distinct()
     candidate, _ = written(components(star), "candidates")

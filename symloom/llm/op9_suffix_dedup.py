@@ -173,8 +173,8 @@ def repeated_passages(docs: DataFrame, length: int = MIN_WORDS, k: int = K, task
     shared, _ = written(digests.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).where("node <> last").select("digest", "node"), "shared")
     small = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     copies, _ = written(digests.join(F.broadcast(shared) if small else shared, "digest").select("doc_id", "node", F.substring("digest", 1, 8).alias("h")).distinct(), "copies")
-    gone = copies.where("doc_id <> node").select("doc_id").distinct()
-    texts = with_ids(own, gone, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), F.substring(F.unhex(F.md5("text")), 1, 8).alias("h"), "text")
+    gone = copies.where("doc_id <> node").select("doc_id", "h")  # a document's other texts stay
+    texts = with_ids(own.withColumn("h", F.substring(F.unhex(F.md5("text")), 1, 8)), gone, ["doc_id", "h"], "left_anti", BROADCAST_IDS // 2).select(F.col("doc_id").alias("node"), "h", "text")
 
     def anchors(batches):
         for batch in batches:

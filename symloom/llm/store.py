@@ -44,8 +44,8 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def with_ids(df: DataFrame, ids: DataFrame, column: str, how: str, limit: int = BROADCAST_IDS) -> DataFrame:
-    """Semi or anti join of df on one id column; ids (a column of that name, already written) is broadcast only if it has at most limit rows."""
+def with_ids(df: DataFrame, ids: DataFrame, column: str | list[str], how: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """Semi or anti join of df on an id column or several; ids (columns of those names, already written) is broadcast only if it has at most limit rows."""
     small = ids.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), column, how)
 

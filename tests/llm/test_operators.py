@@ -503,6 +503,16 @@ def test_repeated_passages(spark, tasks):
     assert got == passages(docs, 12) and len(got) > 60
 
 
+def test_copies_go_by_text(spark):
+    """Documents 5 and 7 have a copy of one text each, and document 5 another text beside it."""
+    a, b = prose(801, 70), prose(802, 70)
+    docs = [(1, a), (5, a), (5, b), (7, b), (9, prose(803, 30) + " " + " ".join(b.split()[5:45]))]
+    got = rows(op9.repeated_passages(documents(spark, docs), 12, 4))
+    assert got == passages(docs, 12) and {r[0] for r in got} == {1, 5, 7, 9}
+    near = docs[:4] + [(8, b + " and more"), (9, prose(804, 70))]
+    assert rows(op6.near_duplicates(documents(spark, near))) == [(5, 1), (7, 1), (8, 1)]
+
+
 def test_repeated_passages_odd(spark):
     docs = odd()
     assert rows(op9.repeated_passages(documents(spark, docs, True))) == passages(docs, 50) == [(906, 0, 90, 906), (907, 0, 90, 906)]
