@@ -7,7 +7,8 @@ piece of its own). All texts of a batch are then parsed side by side, for all la
 
 Of a text, labelled or not, letters count (lower-cased, non-ASCII characters included); whatever lies between them is one space.
 Texts are parsed whole, in segments of SEGMENT bytes; a segment's last piece ends with it, for all languages alike. Labelled text is a
-bounded sample: DOCS documents a language of at most BYTES bytes, chosen by a hash of doc_id.
+bounded sample: DOCS documents a language, chosen by a hash of doc_id among those of at most BYTES bytes; a language with fewer of these takes
+longer ones too, of which the first BYTES bytes are learned from.
 
 Nulls: a null or empty text, or one without letters, has a null language; rows without lang are classified and not learned from; a null
 doc_id is carried. Of languages that tie the first in the alphabet wins. Repeated rows are classified each. Other columns are not looked at.
@@ -133,15 +134,15 @@ class Parser:
 def labelled(docs: DataFrame, docs_each: int = DOCS, most: int = BYTES) -> dict[str, list[bytes]]:
     """The bounded sample of labelled texts."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    own = own.where((F.octet_length("text") > 0) & (F.octet_length("text") <= most))
+    own = own.where(F.octet_length("text") > 0).withColumn("long", (F.octet_length("text") > most).cast("int"))
     # map-side top rows of each language: a few structs a partition meet in one aggregate
-    light = own.select("doc_id", "lang", F.md5("text").alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("part"))
-    some = light.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))).where(F.col("r") <= docs_each)
-    best = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))).where(F.col("r") <= docs_each).select("doc_id", "lang", "h")
-    rows = own.withColumn("h", F.md5("text")).join(F.broadcast(best), ["doc_id", "lang", "h"]).select("lang", "doc_id", "text").distinct().collect()
+    light = own.select("doc_id", "lang", "long", F.md5("text").alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("part"))
+    some = light.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("long", F.xxhash64("doc_id"), "doc_id", "h"))).where(F.col("r") <= docs_each)
+    best = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "h"))).where(F.col("r") <= docs_each).select("doc_id", "lang", "h")
+    rows = own.withColumn("h", F.md5("text")).join(F.broadcast(best), ["doc_id", "lang", "h"]).select("lang", "doc_id", F.substring("text", 1, most).alias("text")).distinct().collect()
     out: dict[str, list[bytes]] = {}
     for r in sorted(rows):
-        out.setdefault(r.lang, []).append(letters(pa.array([r.text]))[0].tobytes())
+        out.setdefault(r.lang, []).append(letters(pa.array([r.text.encode()[:most].decode(errors="ignore")]))[0].tobytes())
     return {x: t[:docs_each] for x, t in out.items()}
 
 

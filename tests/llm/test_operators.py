@@ -384,6 +384,15 @@ def test_language_odd(spark):
     assert len(op7.identify(documents(spark, odd(), True), op7.labelled(table)).collect()) == len(odd())
 
 
+def test_language_of_long_texts_only(spark):
+    docs = [(i, prose(i, 60), "aa") for i in range(20)] + [(100 + i, "żółw ścieżka gęś " * 400, "bb") for i in range(3)] + [(200, prose(77, 5000), "aa")]
+    own = documents(spark, docs)
+    texts = op7.labelled(own)
+    assert sorted(texts) == ["aa", "bb"] and len(texts["aa"]) == op7.DOCS and len(texts["bb"]) == 3 and max(map(len, texts["aa"] + texts["bb"])) <= op7.BYTES
+    got = {r.doc_id: r.language for r in op7.identify(own, texts).collect()}
+    assert got == {d: lang for d, _, lang in docs}
+
+
 # --- 8
 
 def test_secrets_link(spark):
