@@ -66,9 +66,11 @@ def find(symbols: DataFrame, files: DataFrame, text: str, path: str | None = Non
         return None
     queries = symbols.sparkSession.createDataFrame([(text,)], "q string")
     found = candidates(symbols, queries).join(symbols, "id").join(files.select("file_id", "path", "language"), "file_id")
-    rows = found.select("id", "qualified_name", "kind", "path", "start_line", "language").orderBy("id").limit(10_001).collect()
+    listed = lambda x: x.select("id", "qualified_name", "kind", "path", "start_line", "language").orderBy("id").limit(10_001).collect()
+    rows = listed(found)
     if path is not None and len(rows) > 1:
-        rows = [r for r in rows if r.path == path]
+        # of more candidates than are listed, those of the file may be any
+        rows = listed(found.where(F.col("path") == path)) if len(rows) > 10_000 else [r for r in rows if r.path == path]
     if not rows:
         return None
     if len(rows) > 1:

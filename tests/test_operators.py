@@ -34,6 +34,16 @@ def calls(spark, *rows):
     return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "id bigint, caller_symbol_id bigint, callee_raw_name string, file_id bigint, line int, col int")
 
 
+def test_find_in_a_file_among_very_many(spark):
+    s = spark.range(1, 10_051).selectExpr("id", "if(id > 10040, 2L, 1L) AS file_id", "concat('m', id, '::new') AS qualified_name", "'new' AS name", "'function' AS kind", "1 AS start_line", "2 AS end_line", "CAST(NULL AS bigint) AS parent_symbol_id")
+    f = files(spark, "a.rs", "b.rs", "c.rs")
+    one = s.where("id <= 10041")
+    assert lookup.find(one, f, "new", "b.rs") == 10041 and lookup.find(one, f, "new", "c.rs") is None
+    with pytest.raises(lookup.Ambiguous) as e:
+        lookup.find(s, f, "new", "b.rs")
+    assert [c.id for c in e.value.candidates] == list(range(10041, 10051))
+
+
 def test_resolution(spark):
     s = symbols(spark, (1, 1, "a::f"), (2, 1, "b::g"), (3, 2, "x"), (4, 2, "a::f"), (5, 3, "m::x"), (6, 3, "n::x"))
     c = calls(spark, (1, "a::f", 2, 1, 0), (1, "g", 1, 2, 0), (1, "g", 2, 3, 0), (1, "x", 3, 4, 0), (1, "ghost", 1, 5, 0))
