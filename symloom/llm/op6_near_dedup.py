@@ -7,25 +7,29 @@ Jaccard similarity J_P. Registers go into bands; documents that share a band are
 the shingles of both texts before they count as near duplicates.
 
 Every candidate pair is either verified or already within one group: first each member of a band is compared with the least member of its
-candidate component, then all members of a band that are still in different groups with each other. There is no cap on either.
-Equal texts are one node from the start, so thousands of exact copies cost one signature.
+candidate component, then, as long as that unites much, with the least one of another group, and at last all members of a band that are still in
+different groups with each other, block by block. There is no cap on any. Equal texts are one node from the start, so thousands of exact
+copies cost one signature, and bands are never gathered: their least members come from combined aggregates.
 
 Nulls: a null text isn't compared with anything; a row with a null doc_id can't be named and is in no group. Empty texts are equal texts.
-Texts of 1 or 2 words have one shingle, the whole text; texts without words are compared by equality only. Rows that share a doc_id are one
-document with several texts. Other columns are not looked at in the query and carried in the stage. An empty table gives no rows.
+Texts of 1 or 2 words have one shingle, the whole text; texts without words are compared by equality only. Very long texts are signed whole.
+Different texts of one doc_id are in groups of their own. Of a group the text with the least (doc_id, digest) stays, so ties are settled.
+Other columns are not looked at in the query and carried in the stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm.store import BROADCAST_IDS, drop_path, table, with_ids, written
+from symloom.llm.store import BROADCAST_IDS, drop_path, lookup, table, with_ids, written
 from symloom.llm.words import SLICE_ROWS, cuts, mix, shingles, slices, words
 
 K, REGISTERS, ROWS, THRESHOLD = 3, 90, 3, 0.45
+#: Nodes of a block where all pairs of a band that are in different groups meet.
+BLOCK = 512
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -142,22 +146,24 @@ def components(edges: DataFrame) -> DataFrame:
     """Rows (node, label) for all nodes of the edges (a, b): label is the least node of the component.
 
     Large-star and small-star steps in turn, each written to the shared folder, until nothing changes; the rounds grow
-    with the logarithm of the longest path.
+    with the logarithm of the longest path. The least neighbour of a node is an aggregate that is combined before it is shuffled, and
+    joined back to the edges: the neighbours of a hub never meet in one task.
     """
     spark = edges.sparkSession
     now, path = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # large-star keeps, for each edge to a greater neighbour, that neighbour's edge to the least; small-star links the rest
-        down = large.where("u <> v").distinct()
-        m = F.min("v").over(Window.partitionBy("u"))
-        small = down.withColumn("m", m).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # large-star: a greater neighbour's edge goes to the least neighbour
+        large, large_path = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        # small-star: what a node has left is linked to its least
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after, after_path = written(small, "edges")
         sign = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_path(spark, path)
+        drop_path(spark, large_path)
         now, path = after, after_path
         if sign == before:
             break
@@ -165,43 +171,99 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = K, registers: int = REGISTERS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_id, keep_id): doc_id is one of a group of near duplicates, keep_id the least doc_id of the group. keep_id has no row of its own."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    digests, _ = written(own.select("doc_id", F.unhex(F.md5("text")).alias("digest")), "digests")
-    shared, _ = written(digests.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).where("node <> last").select("digest", "node"), "shared")
-    small = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    copies, _ = written(digests.join(F.broadcast(shared) if small else shared, "digest").where("doc_id <> node").select("doc_id", "node", "digest").distinct(), "copies")
-    repeated = copies.select("doc_id", "digest")  # a document's other texts stay
-    texts = with_ids(own.withColumn("digest", F.unhex(F.md5("text"))), repeated, ["doc_id", "digest"], "left_anti", BROADCAST_IDS // 2).select(F.col("doc_id").alias("node"), "text")
-    band, _ = written(bands(texts, k, registers, rows).withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1").select("band", "node"), "bands")
-    star = band.withColumn("a", F.min("node").over(Window.partitionBy("band"))).where("a <> node").select("a", F.col("node").alias("b")).distinct()
+def split_bands(band: DataFrame, group: DataFrame) -> DataFrame:
+    """Rows (band, node, label) of the bands whose nodes are in more than one group; a node in no group is one of its own."""
+    labelled, _ = written(lookup(band.select("band", "node"), group, "node", "left").select("band", "node", F.coalesce("label", F.col("node")).alias("label")), "labelled")
+    mixed, _ = written(labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "lo", "hi"), "mixed")
+    return written(lookup(labelled, mixed, "band"), "split")[0]
+
+
+def blockwise(split: DataFrame, block: int) -> DataFrame:
+    """The pairs (a, b) of a band whose labels differ. A band's nodes are in blocks of about so many, and pairs of blocks meet, so no
+    task holds a whole band and no key of the join has more than two blocks."""
+    sizes, _ = written(split.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
+    own = lookup(split.select("band", "node", "label"), sizes, "band").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = own.select("band", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.col("node").alias("a"), F.col("label").alias("label_a"))
+    right = own.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"), F.col("mine").alias("other"), F.col("node").alias("b"), F.col("label").alias("label_b"))
+    return left.join(right, ["band", "mine", "other"]).where("a < b AND label_a <> label_b").select("a", "b").distinct()
+
+
+def texts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (doc_id, digest, node, text), repeated ones once: the node of a text is its doc_id. Of a doc_id with different texts each is a node
+    of its own, numbered by a hash; these are rows (node, doc_id, digest) of the second table, None if there are none."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("digest", F.unhex(F.md5("text")))
+    digests, _ = written(own.select("doc_id", "digest"), "digests")
+    repeated, _ = written(digests.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("n")).where("n > 1").select("doc_id", (F.col("lo") != F.col("hi")).alias("several")), "repeated")
+    if repeated.isEmpty():
+        return own.select("doc_id", "digest", F.col("doc_id").alias("node"), "text"), None
+    hashed = F.xxhash64("doc_id", "digest")
+    numbered = lookup(own, repeated, "doc_id", "left").select("doc_id", "digest", F.when(F.col("several"), hashed).otherwise(F.col("doc_id")).alias("node"), "text")
+    ids = repeated.select("doc_id")
+    once = with_ids(numbered, ids, "doc_id", "left_semi").groupBy("doc_id", "digest", "node").agg(F.first("text").alias("text"))
+    named, _ = written(lookup(digests, repeated.where("several"), "doc_id").select(hashed.alias("node"), "doc_id", "digest").distinct(), "named")
+    return with_ids(numbered, ids, "doc_id", "left_anti").unionAll(once), None if named.isEmpty() else named
+
+
+def groups(docs: DataFrame, k: int = K, registers: int = REGISTERS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (doc_id, digest, keep_id): a text that goes, and the doc_id of the one that stays of its group, that with the least (doc_id, digest).
+    digest is null where all texts of the doc_id are equal."""
+    every, named = texts_of(docs)
+    digests, _ = written(every.select("digest", "node"), "nodes")
+    shared, _ = written(digests.groupBy("digest").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last").select("digest", "least"), "shared")
+    copies, _ = written(lookup(digests, shared, "digest", limit=BROADCAST_IDS // 2).where("node <> least").select("least", "node").distinct(), "copies")
+    texts = with_ids(every, copies.select("node"), "node", "left_anti").select("node", "text")
+    signed, _ = written(bands(texts, k, registers, rows), "signed")
+    common, _ = written(signed.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a"), "common")
+    band, _ = written(lookup(signed, common, "band"), "bands")
+    star = band.where("a <> node").select("a", F.col("node").alias("b")).distinct()
     candidate, _ = written(components(star), "candidates")
     edges = verified(candidate.where("label <> node").select(F.col("label").alias("a"), F.col("node").alias("b")), texts, k, threshold)
     group, _ = written(components(edges), "groups")
-    # what the comparison with the least member left apart: all pairs of a band that are still in different groups
-    lone = F.coalesce("label", F.col("node"))
-    labelled = band.join(group, "node", "left").select("band", "node", lone.alias("label"))
-    split, _ = written(labelled.withColumn("lo", F.min("label").over(Window.partitionBy("band"))).withColumn("hi", F.max("label").over(Window.partitionBy("band"))).where("lo <> hi").select("band", "node", "label"), "split")
-    x, y = split.alias("x"), split.alias("y")
-    pairs = x.join(y, F.col("x.band") == F.col("y.band")).where("x.node < y.node AND x.label <> y.label").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest, _ = written(pairs, "pairs")
-    edges = edges.select("a", "b").unionAll(verified(rest, texts, k, threshold).select("a", "b")).unionAll(copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
-    return components(edges).where("node <> label").select(F.col("node").alias("doc_id"), F.col("label").alias("keep_id"))
+    split, left = split_bands(band, group), None
+    while (now := split.count()) and (left is None or now < 0.8 * left):
+        # a pass with a new centre for each band: its least node outside the group of its least label
+        left = now
+        centre, _ = written(split.where("label <> lo").groupBy("band").agg(F.min(F.struct("node", "label")).alias("c")).select("band", F.col("c.node").alias("c"), F.col("c.label").alias("of")), "centres")
+        near = lookup(split.select("band", "node", "label"), centre, "band").where("label <> of").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+        edges, _ = written(edges.select("a", "b").unionAll(verified(near, texts, k, threshold).select("a", "b")), "edges")
+        group, _ = written(components(edges), "groups")
+        split = split_bands(band, group)
+    # what is still apart: all pairs of a band that are in different groups
+    rest, _ = written(blockwise(split, BLOCK), "pairs")
+    edges = edges.select("a", "b").unionAll(verified(rest, texts, k, threshold).select("a", "b")).unionAll(copies.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    found = components(edges)
+    none = F.lit(None).cast("binary")
+    if named is None:
+        return found.where("node <> label").select(F.col("node").alias("doc_id"), none.alias("digest"), F.col("label").alias("keep_id"))
+    member, _ = written(lookup(found, named, "node", "left", BROADCAST_IDS // 2).select("label", F.coalesce("doc_id", F.col("node")).alias("doc_id"), "digest"), "members")
+    kept, _ = written(member.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("kept")), "kept")
+    goes = lookup(member, kept, "label", limit=BROADCAST_IDS // 2).where(~F.struct("doc_id", "digest").eqNullSafe(F.col("kept")))
+    return goes.select("doc_id", "digest", F.col("kept.doc_id").alias("keep_id"))
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """Rows (doc_id, keep_id): a text of doc_id is one of a group of near duplicates of which keep_id, the least doc_id, stays and has no row of its own."""
+    return groups(docs, **how).where("doc_id <> keep_id").select("doc_id", "keep_id").distinct()
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, with all their columns, less the near duplicates of a document with a smaller doc_id.
+    """The rows of docs, with all their columns, less the texts that are near duplicates of one that stays.
 
-    Of rows that share a doc_id one stays; rows with a null doc_id stay.
+    Different texts of a doc_id are judged each. Of rows with the same doc_id and text the least by their other columns stays; rows with a null
+    doc_id or a null text stay.
     """
-    gone, _ = written(near_duplicates(docs, **how).select("doc_id").distinct(), "removed")
-    kept = with_ids(docs, gone, "doc_id", "left_anti")
-    twice, _ = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    gone, _ = written(groups(docs, **how).select("doc_id", "digest").distinct(), "removed")
+    kept = with_ids(docs, gone.where("digest IS NULL").select("doc_id"), "doc_id", "left_anti")
+    digest = F.unhex(F.md5(F.col("text").cast("string")))
+    ids = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", digest.alias("digest"))
+    twice, _ = written(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return kept
-    once = with_ids(kept, twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_ids(kept, twice, "doc_id", "left_anti").unionAll(once)
+    names, alone = docs.columns, with_ids(kept, twice, "doc_id", "left_anti")
+    rest = with_ids(kept.where("text IS NOT NULL"), twice, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), digest.alias("of"))
+    parts = gone.where("digest IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("digest").alias("of"))
+    once = with_ids(rest, parts, ["id", "of"], "left_anti", BROADCAST_IDS // 2).groupBy("id", "of").agg(F.min("row").alias("row")).select("row.*")
+    return alone.unionAll(with_ids(kept.where("text IS NULL"), twice, "doc_id", "left_semi")).unionAll(once)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

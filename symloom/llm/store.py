@@ -50,5 +50,11 @@ def with_ids(df: DataFrame, ids: DataFrame, column: str | list[str], how: str, l
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), column, how)
 
 
+def lookup(df: DataFrame, unique: DataFrame, key: str | list[str], how: str = "inner", limit: int = BROADCAST_IDS) -> DataFrame:
+    """df joined with a written table of unique keys, which is broadcast if it has at most limit rows; else the join splits df's hot keys as it runs."""
+    small = unique.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(unique) if small else unique, key, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
