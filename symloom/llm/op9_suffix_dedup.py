@@ -9,13 +9,15 @@ out. What is still together after MIN_WORDS steps are the repeated intervals.
 To spread the work, only what can repeat is merged, and where it can be compared: of every window of MIN_WORDS words the least
 hash of its K-word runs is its anchor, so equal windows have equal anchors. Anchors that occur once are in no repeat. For the
 others, the run of windows with that anchor is a segment; segments with the same anchor go to the same task, equal segments once. This
-loses nothing: each window lies in exactly one segment, and all equal windows meet in one task.
+loses nothing: each window lies in exactly one segment, and all equal windows meet in one task. An anchor with more than TASK_SEGMENTS different
+segments would make that task large: its windows are compared each by their hashes instead, which is as exact.
 
 Result: one row for each place of a passage of at least MIN_WORDS words that occurs in two documents or more: (doc_id, start_word, n_words,
 first_doc_id); first_doc_id is the least doc_id with the passage. Copies of a whole text get one row each, the first one too.
 
-Nulls: rows with a null doc_id or text take no part. Empty and short texts have no passage. Repeats within one document alone are
-not reported. Repeated rows count once; rows that share a doc_id are one document with several texts. Other columns are not looked at.
+Nulls: rows with a null doc_id or text take no part. Empty and short texts have no passage, very long ones are read whole. Passages that only one
+document has, at several places, are reported with within=True; the query asks for those of several documents. Repeated rows count once; rows
+that share a doc_id are one document with several texts. Other columns are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symloom.llm.store import BROADCAST_IDS, table, with_ids, written
-from symloom.llm.words import shingles, slices, words
+from symloom.llm.store import BROADCAST_IDS, drop_path, lookup, table, with_ids, written
+from symloom.llm.words import WORD_SQL, mix, shingles, slices, words
 
 MIN_WORDS, K = 50, 8
 #: Segments that are merged in one task, and words of a shard.
 TASK_SEGMENTS, SHARD_WORDS = 16_000, 262_144
+#: No document.
+NONE = np.iinfo(np.int64).min
 
 
 def windows(hashes: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,9 +140,9 @@ def merge(shards: list[Shard], most: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return settled, lcp, active, place[active]
 
 
-def repeats(segments: list[np.ndarray], low: np.ndarray, high: np.ndarray, start: np.ndarray, length: int, shard_words: int = SHARD_WORDS) -> list[tuple[int, int, int, int]]:
-    """Runs (segment, first window, windows, least document) of windows that two documents have. low and high are the least and greatest
-    document with the segment's text."""
+def repeats(segments: list[np.ndarray], low: np.ndarray, high: np.ndarray, many: np.ndarray, length: int, within: bool = False, shard_words: int = SHARD_WORDS) -> list[tuple[int, int, int, int]]:
+    """Runs (segment, first window, windows, least document) of windows that two documents have, or with within of those at two places. low and
+    high are the least and greatest document with the segment's text, many says whether it is at several places."""
     alphabet, symbols = np.unique(np.concatenate(segments), return_inverse=True)
     cut = np.cumsum([0] + [len(s) for s in segments])
     own = [symbols[a:b] + 1 for a, b in zip(cut, cut[1:])]
@@ -152,29 +156,64 @@ def repeats(segments: list[np.ndarray], low: np.ndarray, high: np.ndarray, start
     offset = np.concatenate([s.offset for s in shards])[row]
     count = np.array([len(s) for s in segments]) - length + 1
     base = np.cumsum(count) - count
-    best = np.repeat(np.where(low < high, low, -1), count)
+    best = np.repeat(np.where((low < high) | (within & many), low, NONE), count)
     if len(row):
         new = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         lo, hi = np.minimum.reduceat(low[segment], new), np.maximum.reduceat(high[segment], new)
         each = np.diff(np.append(new, len(block)))
-        best[base[segment] + offset] = np.repeat(np.where(lo < hi, lo, -1), each)
+        best[base[segment] + offset] = np.repeat(np.where((lo < hi) | within, lo, NONE), each)
     owner = np.repeat(np.arange(len(segments)), count)
     edge = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])))
     size = np.diff(np.append(edge, len(best)))
-    on = best[edge] >= 0
+    on = best[edge] != NONE
     return list(zip(owner[edge][on].tolist(), (edge - base[owner[edge]])[on].tolist(), size[on].tolist(), best[edge][on].tolist()))
 
 
-def repeated_passages(docs: DataFrame, length: int = MIN_WORDS, k: int = K, task_segments: int = TASK_SEGMENTS) -> DataFrame:
-    """Rows (doc_id, start_word, n_words, first_doc_id)."""
+def texts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, h, text), equal texts once under the least doc_id, h being a hash of the text; and (doc_id, node, h) for texts of several documents."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    # equal texts are one text, named by the least doc_id and a hash
-    digests, _ = written(own.select("doc_id", F.unhex(F.md5("text")).alias("digest")), "digests")
-    shared, _ = written(digests.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).where("node <> last").select("digest", "node"), "shared")
-    small = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    copies, _ = written(digests.join(F.broadcast(shared) if small else shared, "digest").select("doc_id", "node", F.substring("digest", 1, 8).alias("h")).distinct(), "copies")
+    own = own.withColumn("digest", F.unhex(F.md5("text")))
+    digests, _ = written(own.select("doc_id", "digest"), "digests")
+    shared, _ = written(digests.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "node", "last"), "shared")
+    h = F.xxhash64("digest").alias("h")
+    rows, _ = written(lookup(digests, shared, "digest").groupBy("doc_id", "node", "last", h).agg(F.count("*").alias("n")), "copies")
+    copies = rows.where("node <> last").select("doc_id", "node", "h")
     gone = copies.where("doc_id <> node").select("doc_id", "h")  # a document's other texts stay
-    texts = with_ids(own.withColumn("h", F.substring(F.unhex(F.md5("text")), 1, 8)), gone, ["doc_id", "h"], "left_anti", BROADCAST_IDS // 2).select(F.col("doc_id").alias("node"), "h", "text")
+    texts = with_ids(own.select("doc_id", h, "text"), gone, ["doc_id", "h"], "left_anti", BROADCAST_IDS // 2)
+    again, _ = written(rows.where("n > 1").select("doc_id", "h"), "again")
+    if not again.isEmpty():  # repeated rows
+        once = with_ids(texts, again, ["doc_id", "h"], "left_semi", BROADCAST_IDS // 2).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+        texts = with_ids(texts, again, ["doc_id", "h"], "left_anti", BROADCAST_IDS // 2).unionAll(once)
+    return texts.select(F.col("doc_id").alias("node"), "h", "text"), copies
+
+
+def compared(once: DataFrame, length: int, within: bool) -> DataFrame:
+    """Runs of repeated windows in segments of anchors that have too many of them for a task, as merged ones give them: each window alone, by two hashes
+    of its words. Equal windows are combined before they are shuffled, so a passage in any number of surroundings costs a row a task."""
+
+    def cut(batches):
+        for batch in batches:
+            body = batch.column(2)
+            size = np.asarray(pa.compute.binary_length(body), np.int64) // 4
+            flat = np.frombuffer(b"".join(body.to_pylist()), np.uint32).astype(np.uint64)
+            at = np.concatenate([[0], np.cumsum(size)])
+            one, first = shingles(mix(flat + np.uint64(1)), at, length)
+            two, _ = shingles(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at, length)
+            owner = np.repeat(np.arange(len(size)), np.diff(first))
+            take = lambda i: batch.column(i).take(pa.array(owner))
+            inner = np.arange(len(owner)) - first[:-1][owner]
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), take(0), take(1), pa.array(inner), take(3), take(4), take(5)], ["one", "two", "anchor", "c", "first", "low", "high", "n"])
+
+    windows_, _ = written(once.select("anchor", "c", "words", "low", "high", "n").mapInArrow(cut, "one bigint, two bigint, anchor bigint, c bigint, first bigint, low bigint, high bigint, n bigint"), "windows")
+    found = windows_.groupBy("one", "two").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.sum("n").alias("places"))
+    found, _ = written(found.where("places > 1" if within else "least < most").select("one", "two", "least"), "equal-windows")
+    return lookup(windows_, found, ["one", "two"], limit=BROADCAST_IDS // 2).select("anchor", "c", "first", F.lit(1).cast("bigint").alias("n"), "least")
+
+
+def repeated_passages(docs: DataFrame, length: int = MIN_WORDS, k: int = K, task_segments: int = TASK_SEGMENTS, within: bool = False, hot: int | None = None) -> DataFrame:
+    """Rows (doc_id, start_word, n_words, first_doc_id). With within also those of passages that one document has at several places; hot is the number
+    of segments from which an anchor's windows are compared each."""
+    texts, copies = texts_of(docs)
 
     def anchors(batches):
         for batch in batches:
@@ -183,9 +222,10 @@ def repeated_passages(docs: DataFrame, length: int = MIN_WORDS, k: int = K, task
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(lo.astype(np.int32))], ["anchor", "node", "h", "lo"])
 
-    found = texts.mapInArrow(anchors, "anchor bigint, node bigint, h binary, lo int")
-    retained = found.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
-    wanted, _ = written(retained.groupBy("node", "h").agg(F.collect_list("lo").alias("los")), "wanted")
+    found, path = written(texts.mapInArrow(anchors, "anchor bigint, node bigint, h bigint, lo int"), "anchors")
+    common, _ = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "common")
+    wanted, _ = written(with_ids(found, common, "anchor", "left_semi").groupBy("node", "h").agg(F.collect_list("lo").alias("los")), "wanted")
+    drop_path(docs.sparkSession, path)
     some = with_ids(texts, wanted.select("node").distinct(), "node", "left_semi").join(wanted, ["node", "h"])
 
     def cut(batches):
@@ -203,28 +243,28 @@ def repeated_passages(docs: DataFrame, length: int = MIN_WORDS, k: int = K, task
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(lo.astype(np.int32)), pa.array(body, pa.binary())], ["anchor", "node", "h", "lo", "words"])
 
-    segments = some.select("node", "h", "text", "los").mapInArrow(cut, "anchor bigint, node bigint, h binary, lo int, words binary")
+    segments = some.select("node", "h", "text", "los").mapInArrow(cut, "anchor bigint, node bigint, h bigint, lo int, words binary")
     segments, _ = written(segments.withColumn("c", F.xxhash64("words", F.lit(1))), "segments")
     # equal segments of an anchor once, combined before they are shuffled
-    once = segments.groupBy("anchor", "c").agg(F.first("words").alias("words"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("lo").alias("start"))
-    once, _ = written(once, "once")
+    once, _ = written(segments.groupBy("anchor", "c").agg(F.first("words").alias("words"), F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")), "once")
+    full, _ = written(once.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > (hot or task_segments)).select("anchor"), "full-anchors")
+    usual, extra = once, None
+    if not full.isEmpty():
+        usual, extra = with_ids(once, full, "anchor", "left_anti"), compared(with_ids(once, full, "anchor", "left_semi"), length, within)
     tasks = max(1, -(-once.count() // task_segments))
 
     def merged(batches):
-        t = pa.Table.from_batches(batches)
-        if t.num_rows:
+        kept = list(batches)
+        t = pa.Table.from_batches(kept) if kept else None
+        if t is not None and t.num_rows:
             body = [np.frombuffer(x, np.uint32) for x in t.column("words").to_pylist()]
-            rows = repeats(body, t.column("low").to_numpy(), t.column("high").to_numpy(), t.column("start").to_numpy(), length)
+            rows = repeats(body, t.column("low").to_numpy(), t.column("high").to_numpy(), t.column("n").to_numpy() > 1, length, within)
             if rows:
                 segment, first, n, least = (np.array(x) for x in zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(t.column("anchor").to_numpy()[segment]), pa.array(t.column("c").to_numpy()[segment]), pa.array(first), pa.array(n), pa.array(least)], ["anchor", "c", "first", "n", "least"])
 
-    def guarded(batches):
-        kept = list(batches)
-        if kept:
-            yield from merged(kept)
-
-    runs, _ = written(once.repartition(tasks, "anchor").select("anchor", "c", "words", "low", "high", "start").mapInArrow(guarded, "anchor bigint, c bigint, first bigint, n bigint, least bigint"), "runs")
+    runs = usual.repartition(tasks, "anchor").select("anchor", "c", "words", "low", "high", "n").mapInArrow(merged, "anchor bigint, c bigint, first bigint, n bigint, least bigint")
+    runs, _ = written(runs if extra is None else runs.unionAll(extra), "runs")
     places = segments.select("anchor", "c", "node", "h", "lo").join(runs, ["anchor", "c"]).select("node", "h", (F.col("lo") + F.col("first")).alias("at"), "n", "least")
     w = Window.partitionBy("node", "h").orderBy("at")
     islands = places.withColumn("new", F.when((F.lag(F.col("at") + F.col("n")).over(w) == F.col("at")) & (F.lag("least").over(w) == F.col("least")), 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
@@ -236,7 +276,7 @@ def repeated_passages(docs: DataFrame, length: int = MIN_WORDS, k: int = K, task
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(words(part.column(2))[1]))], ["node", "h", "n_words"])
 
-    whole = with_ids(texts, copies.select("node").distinct(), "node", "left_semi").mapInArrow(sizes, "node bigint, h binary, n_words bigint").where(F.col("n_words") >= length)
+    whole = with_ids(texts, copies.select("node").distinct(), "node", "left_semi").mapInArrow(sizes, "node bigint, h bigint, n_words bigint").where(F.col("n_words") >= length)
     whole = copies.join(whole, ["node", "h"]).select("doc_id", F.lit(0).cast("bigint").alias("start_word"), "n_words", F.col("node").alias("first_doc_id"))
     return rows.unionAll(whole).distinct()
 
@@ -245,4 +285,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
-SQL = None
+SQL = rf"""
+WITH t AS (SELECT text, min(doc_id) AS node, max(doc_id) AS last, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY text),
+g AS (SELECT text, node, unnest(list_transform(range(0, len(w) - {MIN_WORDS - 1}), lambda i: struct_pack(i := i, s := md5(array_to_string(w[i + 1:i + {MIN_WORDS}], ' ')))), recursive := true) FROM t WHERE len(w) >= {MIN_WORDS}),
+l AS (SELECT s, min(node) AS least FROM g GROUP BY s HAVING min(node) < max(node)),
+r AS (SELECT text, node, i, least, i - row_number() OVER (PARTITION BY text, least ORDER BY i) AS run FROM g JOIN l USING (s))
+SELECT node AS doc_id, min(i)::BIGINT AS start_word, (count(*) + {MIN_WORDS - 1})::BIGINT AS n_words, least AS first_doc_id FROM r GROUP BY text, node, least, run
+UNION SELECT d.doc_id, 0, len(w)::BIGINT, node FROM documents d JOIN t USING (text) WHERE node < last AND len(w) >= {MIN_WORDS} AND d.doc_id IS NOT NULL
+"""
