@@ -6,11 +6,14 @@ another. With radius r done in the first j + 1 of m segments and r - 1 in the ot
 (were it not, all its segments would be further than that), so a query stops as soon as its kth verified distance is covered. Ties
 at the kth distance go to the smaller id, which is why those with just that distance must be covered too.
 
-Codes are indexed in blocks; each block of queries meets each block of codes, and the k best of the blocks are merged. Every vector is a query,
-and isn't its own neighbour.
+Codes are indexed in blocks, and each block of queries meets each block of codes once: a block of codes is sent as often as there are blocks of
+queries, which are large, and the queries stream past the index. The k best of the blocks are merged. Equal codes are asked for
+once, and of more than k + 1 equal ones those with the least ids are indexed, so that frequent codes cost no more than others and no
+result is lost. A vector isn't its own neighbour.
 
 Nulls: a null vector or vec_id takes no part; a null component, NaN or missing one is bit 0. Vectors that are equal are neighbours at distance 0.
-Of rows that share a vec_id one stays (the least code). With fewer than k others there are fewer rows. Other columns are not looked at.
+Of rows that share a vec_id one stays (the least code). With fewer than k others there are fewer rows. Other columns are not looked at. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from symloom.llm.store import table, written
 
 K, SEGMENT = 10, 16
-#: Codes of an index and queries of a task.
-BLOCK, QUERIES = 1_000_000, 4096
+#: The query's set of vectors to ask for: those whose id is divisible by this, against all.
+EVERY = 50
+#: Codes and queries that meet in a task; with few queries, so many a task at least.
+BLOCK, QUERIES, LEAST_QUERIES = 2_000_000, 1_000_000, 256
 #: Candidates that are verified at once.
 AT_ONCE = 4_000_000
 
@@ -55,15 +60,15 @@ class MultiIndex:
         for s in self.parts.T:
             self.index.append((np.argsort(s, kind="stable").astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(s, minlength=1 << SEGMENT))])))
 
-    def search(self, ids: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of queries, ids and distances of the k nearest codes of the block with another id, ties to the smaller id."""
-        parts = np.ascontiguousarray(code).view(np.uint16).reshape(len(ids), -1)
+    def search(self, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries, ids and distances of the k nearest codes of the block, ties to the smaller id."""
+        parts = np.ascontiguousarray(code).view(np.uint16).reshape(len(code), -1)
         m = parts.shape[1]
         far = 64 * code.shape[1] + 1
         # of the block, so ids and places are in the same order: the best so far as distance x size + place
         size = np.int64(len(self.ids))
-        best = np.full((len(ids), k), far * size, np.int64)
-        todo = np.arange(len(ids))
+        best = np.full((len(code), k), far * size, np.int64)
+        todo = np.arange(len(code))
         for radius in range(SEGMENT + 1):
             masks = np.array([sum(1 << b for b in bits) for bits in itertools.combinations(range(SEGMENT), radius)], np.uint16)
             for j in range(m):
@@ -76,7 +81,7 @@ class MultiIndex:
                     some = n > 0
                     lo, n, who = lo[some], n[some], np.repeat(q, len(masks))[some]
                     for b, c in self.runs(n):
-                        self.verify(ids, code, best, who[b:c], lo[b:c], n[b:c], order, size, k)
+                        self.verify(code, best, who[b:c], lo[b:c], n[b:c], order, size, k)
                 covered = radius * m + j
                 todo = todo[best[todo, k - 1] // size > covered]
                 if not len(todo):
@@ -92,13 +97,13 @@ class MultiIndex:
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(n)]
         return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
-    def verify(self, ids, code, best, who, lo, n, order, size, k) -> None:
+    def verify(self, code, best, who, lo, n, order, size, k) -> None:
         first = np.cumsum(n) - n
         place = order[np.repeat(lo - first, n) + np.arange(n.sum())].astype(np.int64)
         who = np.repeat(who, n)
         distance = np.bitwise_count(self.code[place] ^ code[who]).sum(axis=1, dtype=np.int64)
         key = distance * size + place
-        on = (key < best[who, k - 1]) & (self.ids[place] != ids[who])
+        on = key < best[who, k - 1]
         who, key = who[on], key[on]
         if not len(who):
             return
@@ -117,53 +122,61 @@ class MultiIndex:
         best[touched[who[on]], rank[on]] = key[on]
 
 
-def packed(code_rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows (name, ids, codes): so many codes as two byte strings; which codes go together depends on a hash of their ids."""
-    n = max(1, -(-code_rows.count() // size))
-    rows = code_rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+def least_ids(code_rows: DataFrame, n: int) -> DataFrame:
+    """The n rows of each code with the least ids: of more equal codes no other is among the nearest n - 1 of anything. Each task keeps n before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))
+    return code_rows.withColumn("r", rank).where(F.col("r") <= n).drop("r")
 
-    def one(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        words = np.asarray(t.column("code").combine_chunks().flatten())
-        return pa.table({name: pa.array([t.column(name)[0].as_py()], pa.int32()), f"{name}_ids": [t.column("vec_id").to_numpy().tobytes()], f"{name}_codes": [words.astype(np.int64).tobytes()]})
 
-    return rows.groupBy(name).applyInArrow(one, f"{name} int, {name}_ids binary, {name}_codes binary")
-
-
-def top_k(vectors: DataFrame, k: int = K, bits: int | None = None) -> DataFrame:
-    """Rows (vec_id, rank, neighbor_id, distance): the k nearest codes of every vector."""
+def top_k(vectors: DataFrame, k: int = K, bits: int | None = None, every: int = 1, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+    """Rows (vec_id, rank, neighbor_id, distance): the k nearest codes of each vector whose id is divisible by every, among all vectors."""
     spark = vectors.sparkSession
     bits = bits or vectors.where("embedding IS NOT NULL").agg(F.max(F.size("embedding"))).first()[0] or 64
     own, _ = written(codes(vectors, bits), "codes")
     width = -(-bits // 64)
-    left, _ = written(packed(own, QUERIES, "q"), "queries")
-    right, _ = written(packed(own, BLOCK, "b"), "blocks")
-    # numbers meet numbers first; the byte strings follow by joins on them, so both sides may be of any size
-    pairs = left.select("q").crossJoin(right.select("b"))
-    tasks = max(1, min(10_000, left.count() * right.count()))
-    met = pairs.join(left, "q").join(right, "b").repartition(tasks, "b", "q").sortWithinPartitions("b")
+    indexed, _ = written(least_ids(own, k + 1), "indexed")
+    wanted = own.where(F.col("vec_id") % every == 0)
+    asked, _ = written(wanted.select("code").distinct(), "asked")
+    n, m = indexed.count(), asked.count()
+    blocks, parts = max(1, -(-n // block)), max(1, -(-m // queries), min(spark.sparkContext.defaultParallelism, -(-m // LEAST_QUERIES)))
+    # every block of codes meets every part of the queries once, in a task of their own: codes first, then the queries stream past their index
+    code_b, query_p = F.pmod(F.xxhash64("code", "vec_id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = indexed.select("vec_id", "code", code_b.alias("b"), each(parts).alias("p"))
+    right = asked.select(F.lit(None).cast("bigint").alias("vec_id"), "code", query_p.alias("p"), each(blocks).alias("b")).select("vec_id", "code", "b", "p")
+    met = left.unionAll(right).withColumn("task", (F.col("b") * parts + F.col("p")).cast("int")).repartitionById(blocks * parts, "task").sortWithinPartitions(F.col("vec_id").isNull())
 
     def run(batches):
-        kept: tuple = (None, None)
+        ids, code, index = [], [], None
         for batch in batches:
-            for b, q_ids, q_codes, b_ids, b_codes in zip(*(batch.column(c).to_pylist() for c in ("b", "q_ids", "q_codes", "b_ids", "b_codes"))):
-                if kept[0] != b:
-                    kept = (b, MultiIndex(np.frombuffer(b_ids, np.int64), np.frombuffer(b_codes, np.uint64).reshape(-1, width)))
-                ids = np.frombuffer(q_ids, np.int64)
-                at, near, distance = kept[1].search(ids, np.frombuffer(q_codes, np.uint64).reshape(-1, width), k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(near), pa.array(distance)], ["vec_id", "neighbor_id", "distance"])
-
-    found = met.mapInArrow(run, "vec_id bigint, neighbor_id bigint, distance bigint")
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbor_id"))
-    return found.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "distance")
+            words = np.asarray(batch.column(1).flatten()).astype(np.int64).view(np.uint64).reshape(-1, width)
+            known = np.asarray(batch.column(0).is_valid())
+            ids.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
+            code.append(words[known])
+            if known.all():
+                continue
+            if index is None:
+                index = MultiIndex(np.concatenate(ids), np.concatenate(code))
+            asks = words[~known]
+            for a in range(0, len(asks) if len(index.ids) else 0, 4096):
+                at, near, distance = index.search(asks[a : a + 4096], k + 1)
+                of = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(asks[a : a + 4096][at].view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([of, pa.array(near), pa.array(distance)], ["code", "neighbor_id", "distance"])
+
+    found = met.select("vec_id", "code").mapInArrow(run, "code array<bigint>, neighbor_id bigint, distance bigint")
+    # k + 1 rows a block at most; a query is among its own nearest and goes
+    nearest = found.groupBy("code").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))), 1, k + 1).alias("near"))
+    others = F.slice(F.filter("near", lambda x: x["neighbor_id"] != F.col("vec_id")), 1, k)
+    rows = wanted.join(nearest, "code").select("vec_id", F.posexplode(others).alias("rank", "x"))
+    return rows.select("vec_id", (F.col("rank") + 1).cast("bigint").alias("rank"), F.col("x.neighbor_id").alias("neighbor_id"), F.col("x.distance").alias("distance"))
 
 
 def op5_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"))
+    return top_k(table(spark, sf_dir, "embeddings"), every=EVERY)
 
 
 SQL = f"""
-WITH c AS (SELECT vec_id, min(code) AS code FROM (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN '1' ELSE '0' END) AS l, array_to_string(l, '')::BIT AS code FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL) GROUP BY vec_id),
-p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, bit_count(xor(a.code, b.code))::BIGINT AS distance FROM c a JOIN c b ON a.vec_id <> b.vec_id)
+WITH c AS (SELECT vec_id, min(code) AS code FROM (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 AND NOT isnan(embedding[i]) THEN '1' ELSE '0' END) AS l, array_to_string(l, '')::BIT AS code FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL) GROUP BY vec_id),
+p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, bit_count(xor(a.code, b.code))::BIGINT AS distance FROM c a JOIN c b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0)
 SELECT vec_id, rank, neighbor_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM p) WHERE rank <= {K}
 """
