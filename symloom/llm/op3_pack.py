@@ -1,13 +1,14 @@
 """Best-fit packing: best-fit decreasing with a segment tree over remaining capacities.
 
 A document's length is its UTF-8 bytes. Longer ones than the capacity are cut into pieces of the full capacity, each a bin of
-its own, and a rest. Rests and short documents go, longest first, into the open bin with the least remaining room that
+its own that needs no plan, and a rest. Rests and short documents go, longest first, into the open bin with the least remaining room that
 still takes them. Pieces of one length are interchangeable, so the plan needs only how many there are of each length: the driver's
 work and memory depend on the capacity, never on the number of documents, and the packing is the exact global one. Pieces
 take their places in the plan by their rank among pieces of their length.
 
 Nulls: a null or empty text has length 0 and is in no bin. A null doc_id is packed like any other. Repeated rows are packed as often
-as they occur; equal ones are interchangeable. Other columns are not looked at. An empty table gives no bins.
+as they occur; equal ones are interchangeable. Of pieces of one length those of smaller doc_ids come first within a part; parts go by the
+number of the row, so no doc_id, null or frequent, makes one of them large. Other columns are not looked at. An empty table gives no bins.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from symloom.llm.store import table, written
 
 CAPACITY = 8192
-#: Parts into which the pieces of one length are ranked, so that no task ranks all of a frequent length.
-BUCKETS = 16
+#: Pieces of one length, or documents with full pieces, that a task numbers, about; the parts of a frequent length follow their count.
+RANKED = 1_000_000
 
 
 class SegmentTree:
@@ -98,19 +99,44 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Rows (bin_id, position, bin_offset, doc_id, piece, piece_start, length), lengths in UTF-8 bytes."""
-    spark = docs.sparkSession
+def pack(docs: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
+    """Rows (bin_id, position, bin_offset, doc_id, piece, piece_start, length), lengths in UTF-8 bytes. Full pieces have the first bins."""
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint")
-    # lengths once, beside the ids: the text is read once and goes no further
-    sizes, _ = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size")).where("size > 0"), "pack")
-    pieces = sizes.select("doc_id", "size", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / capacity).cast("int"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.least(F.lit(capacity).cast("bigint"), F.col("size") - F.col("piece") * F.lit(capacity).cast("bigint")).alias("length"), F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    # at most capacity x BUCKETS rows, whatever the number of documents
-    counted = sorted(map(tuple, pieces.groupBy("length", "bucket").count().collect()))
-    totals: dict[int, int] = {}
-    for length, _, n in counted:
-        totals[length] = totals.get(length, 0) + n
+    # lengths once, beside the ids and a number for the row: the text is read once and goes no further
+    sizes, _ = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size")).where("size > 0").withColumn("row", F.monotonically_increasing_id()), "pack")
+    whole, rest = F.floor(F.col("size") / capacity).cast("bigint"), (F.col("size") % capacity).cast("bigint")
+    full, n_full = full_pieces(sizes.where(F.col("size") >= capacity).select("doc_id", "row", whole.alias("n")), capacity, ranked)
+    last = sizes.select("doc_id", "row", whole.alias("piece"), rest.alias("length")).where("length > 0")
+    return full.unionAll(rests(last, capacity, ranked, n_full))
+
+
+def full_pieces(docs: DataFrame, capacity: int, ranked: int) -> tuple[DataFrame, int]:
+    """The full pieces of documents (doc_id, row, n), each in a bin of its own, and how many there are. Documents are numbered, not pieces."""
+    n_docs = docs.count()
+    buckets = max(1, -(-n_docs // ranked))
+    own = docs.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("bigint"))
+    at, rows = 0, []
+    for bucket, n in sorted(map(tuple, own.groupBy("bucket").agg(F.sum("n")).collect())):
+        rows.append((bucket, at))
+        at += n
+    base = docs.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["bucket", "base"]).astype("int64"), "bucket bigint, base bigint")
+    before = F.sum("n").over(Window.partitionBy("bucket").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1))
+    placed = own.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(base), "bucket")  # a row for RANKED documents
+    each = placed.select("doc_id", (F.col("base") + F.col("before")).alias("first"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("piece"))
+    zero = F.lit(0).cast("bigint")
+    return each.select((F.col("first") + F.col("piece")).alias("bin_id"), zero.alias("position"), zero.alias("bin_offset"), "doc_id", "piece", (F.col("piece") * capacity).cast("bigint").alias("piece_start"), F.lit(capacity).cast("bigint").alias("length")), at
+
+
+def rests(pieces: DataFrame, capacity: int, ranked: int, first_bin: int) -> DataFrame:
+    """Best-fit decreasing for pieces (doc_id, row, piece, length) of less than the capacity; bins count from first_bin."""
+    spark = pieces.sparkSession
+    ints = lambda rows, names: spark.createDataFrame(pd.DataFrame(rows, columns=names).astype("int64"), ", ".join(f"{x} bigint" for x in names))
+    # at most capacity - 1 rows, whatever the number of documents
+    totals = dict(map(tuple, pieces.groupBy("length").count().collect()))
+    parts = ints([(x, -(-n // ranked)) for x, n in totals.items()], ["length", "parts"])
+    own = pieces.join(F.broadcast(parts), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("parts")).cast("bigint"))
+    # a row a length, and one for each RANKED pieces
+    counted = sorted(map(tuple, own.groupBy("length", "bucket").count().collect()))
     runs: dict[int, list] = {}
     for run in plan(totals, capacity):
         runs.setdefault(run[0], []).append(run)
@@ -121,17 +147,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         for _, rank, took, first, each, position, offset in runs[length]:
             lo, hi = max(at, rank), min(at + n, rank + took)
             if lo < hi:
-                rows.append((length, bucket, lo - at, hi - at, first, each, position, offset, at - rank))
-    names = ["length", "bucket", "lo", "hi", "first", "each", "place", "offset", "shift"]
-    places = spark.createDataFrame(pd.DataFrame(rows, columns=names).astype("int64"), ", ".join(f"{x} bigint" for x in names))
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
-    p, q = pieces.withColumn("rank", rank.cast("bigint")).alias("p"), places.alias("q")
+                rows.append((length, bucket, lo - at, hi - at, first_bin + first, each, position, offset, at - rank))
+    places = ints(rows, ["length", "bucket", "lo", "hi", "first", "each", "place", "offset", "shift"])
+    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "row")) - 1
+    p, q = own.withColumn("rank", rank.cast("bigint")).alias("p"), places.alias("q")
     i = F.col("p.rank") + F.col("q.shift")
     return p.join(q, (F.col("p.length") == F.col("q.length")) & (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.rank") >= F.col("q.lo")) & (F.col("p.rank") < F.col("q.hi"))).select(
         (F.col("q.first") + F.floor(i / F.col("q.each"))).cast("bigint").alias("bin_id"),
         (F.col("q.place") + i % F.col("q.each")).cast("bigint").alias("position"),
         (F.col("q.offset") + (i % F.col("q.each")) * F.col("p.length")).cast("bigint").alias("bin_offset"),
-        "p.doc_id", F.col("p.piece").cast("bigint").alias("piece"), (F.col("p.piece") * F.lit(capacity).cast("bigint")).alias("piece_start"), F.col("p.length").alias("length"),
+        "p.doc_id", "p.piece", (F.col("p.piece") * F.lit(capacity).cast("bigint")).alias("piece_start"), F.col("p.length").alias("length"),
     )
 
 
