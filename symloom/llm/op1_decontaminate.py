@@ -1,6 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-The items are partitioned by their number of distinct shingles, class u holding sizes in (u/2, u]. For each class every
+The items are partitioned by their number of distinct shingles, class u holding sizes in (u/2, u]; those of at most TINY shingles are looked up
+by each of their shingles instead, which misses none. For each other class every
 document, whole, is covered by windows of 2u shingles that overlap by u, so an item that occurs in a run of words lies within
 one window, and the Jaccard similarity of item and window has a floor that doesn't depend on the document's length. Each class
 takes its own banding from that floor. What the bands find is verified against all shingles of the whole document.
@@ -25,7 +26,9 @@ from symloom.llm.words import WORD_SQL, mix, shingles, shingles_of, slices, word
 
 K, THRESHOLD, PERMS = 5, 0.6, 48
 #: Items whose sketches are sent to the tasks at once; a larger benchmark is searched in as many passes as it takes.
-ITEMS_AT_ONCE = 20_000
+ITEMS_AT_ONCE = 100_000
+#: Items of at most so many distinct shingles are looked up by their shingles.
+TINY = 4
 #: Probability with which a band finds an item at the floor of its class.
 RECALL = 0.995
 SCHEMA = "doc_id bigint, item_id bigint, containment double"
@@ -52,28 +55,25 @@ class Index:
         self.ids, self.k, self.threshold, self.perms = ids, k, threshold, perms
         self.sets = [np.unique(shingles_of(t or "", k)) for t in texts]
         classes: dict[int, list[int]] = {}
+        tiny = [i for i, s in enumerate(self.sets) if 0 < len(s) <= TINY]
         for i, s in enumerate(self.sets):
-            if len(s):
-                classes.setdefault(max(8, 1 << math.ceil(math.log2(len(s)))), []).append(i)
+            if len(s) > TINY:
+                classes.setdefault(1 << math.ceil(math.log2(len(s))), []).append(i)
+        self.tiny = sorted_keys(np.concatenate([self.sets[i] for i in tiny]), np.repeat(tiny, [len(self.sets[i]) for i in tiny])) if tiny else None
         self.classes = []
         r = rows_per_band(floor(threshold), perms)
         for u, items in sorted(classes.items()):
-            mins = np.array([[(s * a).min() for a in seeds(perms)] for s in map(self.sets.__getitem__, items)], np.uint64)
-            bands = []
-            for key in band_keys(mins.T, r):
-                order = np.argsort(key, kind="stable")
-                near = np.zeros(1 << 16, bool)
-                near[key >> np.uint64(48)] = True
-                bands.append((key[order], np.array(items)[order], near))
-            self.classes.append((u, r, bands))
+            every, first = np.concatenate([self.sets[i] for i in items]), np.cumsum([0] + [len(self.sets[i]) for i in items[:-1]])
+            mins = np.array([np.minimum.reduceat(every * a, first) for a in seeds(perms)])
+            self.classes.append((u, r, [sorted_keys(key, np.array(items)) for key in band_keys(mins, r)]))
 
     def search(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For shingles of documents that begin at first: documents, items and exact containments of at least the threshold."""
-        found = []
         docs = np.flatnonzero(np.diff(first))
-        if len(docs) == 0 or not self.classes:
+        if len(docs) == 0 or not (self.classes or self.tiny):
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         size, begin = np.diff(first)[docs], first[:-1][docs]
+        found = [met(self.tiny, hashes, np.repeat(np.arange(len(docs)), size))] if self.tiny else []
         levels = []
         for u, r, bands in self.classes:
             blocks = -(-size // u)
@@ -82,7 +82,7 @@ class Index:
             inner = np.arange(at[-1]) - at[:-1][owner]
             levels.append((u, r, bands, owner, inner, at, np.concatenate([[False], owner[1:] == owner[:-1]])))
         rows: list[list[np.ndarray]] = [[] for _ in levels]
-        for p, a in enumerate(seeds(self.perms)):
+        for p, a in enumerate(seeds(self.perms) if levels else ()):
             values = hashes * a
             lower_u, lower, lower_at = 1, values, begin
             for n, (u, r, bands, owner, inner, at, joined) in enumerate(levels):
@@ -93,16 +93,11 @@ class Index:
                 rows[n].append(window)
                 if len(rows[n]) == r:
                     if p // r < len(bands):
-                        key, items, near = bands[p // r]
-                        mine = next(iter(band_keys(np.array(rows[n]), r)))
-                        hit = np.flatnonzero(near[mine >> np.uint64(48)])
-                        lo, hi = np.searchsorted(key, mine[hit]), np.searchsorted(key, mine[hit], side="right")
-                        for d, x, y in zip(owner[hit[hi > lo]], lo[hi > lo], hi[hi > lo]):
-                            found += [(int(d), int(i)) for i in items[x:y]]
+                        found.append(met(bands[p // r], next(iter(band_keys(np.array(rows[n]), r))), owner))
                     rows[n] = []
         out = []
         cached = (-1, None)
-        for d, i in sorted(set(found)):
+        for d, i in np.unique(np.concatenate(found), axis=0).tolist():
             if cached[0] != d:
                 cached = (d, np.unique(hashes[begin[d] : begin[d] + size[d]]))
             share = np.isin(self.sets[i], cached[1], assume_unique=True).sum() / len(self.sets[i])
@@ -111,6 +106,25 @@ class Index:
         return tuple(np.array(x, t) for x, t in zip(zip(*out) if out else ([], [], []), (int, int, float)))
 
 
+def sorted_keys(key: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, their items, and which leading 16 bits there are."""
+    order = np.argsort(key, kind="stable")
+    near = np.zeros(1 << 16, bool)
+    near[key >> np.uint64(48)] = True
+    return key[order], items[order], near
+
+
+def met(keys: tuple[np.ndarray, np.ndarray, np.ndarray], mine: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Distinct pairs (owner, item) that have a key in common."""
+    key, items, near = keys
+    hit = np.flatnonzero(near[mine >> np.uint64(48)])
+    lo, hi = np.searchsorted(key, mine[hit]), np.searchsorted(key, mine[hit], side="right")
+    on = hi > lo
+    lo, n = lo[on], (hi - lo)[on]
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.unique(np.stack([np.repeat(owner[hit[on]], n), items[np.repeat(lo, n) + inner]], axis=1), axis=0).astype(np.int64)
+
+
 def band_keys(mins: np.ndarray, r: int) -> Iterator[np.ndarray]:
     """For minima by permutation and set, one key a set for each full band of r permutations."""
     for b in range(len(mins) // r):
