@@ -7,9 +7,10 @@ all of them are computed exactly, block by block; its K nearest, with all that t
 
 The labelled rows are a bounded sample (SAMPLE a class, chosen by a hash of doc_id), so the broadcast doesn't grow with the data.
 
-Nulls: a null text counts as empty; labels with a null are not used; of several labels for a doc_id the worst counts. Empty texts
-are judged by their bins like others. Rows that are repeated are judged each. Without labelled documents, or if all have the same label,
-that vote is null and rejects nothing. Other columns are carried in a stage and ignored in the query.
+Nulls: a null text counts as empty; labels with a null are not used; of several labels for a doc_id the worst counts, and of several texts
+the least is learned from. A labelled document of the sample is one of its own neighbours when it is judged. Empty texts are judged by their bins like
+others, very long ones whole. Rows that are repeated are judged each. Without labelled documents, or if all have the same label,
+that vote is null and rejects nothing. An empty table gives no rows. Other columns are carried in a stage and ignored in the query.
 """
 
 from __future__ import annotations
@@ -166,11 +167,12 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     parts = [one.where((F.col("quality") == q) & (F.col("toxic") == t)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1) for t in (0, 1)]
     chosen = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    return own.join(F.broadcast(chosen), "doc_id")  # 4 x sample rows at most
+    # 4 x sample rows at most, whatever number of rows a doc_id has
+    return own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "quality", "toxic")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = labelled(docs, labels, sample).toPandas().drop_duplicates(["doc_id"]).sort_values("doc_id")
+    rows = labelled(docs, labels, sample).toPandas().sort_values("doc_id")
     return Model(rows.text.tolist(), rows.quality.to_numpy(), rows.toxic.to_numpy())
 
 
