@@ -11,9 +11,10 @@ MODULES = ["op1_decontaminate", "op2_ctw", "op3_pack", "op4_quality", "op5_hammi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(importlib.import_module(f"symloom.llm.{name}"), name) for name in MODULES}
+    found = {name: getattr(importlib.import_module(f"symloom.llm.{name}"), name) for name in MODULES}
+    return found | {"warc_records": importlib.import_module("symloom.llm.op10_warc").warc_records}
 
 
 def oracle_sql() -> dict[str, str]:
     sql = {name: importlib.import_module(f"symloom.llm.{name}").SQL for name in MODULES}
-    return {name: text for name, text in sql.items() if text}
+    return {name: text for name, text in sql.items() if text} | {"warc_records": importlib.import_module("symloom.llm.op10_warc").RECORDS_SQL}
