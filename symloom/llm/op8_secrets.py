@@ -11,8 +11,8 @@ any other part; where parts overlap, a redacted text has one spot for all of the
 Everything is built-in functions: documents without any part are dropped by one pattern right after the scan, places come
 from the lengths of what lies between matches, and only parts are shuffled, never texts.
 
-Nulls: a null text has no parts; a null doc_id is carried as null, its parts are linked within rows with the same text. Empty texts have no
-parts. Repeated rows count once. Values run to the end of their characters, whatever their length; what has no
+Nulls: a null text has no parts; a null doc_id is carried as null, its parts are linked within rows with the same text. Empty texts and empty tables
+have no parts. Repeated rows count once. Values run to the end of their characters, whatever their length; what has no
 bound repeats one class of characters or gives nothing back, so a very long text takes time in proportion. Values are reported as their length and a hash, never in clear, and kept as
 hashes from the scan on. Other columns are not looked at in the query and carried in the stage.
 """
