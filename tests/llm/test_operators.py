@@ -65,6 +65,21 @@ def test_decontaminate(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _ in docs} - {d for d, *_ in want}) and len(kept.columns) > 20
 
 
+def test_decontaminate_finds_the_shortest_items():
+    """Items of 5 to 8 words, so of 1 to 4 shingles, and ones of 9, each once in a text."""
+    texts = [prose(9000 + i, 5 + i % 5) for i in range(1500)]
+    index = op1.Index(list(range(1500)), texts, 5, 0.6, op1.PERMS)
+    docs = pa.array([prose(i, 40 + i % 90) + " " + t + " " + prose(i + 7000, 60) for i, t in enumerate(texts)])
+    from symloom.llm.words import shingles
+    from symloom.llm.words import words as hashed
+
+    d, i, share = index.search(*shingles(*hashed(docs), 5))
+    got = set(zip(d.tolist(), i.tolist()))
+    assert {(x, x) for x in range(1500) if x % 5 < 4} <= got and len({(x, x) for x in range(1500)} - got) <= 3
+    few = sorted((x, y) for x, y in got if x < 150 and y < 150)
+    assert few == [(x, y) for x, y, _ in leaks(list(enumerate(docs.to_pylist()[:150])), list(enumerate(texts[:150])))]
+
+
 def test_decontaminate_odd(spark):
     bench = spark.createDataFrame([(1, prose(2, 90), "z"), (None, prose(1, 80), "z"), (2, "", "z")], "item_id bigint, text string, doc_id string")
     got = rows(op1.decontaminate(documents(spark, odd(), True), bench))
@@ -122,14 +137,15 @@ def ctw_bits(corpus: list[bytes], text: bytes, depth: int) -> float:
     return total
 
 
-@pytest.mark.parametrize("most", [10**9, 12, 0])
-def test_context_tree_weighting(spark, most):
+@pytest.mark.parametrize(("most", "depth"), [(10**9, op2.DEPTH), (12, 2), (0, 4)])
+def test_context_tree_weighting(spark, most, depth, monkeypatch):
+    monkeypatch.setattr(op2, "WEIGHED", 5)
     texts = ["abracadabra abracadabra", "the cat sat on the mat, the cat", "ñandú é", "x", ""]
     docs = documents(spark, [(i, t) for i, t in enumerate(texts)] + [(9, None), (None, "the mat")])
-    got = {r.doc_id: r for r in op2.score(docs, op2.code_lengths(docs, 2), 2, most).collect()}
+    got = {r.doc_id: r for r in op2.score(docs, op2.code_lengths(docs, depth, 40), depth, most).collect()}
     corpus = [t.encode() for t in [*texts, "the mat"]]
     for i, t in [*enumerate(texts), (None, "the mat")]:
-        assert got[i].n_bytes == len(t.encode()) and abs(got[i].bits - ctw_bits(corpus, t.encode(), 2)) < 0.02, t
+        assert got[i].n_bytes == len(t.encode()) and abs(got[i].bits - ctw_bits(corpus, t.encode(), depth)) < 0.02, t
     assert got[9].n_bytes == 0 and got[9].bits == 0 and got[9].bits_per_byte is None and got[4].bits_per_byte is None
 
 
@@ -158,10 +174,11 @@ def best_fit(lengths: list[int], capacity: int) -> Counter:
     return Counter(map(sum, bins))  # which of equally full bins takes a piece is open; how full bins get isn't
 
 
-@pytest.mark.parametrize("capacity", [10, 64, 100])
-def test_packing(spark, capacity):
+@pytest.mark.parametrize(("capacity", "ranked"), [(10, 7), (64, 1_000_000), (100, 3)])
+def test_packing(spark, capacity, ranked):
     texts = [(i, "x" * (i * i * 31 % 230)) for i in range(150)] + [(7, "x" * 9), (7, "x" * 9), (None, "é" * 20), (8, None), (9, "")]
-    got = op3.pack(documents(spark, texts, True), capacity).collect()
+    texts += [(7, "x" * 31)] * 40
+    got = op3.pack(documents(spark, texts, True), capacity, ranked).collect()
     bins = defaultdict(list)
     for r in got:
         bins[r.bin_id].append(r)
@@ -213,6 +230,41 @@ def test_quality_votes_are_exact(spark):
     assert got[0] < 0.5 < got[1]
 
 
+def test_quality_space_is_the_plain_one():
+    """Which terms are chosen, their weights and the latent space, from the definitions."""
+    texts = [f"{'good' if i % 3 else 'bad'} {'fine' if i % 2 else 'dull'} w{i % 7} w{i % 5}" for i in range(120)]
+    y = np.array([int(i % 3 > 0) for i in range(120)])
+    docs, hashes = op4.term_sets(texts)
+    space = op4.Space(docs, hashes, y, 1024, 8)
+    has = defaultdict(set)
+    for d, h in zip(docs.tolist(), hashes.tolist()):
+        has[h].add(d)
+    want = {}
+    for h, ds in has.items():
+        n1, n0 = int(y.sum()), int((1 - y).sum())
+        p1, p0 = (sum(y[d] for d in ds) + 0.5) / (n1 + 1), (sum(1 - y[d] for d in ds) + 0.5) / (n0 + 1)
+        p = (p1 * n1 + p0 * n0) / (n1 + n0)
+        if abs(p1 - p0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12) >= op4.LEAST_Z:
+            want[h] = abs(math.log(p1 / p0))
+    assert dict(zip(space.vocabulary.tolist(), space.weight.tolist())) == pytest.approx(want, rel=1e-5) and want
+    plain = np.array([[w if d in has[h] else 0 for h, w in sorted(want.items())] for d in range(120)])
+    u, sv, vt = np.linalg.svd(plain, full_matrices=False)
+    left = (u * sv)[:, :8]
+    same = lambda x: x @ x.T  # noqa: E731, the space is defined up to signs and turns
+    x = np.concatenate([left, np.full((120, 1), op4.CONSTANT)], axis=1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose(same(space.vectors), same(x), atol=1e-4)
+
+
+def test_quality_of_several_texts_of_a_document(spark):
+    docs = [(i, prose(i, 60)) for i in range(30)] + [(100 + i, "JUNK!! " * 9) for i in range(30)]
+    labels = spark.createDataFrame([(d, int(d < 100), 0) for d, _ in docs], "doc_id bigint, quality int, toxic int")
+    more = docs + [(3, "zz other text")] * 5 + [(3, "AA least")]
+    for order in (more, more[::-1]):
+        got = op4.labelled(documents(spark, order), labels).where("doc_id = 3").collect()
+        assert [r.text for r in got] == ["AA least"]
+
+
 def test_quality_held_out():
     import pyarrow.parquet as pq
 
@@ -253,15 +305,15 @@ def nearest(codes: dict[int, int], k: int) -> list[tuple]:
 
 @pytest.mark.parametrize("bits", [64, 100])
 def test_hamming(spark, bits, monkeypatch):
-    monkeypatch.setattr(op5, "BLOCK", 90)
-    monkeypatch.setattr(op5, "QUERIES", 40)
+    monkeypatch.setattr(op5, "LEAST_QUERIES", 50)
     r = np.random.default_rng(bits)
     base = r.normal(size=(8, bits))
     vectors = [(i, (base[i % 8] + r.normal(size=bits) * (0.3 + i % 3)).tolist()) for i in range(230)]
     vectors += [(500 + i, vectors[3][1]) for i in range(14)]
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id bigint, embedding array<float>, neighbor_id string")
     codes = {i: sum(1 << j for j, x in enumerate(v) if np.float32(x) > 0) for i, v in vectors}
-    assert rows(op5.top_k(df, 5)) == nearest(codes, 5)
+    assert rows(op5.top_k(df, 5, block=90, queries=40)) == nearest(codes, 5)
+    assert rows(op5.top_k(df, 5, every=50)) == [r for r in nearest(codes, 5) if r[0] % 50 == 0]
 
 
 def test_hamming_odd(spark):
@@ -282,9 +334,10 @@ def jp(a: str, b: str, k: int = 3) -> float:
     return sum(1 / sum(max(x[o] / x[s], y[o] / y[s]) for o in both) for s in x if s in y)
 
 
-def groups(docs: list[tuple], threshold: float = op6.THRESHOLD) -> list[tuple]:
-    docs = [(d, t) for d, t in docs if d is not None and t is not None]
-    ids = sorted({d for d, _ in docs})
+def groups(docs: list[tuple], threshold: float = op6.THRESHOLD, texts: bool = False) -> list[tuple]:
+    """Texts by plain single linkage; different texts of a doc_id are nodes of their own. (doc_id, keep_id) of those that go."""
+    docs = sorted({(d, t) for d, t in docs if d is not None and t is not None}, key=lambda r: (r[0], hashlib.md5(r[1].encode()).digest()))
+    ids = range(len(docs))
     root = {d: d for d in ids}
 
     def top(x):
@@ -292,12 +345,14 @@ def groups(docs: list[tuple], threshold: float = op6.THRESHOLD) -> list[tuple]:
             x = root[x]
         return x
 
-    for i, (d, t) in enumerate(docs):
-        for e, u in docs[:i]:
+    for i, (_, t) in enumerate(docs):
+        for j, (_, u) in enumerate(docs[:i]):
             if t == u or WORD.findall(t.lower()) and WORD.findall(u.lower()) and jp(t, u) >= threshold:
-                a, b = sorted((top(d), top(e)))
+                a, b = sorted((top(i), top(j)))
                 root[b] = a
-    return sorted((d, top(d)) for d in ids if top(d) != d)
+    if texts:
+        return [docs[i] for i in ids if top(i) == i]
+    return sorted({(docs[i][0], docs[top(i)][0]) for i in ids if docs[top(i)][0] != docs[i][0]})
 
 
 def near_corpus() -> list[tuple]:
@@ -355,16 +410,19 @@ def parsed(text: bytes, known: bytes) -> int:
 
 def test_cross_parsing():
     learned = {"a": [b"the cat sat", b"on the mat"], "b": ["el niño y la niña".encode(), b"la casa"], "c": [b"zz"]}
-    texts = ["The cat!", "la niña y el cat", "", "12 34", "xyz", "the mat sat on the cat " * 200, None]
+    texts = ["The cat!", "la niña y el cat", "", "12 34", "xyz", "the mat sat on the cat " * 200, None, "zz" * 700, ""]
     parser = op7.Parser(learned)
-    n, size = parser.pieces(pa.array(texts, pa.string()), 64)
     body, at = op7.letters(pa.array(texts, pa.string()))
+    n, size = parser.pieces(pa.array(texts, pa.string()))
+    for segment, most in ((1, 3), (8, 30), (64, 5000), (1000, 200)):
+        again, _ = parser.pieces(pa.array(texts, pa.string()), segment, most)
+        assert (again == n).all()
     for i in range(len(texts)):
         t = body[at[i] : at[i + 1]].tobytes()
         assert size[i] == len(t)
         for j, language in enumerate(parser.languages):
             known = b"\0".join(learned[language])
-            assert n[j, i] == sum(parsed(t[a : a + 64], known) for a in range(0, len(t), 64)), (texts[i], language)
+            assert n[j, i] == parsed(t, known), (texts[i], language)
 
 
 def test_language_of_whole_table(spark):
@@ -388,11 +446,19 @@ def test_language_of_long_texts_only(spark):
     docs = [(i, prose(i, 60), "aa") for i in range(20)] + [(100 + i, "żółw ścieżka gęś " * 400, "bb") for i in range(3)] + [(200, prose(77, 5000), "aa")]
     own = documents(spark, docs)
     texts = op7.labelled(own)
-    assert sorted(texts) == ["aa", "bb"] and len(texts["aa"]) == op7.DOCS and len(texts["bb"]) == 3 and max(map(len, texts["aa"] + texts["bb"])) <= op7.BYTES
+    assert sorted(texts) == ["aa", "bb"] and len(texts["aa"]) == op7.DOCS and 3 <= len(texts["bb"]) <= 6 and max(map(len, texts["aa"] + texts["bb"])) <= 2 * op7.CHARS
     got = {r.doc_id: r.language for r in op7.identify(own, texts).collect()}
     assert got == {d: lang for d, _, lang in docs}
 
 
+def test_language_learns_from_all_of_a_long_text(spark):
+    """Sixteen pieces of one text, from its beginning to its end."""
+    long = " ".join(prose(i, 700) for i in range(40))
+    texts = op7.labelled(documents(spark, [(1, long, "aa")]))["aa"]
+    places = sorted(long.find(t.decode().strip()) for t in texts)
+    assert len(texts) == op7.DOCS and places[0] >= 0 and places[-1] > len(long) / 2 and len(set(places)) == op7.DOCS
+
+
 # --- 8
 
 def test_secrets_link(spark):
@@ -476,22 +542,23 @@ def test_secrets_multipart(spark):
 
 # --- 9
 
-def passages(docs: list[tuple], length: int) -> list[tuple]:
+def passages(docs: list[tuple], length: int, within: bool = False) -> list[tuple]:
     texts: dict[str, int] = {}
     ids: dict[str, set] = defaultdict(set)
     for d, t in docs:
         if d is not None and t is not None:
             texts[t] = min(texts.get(t, d), d)
             ids[t].add(d)
-    where = defaultdict(set)
+    where, places = defaultdict(set), Counter()
     for t, node in texts.items():
         for g in grams(t, length):
             where[g].add(node)
+            places[g] += 1
     out = set()
     for t, node in texts.items():
         run = None
         for i, g in enumerate([*grams(t, length), None]):
-            least = min(where[g]) if g is not None and len(where[g]) > 1 else None
+            least = min(where[g]) if g is not None and (len(where[g]) > 1 or within and places[g] > 1) else None
             if run and (least != run[1] or least is None):
                 out.add((node, run[0], i - run[0] + length - 1, run[1]))
                 run = None
@@ -503,13 +570,13 @@ def passages(docs: list[tuple], length: int) -> list[tuple]:
     return sorted(out)
 
 
-@pytest.mark.parametrize("tasks", [16_000, 3])
-def test_repeated_passages(spark, tasks):
+@pytest.mark.parametrize(("tasks", "hot", "within"), [(16_000, None, False), (3, 4, False), (3, 100, True), (16_000, 1, True)])
+def test_repeated_passages(spark, tasks, hot, within):
     shared = [prose(700 + i, 20 + 9 * i) for i in range(6)]
     docs = [(i, f"{prose(i, 30 + i)} {shared[i % 6]}, {prose(i + 40, 25)} {shared[(i * 5 + 1) % 6].upper()}" if i % 3 else prose(i, 90)) for i in range(40)]
-    docs += [(100 + i, docs[4][1]) for i in range(5)] + [(200, "la " * 60), (201, "la " * 45), (202, shared[2]), (203, "la la")]
-    got = rows(op9.repeated_passages(documents(spark, docs), 12, 4, tasks))
-    assert got == passages(docs, 12) and len(got) > 60
+    docs += [(100 + i, docs[4][1]) for i in range(5)] + [(200, "la " * 60), (201, "la " * 45), (202, shared[2]), (203, "la la"), (204, f"{prose(91, 40)} {prose(92, 9)} {prose(91, 40)}"), (-3, prose(91, 40)[9:]), (203, "la la"), (3, docs[3][1])]
+    got = rows(op9.repeated_passages(documents(spark, docs), 12, 4, tasks, within, hot))
+    assert got == passages(docs, 12, within) and len(got) > 60
 
 
 def test_copies_go_by_text(spark):
@@ -518,8 +585,26 @@ def test_copies_go_by_text(spark):
     docs = [(1, a), (5, a), (5, b), (7, b), (9, prose(803, 30) + " " + " ".join(b.split()[5:45]))]
     got = rows(op9.repeated_passages(documents(spark, docs), 12, 4))
     assert got == passages(docs, 12) and {r[0] for r in got} == {1, 5, 7, 9}
-    near = docs[:4] + [(8, b + " and more"), (9, prose(804, 70))]
-    assert rows(op6.near_duplicates(documents(spark, near))) == [(5, 1), (7, 1), (8, 1)]
+    near = docs[:4] + [(8, b + " and more"), (9, prose(804, 70)), (9, prose(805, 70)), (9, prose(805, 70)), (9, None)]
+    assert rows(op6.near_duplicates(documents(spark, near))) == groups(near) == [(5, 1), (7, 5), (8, 5)]
+    kept = [(r.doc_id, r.text) for r in op6.one_of_each(documents(spark, near, True)).collect()]
+    assert sorted(kept, key=str) == sorted([*groups(near, texts=True), (9, None)], key=str) and len(kept) == 5
+
+
+def test_hot_bands_are_compared_in_blocks(spark, monkeypatch):
+    """Many texts of which each has a link to some others only, and all share bands: passes with new centres and blocks lose no link."""
+    monkeypatch.setattr(op6, "BLOCK", 3)
+    base = words(31, 40)
+    docs = [(100 * g + i, " ".join(base[: 18 + g] + words(60 + g, 22) + words(1000 * g + i, 2))) for g in range(5) for i in range(6)]
+    got = rows(op6.near_duplicates(documents(spark, docs), registers=90, rows=1, threshold=0.75))
+    assert got == groups(docs, 0.75) and len({k for _, k in got}) > 1
+
+
+def test_which_row_stays_is_settled(spark):
+    text = prose(806, 40)
+    rows_ = [(1, text, "de"), (1, text, "aa"), (1, text, "en")]
+    assert [r.lang for r in op6.one_of_each(documents(spark, rows_)).collect()] == ["aa"]
+    assert [r.lang for r in op6.one_of_each(documents(spark, rows_[::-1])).collect()] == ["aa"]
 
 
 def test_repeated_passages_odd(spark):
