@@ -167,32 +167,74 @@ class _Walk:
         return end + 1
 
     def words(self, i: int, stop: int) -> None:
-        """All names of a region as references to types, as parameters and fields are read."""
-        for k in range(i, stop):
-            if self.src.is_word(k) and self.src.at(k) not in _PREDEFINED | _MODIFIERS | _CONTROL | {"params", "get", "set", "init", "where", "null", "true", "false", "value"}:
-                t = self.src.tokens[k]
-                self.out.ref(self.src, self.text(k, k + 1), "type", t.start, t.stop)
+        """The names of a region as references to types, as parameters, fields and properties are read: a generic or dotted name is one, a call
+        or a new object none; after = dots are members."""
+        src, k, value = self.src, i, False
+        while k < stop:
+            if src.at(k) in ("=", "=>"):
+                value = True
+            elif src.at(k) in (",", ";"):
+                value = False
+            elif src.at(k) == "new":
+                k = self.type_end(k + 1, stop)
+                while src.at(k) in ("(", "{", "[") and k < stop:
+                    k = src.after(k)
+                continue
+            elif src.is_word(k) and src.at(k) not in _MODIFIERS | _CONTROL - {"var"} | {"params", "get", "set", "init", "add", "remove", "where", "null", "true", "false", "value", "this"}:
+                end = self.type_end(k, stop) if not value else k + 1
+                if value and src.at(k + 1) == "<" and (past := src.skip_angles(k + 1, stop)) > k + 1 and src.at(past) in ("(", ".", ")", ",", ";"):
+                    end = past
+                if value and src.at(end) == "(" and end < stop:
+                    k = src.after(end)
+                    continue
+                last = end
+                while not value and src.at(last - 1) in ("]", "?") and last - 1 > k:  # arrays and nullables are written around the name
+                    last = src.partner.get(last - 1, last - 1)
+                self.out.ref(src, self.text(k, last), "type", src.tokens[k].start, src.tokens[last - 1].stop)
+                k = end
+                continue
+            k += 1
+
+    def type_end(self, i: int, stop: int) -> int:
+        """Past the type that begins at i: a name with its path and arguments, or a tuple, and what follows for arrays and nullables."""
+        src = self.src
+        if src.at(i) == "(":
+            k = src.after(i)
+        else:
+            k = i + 1
+            while k < stop:
+                if src.at(k) in (".", "::") and src.is_word(k + 1):
+                    k += 2
+                elif src.at(k) == "<" and (past := src.skip_angles(k, stop)) > k:
+                    k = past
+                else:
+                    break
+        while k < stop and (src.at(k) in ("?", "*") or src.at(k) == "[" and set(src.at(x) for x in range(k + 1, src.partner[k])) <= {","}):
+            k = src.after(k)
+        return min(k, stop)
 
     def member(self, i: int, k: int, stop: int, parent: str, vis: str) -> int:
         src = self.src
         short = parent.rsplit("::", 1)[-1]
         if src.at(k) == short and src.at(k + 1) == "(":
             return self.callable(i, k, k, stop, parent, vis, "constructor")
-        end = k
-        while end < stop and src.at(end) not in (";", "{", "=", "(", "=>", ","):
-            if src.at(end) == "<":
-                end = max(src.skip_angles(end, stop), end + 1)
-            else:
-                end = src.after(end)
-            if src.at(end) == "(" and src.at(end - 1) not in (">",) and not src.is_word(end - 1):
-                end = src.after(end)
+        name_at = self.type_end(k, stop)
+        if src.at(name_at) == "(" and name_at < stop and name_at - 1 > k and src.is_word(name_at - 1) and not src.is_word(name_at):
+            return max(src.after(src.find(name_at, stop, "{", ";")), i + 1)  # a conversion or an operator
+        if name_at < stop and src.is_word(name_at):
+            while src.at(name_at + 1) in (".", "::") and src.is_word(name_at + 2):  # a member of an interface by its full name
+                name_at += 2
+            at = src.skip_angles(name_at + 1, stop)
+            if src.at(at) == ".":
+                while src.at(at) == "." and src.is_word(at + 1):
+                    name_at, at = at + 1, src.skip_angles(at + 2, stop)
+            end = at
+        else:
+            end = src.find(k, stop, ";", "{", "=", "(", "=>", ",")
         if end >= stop:
             return stop
         t = src.at(end)
-        name_at = end - 1
-        if t == "(" and src.at(name_at) == ">":
-            name_at = max((x for x in range(k, end) if src.is_word(x) and src.skip_angles(x + 1, end) == end), default=name_at)
-        if not src.is_word(name_at) or name_at <= k:
+        if name_at >= stop or not src.is_word(name_at) or name_at <= k:
             return max(src.after(end), i + 1)
         if t == "(":
             return self.callable(i, name_at, k, stop, parent, vis, "method")
@@ -211,15 +253,14 @@ class _Walk:
         end = min(src.find(k, stop, ";", "{"), stop - 1)
         if src.at(end) == "{":
             end = src.partner[end]
-        names, a = [], k
+        names, a = [], self.type_end(k, end)
         while a < end:
-            b = src.find(a, end, ",")
-            eq = src.find(a, b, "=")
-            if src.is_word(eq - 1) and (names or eq - 1 > k):
-                names.append(self.text(eq - 1, eq))
-            if not names and src.skip_angles(k + 1, end) > b:
-                b = src.skip_angles(k + 1, end) - 1
-            a = b + 1
+            if src.is_word(a) and src.at(a + 1) in ("=", ",", ";", "{", "[") or src.is_word(a) and a + 1 >= end:
+                names.append(self.text(a, a + 1))
+            while a < end and src.at(a) != ",":
+                past = src.skip_angles(a, end)
+                a = past if past > a and src.at(past) in ("(", "[", "{", ".", ")", ",", ";") and src.is_word(a - 1) else src.after(a)
+            a += 1
         for name in names:
             self.out.symbol(src, joined(self.module, parent, name), name, kind, src.tokens[i].start, src.tokens[end].stop, parent, None, vis, self.doc(i))
         self.words(k, end)

@@ -98,7 +98,9 @@ class _Walk:
         qname = joined(self.package, parent, name)
         a = src.tokens[i].start
         self.out.symbol(src, qname, name, "method" if receiver else "function", a, src.tokens[end].stop, parent, src.text(a, src.tokens[head].start).strip() if open_at is not None else None, visibility(name), self.doc(i))
-        self.types_in(i + 1, params)
+        if receiver:
+            self.types_in(i + 1, k)
+        self.types_in(k + 1, params)
         self.types_in(params, head)
         if open_at is not None:
             self.inside(open_at + 1, end, qname)
@@ -190,14 +192,77 @@ class _Walk:
             k += 2
         return k < stop and src.is_word(k) and (src.is_word(k + 1) or src.at(k + 1) in ("*", "[", "...")) and k + 1 < stop
 
+    def type_end(self, i: int, stop: int) -> int:
+        """Past the type that begins at i."""
+        src = self.src
+        while i < stop:
+            t = src.at(i)
+            if t in ("*", "<-", "chan"):
+                i += 1
+            elif t == "[":
+                i = src.after(i)
+            elif t == "map" and src.at(i + 1) == "[":
+                i = src.after(i + 1)
+            elif t == "func":
+                return self.header_end(i, stop)
+            elif t in ("struct", "interface") or t == "(":
+                return src.after(i + (t != "("))
+            elif src.is_word(i):
+                i += 3 if src.at(i + 1) == "." else 1
+                return src.after(i) if src.at(i) == "[" and src.is_word(i + 1) and src.after(i) <= stop else i
+            else:
+                return i
+        return i
+
+    def header_end(self, i: int, stop: int) -> int:
+        """Past the parameters and results of a function that begins with func at i and has no name."""
+        src = self.src
+        i = src.after(i + 1) if src.at(i + 1) == "(" else i + 1
+        return self.type_end(i, stop) if i < stop and (src.is_word(i) and src.at(i) not in ("in",) or src.at(i) in ("(", "*", "[", "<-")) else i
+
+    def body_types(self, i: int, stop: int) -> list[tuple[int, int]]:
+        """Where types stand in a body, apart from literals and variables: of assertions, type switches, function literals, make and new, and arguments of generics."""
+        src, out = self.src, []
+        for k in range(i, stop):
+            t = src.at(k)
+            if t == "." and src.at(k + 1) == "(" and src.at(k + 2) != "type":
+                out.append((k + 2, src.partner.get(k + 1, k + 1)))
+            elif t in ("make", "new") and src.at(k + 1) == "(" and src.at(k - 1) != ".":
+                out.append((k + 2, self.type_end(k + 2, src.partner.get(k + 1, k + 1))))
+            elif t == "func" and src.at(k + 1) == "(":
+                out.append((k + 1, self.header_end(k, stop)))
+            elif t == "map" and src.at(k + 1) == "[" or t == "[" and src.at(k + 1) == "]" and src.at(k - 1) in ("(", ",", "=", ":=", "return", "{", ":", "&"):
+                out.append((k + 1, self.type_end(k, stop)))
+            elif t == "[" and src.is_word(k - 1) and src.at(src.after(k)) in ("(", "{") and all(src.at(x)[:1].isupper() or src.at(x) in _BUILTIN_TYPES for x in range(k + 1, src.partner.get(k, k)) if src.is_word(x)):
+                out.append((k, src.after(k)))
+            elif t == "switch":
+                open_at = src.find(k, stop, "{")
+                if any(src.at(x) == "type" and src.at(x - 1) == "(" and src.at(x - 2) == "." for x in range(k, min(open_at, stop))):
+                    close, x = src.partner.get(open_at, stop), open_at + 1
+                    while x < close:
+                        if src.at(x) == "case":
+                            out.append((x + 1, src.find(x, close, ":")))
+                        x = src.after(x)
+        return out
+
     def inside(self, i: int, stop: int, caller: str) -> None:
         src = self.src
+        before = len(self.out.refs)
+        for a, b in self.body_types(i, stop):
+            if src.at(a - 1) == "case":
+                while a < b:
+                    end = src.find(a, b, ",")
+                    self.types_in(a, end)
+                    a = end + 1
+            else:
+                self.types_in(a, b)
+        done = {(r["line"], r["col"]) for r in self.out.refs[before:]}
         for k in range(i, stop):
             t = src.tokens[k]
-            if t.kind != "word" or t.text in _KEYWORDS:
+            if t.kind != "word" or t.text in _KEYWORDS or src.position(t.start) in done:
                 continue
             called = k + 1
-            if src.at(called) == "[" and src.at(src.after(called)) == "(" and t.text[0].isupper():
+            if src.at(called) == "[" and src.at(src.after(called)) == "(" and (called, src.after(called)) in set(self.body_types(k, called + 1)):
                 called = src.after(called)
             if src.at(called) == "(":
                 if t.text in _BUILTIN_TYPES:
@@ -214,8 +279,8 @@ class _Walk:
                 name = self.word(k)
                 self.out.call(src, caller, name, src.tokens[start].start)
                 self.out.ref(src, name, "call", src.tokens[start].start, src.tokens[src.partner.get(called, called)].stop)
-            elif src.at(called) == "{" and t.text[0].isupper() and src.at(k - 1) not in ("range",) or src.at(k - 1) == "var" and False:
+            elif src.at(called) == "{" and (t.text[0].isupper() or src.at(k - 1) == "]") and src.at(k - 1) not in ("range",):
                 self.out.ref(src, self.word(k), "type", t.start, t.stop)
-            elif src.at(k - 1) == "var" and called < stop and self.line(called) == self.line(k):
+            elif src.at(k - 1) in ("var", "const") and called < stop and self.line(called) == self.line(k):
                 end = min(src.find(called, self.line_end(k, stop), "="), self.line_end(k, stop))
                 self.types_in(called, end)

@@ -79,6 +79,8 @@ class _Walk:
             k, vis = self.modifiers(i, stop)
             if src.at(k) in _TYPES or src.at(k) == "@" and src.at(k + 1) == "interface":
                 i = self.type(i, k, stop, prefix, None, vis, self.doc(i))
+            elif self.is_record(k):
+                i = self.after_record(k, stop)
             else:
                 i = max(src.after(k), i + 1)
 
@@ -104,24 +106,53 @@ class _Walk:
         return close + 1
 
     def references(self, i: int, stop: int, owner: str) -> None:
-        """Every named type in a header or a member's type, generic and inner names each."""
-        src = self.src
-        k = i
+        """Every named type in a header: generic ones as written, and the names in them each."""
+        src, k = self.src, i
         while k < stop:
-            if src.at(k) == "@":
-                k += 2
-                continue
-            if src.is_word(k) and src.at(k) not in ("extends", "implements", "permits", "super"):
-                last = k
-                while src.at(last + 1) == "." and src.is_word(last + 2) and last + 2 < stop:
-                    last += 2
-                name = self.text(k, last + 1)
-                if name not in _SKIPPED:
-                    self.out.relation(owner, "references", name, src.position(src.tokens[k].start)[0])
-                k = last + 1
+            if src.is_word(k) and src.at(k) not in ("extends", "implements", "permits"):
+                node, k = self.type_at(k, stop)
+                self.referred(node, owner)
             else:
                 k += 1
 
+    def inner_references(self, i: int, stop: int, owner: str) -> None:
+        """The named types within the type of a member: of a type without arguments or dimensions none."""
+        if i < stop:
+            for child in self.type_at(i, stop)[0][2]:
+                self.referred(child, owner)
+
+    def type_at(self, i: int, stop: int) -> tuple[tuple[int, int, list], int]:
+        """The type that begins at i as (first token, end, inner types), and where it ends. Inner types are those of a path, arguments and elements."""
+        src = self.src
+        while src.at(i) == "@":
+            i = self.modifiers(i, stop)[0]
+        node, k = (i, i + 1, []), i + 1
+        while k < stop:
+            if src.at(k) == "<" and (past := src.skip_angles(k, stop)) > k:
+                inner, x = [], k + 1
+                while x < past - 1:
+                    if src.is_word(x) and src.at(x) not in ("extends", "super"):
+                        child, x = self.type_at(x, past - 1)
+                        inner.append(child)
+                    else:
+                        x += 1
+                node, k = (i, past, [node, *inner]), past
+            elif src.at(k) == "." and src.is_word(k + 1):
+                node, k = (i, k + 2, [node, (k + 1, k + 2, [])]), k + 2
+            elif src.at(k) == "[" and src.at(k + 1) == "]":
+                node, k = (i, k + 2, [node]), k + 2
+            else:
+                break
+        return node, k
+
+    def referred(self, node: tuple[int, int, list], owner: str) -> None:
+        a, b, inner = node
+        name = self.text(a, b)
+        if name not in _SKIPPED and self.src.at(b - 1) != "]":
+            self.out.relation(owner, "references", name, self.src.position(self.src.tokens[a].start)[0])
+        for child in inner:
+            self.referred(child, owner)
+
     def constants(self, i: int, close: int, owner: str) -> int:
         src = self.src
         while i < close and src.at(i) != ";":
@@ -159,35 +190,59 @@ class _Walk:
             if src.at(k) == "{":
                 i = src.after(k)
                 continue
+            if self.is_record(k):
+                i = self.after_record(k, stop)
+                continue
             t = src.skip_angles(k, stop)
+            while src.at(t) == "@":  # of the result's type
+                t = self.modifiers(t, stop)[0]
             if src.is_word(t) and src.at(t + 1) == "(" and src.at(t) == type_name.split(".")[-1]:
                 i = self.callable(i, t, t, stop, owner, vis, "constructor")
                 continue
-            end = src.find(t, stop, ";", "{", "=", "(", ",")
-            if end >= stop:
-                return
-            name_at = end - 1
-            while name_at > t and src.at(name_at) in ("[", "]"):
-                name_at -= 1
-            if not src.is_word(name_at) or name_at == t:
+            name_at = self.type_at(t, stop)[1] if src.is_word(t) else t
+            if name_at >= stop or not src.is_word(name_at) or name_at == t:
+                end = src.find(t, stop, ";", "{", "=", "(", ",")
+                if end >= stop:
+                    return
                 i = max(src.after(end), i + 1)
                 continue
-            if src.at(end) == "(":
-                self.references(t, name_at, owner)
-                i = self.callable(i, name_at, t, stop, owner, vis, "method")
+            if src.at(name_at + 1) == "(":
+                after = self.callable(i, name_at, t, stop, owner, vis, "method")
+                self.inner_references(t, name_at, owner)
+                i = after
                 continue
             stop_at = src.find(name_at, stop, ";")
-            self.references(t, name_at, owner)
-            a = name_at
-            while a < stop_at:
-                b = src.find(a, stop_at, ",")
-                if src.is_word(a):
-                    name = self.text(a, a + 1)
-                    last = min(stop_at, stop - 1)
-                    out.symbol(src, named(owner, name), name, "field", src.tokens[i].start, src.tokens[last].stop, owner, self.one_line(i, last + 1), vis, None)
-                a = b + 1
+            last = min(stop_at, stop - 1)
+            for at in self.declared(name_at, stop_at):
+                name = self.text(at, at + 1)
+                out.symbol(src, named(owner, name), name, "field", src.tokens[i].start, src.tokens[last].stop, owner, self.one_line(i, last + 1), vis, None)
+            self.inner_references(t, name_at, owner)
             i = stop_at + 1
 
+    def declared(self, i: int, stop: int) -> list[int]:
+        """The names of a field declaration that begin at i: the first, and those after a comma that no argument of a type or call is before."""
+        src, out = self.src, []
+        while i < stop:
+            if src.is_word(i) and src.at(i + 1) in ("=", ",", ";", "[") or i + 1 >= stop and src.is_word(i):
+                out.append(i)
+            k = src.find(i, stop, "=", ",")
+            if src.at(k) == "=" and k < stop:
+                while k < stop and src.at(k) != ",":
+                    past = src.skip_angles(k, stop)
+                    k = past if past > k and src.at(past) in ("(", "[", "::", "{", ".") else src.after(k)
+            i = k + 1
+        return out
+
+    def is_record(self, k: int) -> bool:
+        src = self.src
+        return src.at(k) == "record" and src.is_word(k + 1) and src.at(src.skip_angles(k + 2, len(src.tokens))) == "("
+
+    def after_record(self, k: int, stop: int) -> int:
+        """Records and what is in them are no symbols."""
+        src = self.src
+        open_at = src.find(k, stop, "{")
+        return src.after(open_at) if open_at < stop else stop
+
     def callable(self, i: int, name_at: int, type_at: int, stop: int, owner: str, vis: str | None, kind: str) -> int:
         src = self.src
         end = src.find(src.after(name_at + 1), stop, "{", ";")

@@ -8,6 +8,9 @@ from bisect import bisect_right
 
 from symloom.extract.record import Found, joined
 
+_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError)
+#: Lines that an error is in become one of these, so that what is around them can be read.
+_HEADS = [(re.compile(rb"except\b"), b"except:"), (re.compile(rb"finally\b"), b"finally:"), (re.compile(rb"elif\b"), b"elif 1:"), (re.compile(rb"else\b"), b"else:")]
 _DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([A-Za-z_]\w*)", re.M)
 
 
@@ -18,7 +21,7 @@ def extract(body: str, module: str) -> Found:
     walk = _Walk(data, out, module)
     try:
         tree = ast.parse(data)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except _ERRORS:
         walk.broken()
     else:
         walk.block(tree.body, None, "module")
@@ -102,13 +105,58 @@ class _Walk:
         self.out.refs.sort(key=key)
 
     def broken(self) -> None:
-        """Definitions by their lines and indentation, without what lies within."""
+        """Block after block of lines; of a block with errors what is left without the lines that they are in, and where that fails its definitions."""
+        lines = self.data.split(b"\n")
+        at = [i for i, x in enumerate(lines) if x[:1].strip() and x[:1] not in b"#)]}\"'" and not re.match(rb"(?:else|elif|except|finally)\b", x)]
+        cuts = sorted({0, *(i for j, i in enumerate(at) if not (j and lines[at[j - 1]][:1] == b"@"))}) + [len(lines)]
+        for a, b in zip(cuts, cuts[1:]):
+            tree = self.repaired(lines, a, b)
+            if tree is None:
+                self.definitions(a, b)
+            else:
+                self.block(tree.body, None, "module")
+
+    def repaired(self, lines: list[bytes], a: int, b: int) -> ast.Module | None:
+        """The tree of lines [a, b), which keep their numbers, after as many repairs as it has lines."""
+        own = lines[a:b]
+        for _ in range(len(own) + 1):
+            text = b"\n" * a + b"\n".join(own)
+            try:
+                return ast.parse(text)
+            except SyntaxError as e:
+                bad = (e.lineno or 0) - 1 - a
+                bad = min(max(bad, 0), len(own) - 1)
+                if own[bad].strip() in (b"", b"pass"):  # what an error is told after
+                    bad = max((i for i in range(bad) if own[i].strip() not in (b"", b"pass")), default=-1)
+                if bad < 0:
+                    return None
+                if not own[bad].isascii():  # bytes that are no text
+                    try:
+                        own[bad].decode()
+                    except UnicodeDecodeError:
+                        own[bad] = re.sub(rb"[\x80-\xff]", b"_", own[bad])
+                        continue
+                if _DEF.match(own[bad].decode("utf-8", "replace")):
+                    return None
+                body = own[bad].lstrip()
+                indent = own[bad][: len(own[bad]) - len(body)]
+                head = next((new for old, new in _HEADS if old.match(body)), None)
+                new = indent + (head or (b"if 1:" if body.rstrip().endswith(b":") else b"pass"))
+                own[bad] = new if new != own[bad].rstrip() else indent + b"pass"
+            except (ValueError, RecursionError, MemoryError):
+                return None
+        return None
+
+    def definitions(self, a: int, b: int) -> None:
+        """Definitions that begin in lines [a, b) by their lines and indentation, without what lies within."""
         text = self.data.decode("utf-8", "replace")
         lines = text.split("\n")
         open_: list[tuple[int, str, str]] = []
         for m in _DEF.finditer(text):
             depth, kind, name = len(m[1].expandtabs()), m[2], m[3]
             line = text.count("\n", 0, m.start(2)) + 1
+            if not a < line <= b:
+                continue
             while open_ and open_[-1][0] >= depth:
                 open_.pop()
             if any(k == "def" for _, k, _ in open_):
@@ -125,8 +173,8 @@ class _Walk:
                 if stripped_:
                     end = j + 1
             col = len(m[1].encode())
-            a = self.starts[line - 1] + col
-            b = self.starts[end - 1] + len(lines[end - 1].rstrip("\r").encode())
+            start = self.starts[line - 1] + col
+            stop = self.starts[end - 1] + len(lines[end - 1].rstrip("\r").encode())
             signature = lines[line - 1].strip().rstrip(":").strip()
-            self.symbol(qname, name, "class" if kind == "class" else "method" if parent else "function", a, b, (line, col, end, b - self.starts[bisect_right(self.starts, max(b - 1, 0)) - 1]), parent, signature, None)
+            self.symbol(qname, name, "class" if kind == "class" else "method" if parent else "function", start, stop, (line, col, end, stop - self.starts[bisect_right(self.starts, max(stop - 1, 0)) - 1]), parent, signature, None)
             open_.append((depth, kind, qname))

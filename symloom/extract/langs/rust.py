@@ -169,30 +169,47 @@ class _Walk:
                 self.out.relation(owner, "field_type", src.text(src.tokens[a].start, src.tokens[b - 1].stop).strip(), src.position(src.tokens[a].start)[0])
 
     def inside(self, i: int, stop: int, caller: str) -> None:
-        """Calls, and names that stand where a type can."""
-        src = self.src
-        for k in range(i, stop):
+        """Calls, and names that stand where a type can. What a macro is given are tokens, neither calls nor types."""
+        src, k = self.src, i - 1
+        body = next((x for x in range(i, stop) if src.at(x) == "{"), stop)
+        while (k := k + 1) < stop:
             t = src.tokens[k]
             if t.kind != "word":
                 continue
+            if src.at(k + 1) == "!" and src.at(k + 2) in ("(", "[", "{"):
+                k = src.after(k + 2) - 1
+                continue
             called = k + 1
             if src.at(k + 1) == "::" and src.at(k + 2) == "<":
                 called = src.skip_angles(k + 2, stop)
             if src.at(called) == "(" and t.text not in KEYWORDS - {"self", "Self", "super", "crate"} and src.at(k - 1) not in ("fn", "!"):
                 a = self.callee_start(k, i)
                 self.out.call(src, caller, src.text(src.tokens[a].start, src.tokens[called - 1].stop), src.tokens[a].start)
-            if t.text[0].isupper() and t.text not in KEYWORDS and t.text not in PRIMITIVES and self.in_type(k):
+            if t.text not in KEYWORDS and t.text not in PRIMITIVES and self.in_type(k) and (t.text[0].isupper() or self.after_type_mark(k, k < body)):
                 self.out.ref(src, src.text(t.start, t.stop), "type", t.start, t.stop)
 
+    def after_type_mark(self, k: int, header: bool) -> bool:
+        """Whether a type must stand here whatever its name looks like: after ->, as or dyn, after the colon of a parameter or a let."""
+        src, p = self.src, k - 1
+        while src.at(p) in ("&", "mut", "*", "const", "[", "&&") or 0 <= p and src.tokens[p].kind == "lifetime":
+            p -= 1
+        if src.at(p) in ("->", "as", "dyn"):
+            return True
+        if src.at(p) == "<":  # an argument of a generic type that stands in such a place
+            return src.is_word(p - 1) and (src.at(p - 1)[0].isupper() or self.after_type_mark(p - 1, header)) and src.skip_angles(p, len(src.tokens)) > p
+        if src.at(p) != ":":
+            return False
+        return header or src.at(p - 2) == "let" or src.at(p - 2) == "mut" and src.at(p - 3) == "let"
+
     def callee_start(self, k: int, floor: int) -> int:
         """Back over a path or a chain of members to where the callee's text begins."""
         src = self.src
         while k > floor:
             before = src.at(k - 1)
-            if before in ("::", "."):
+            if before in ("::", ".", "?."):
                 k -= 1
                 p = k - 1
-                if src.at(p) == "?":
+                while src.at(p) in ("?", "??"):
                     p -= 1
                 while src.at(p) in (")", "]"):
                     p = src.partner.get(p, p) - 1

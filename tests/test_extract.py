@@ -89,6 +89,19 @@ def test_rust_docs_and_modules():
     assert symbols(found("#[derive(Debug)]\nstruct X;", "rust", "x.rs")) and one(found("#[derive(Debug)]\nstruct X;", "rust", "x.rs"), "X")["start_line"] == 2
 
 
+def test_rust_macros_chains_and_small_types():
+    f = found("""fn f(a: my_type, b: &mut other<inner>) -> res_t {
+    println!("{}", hidden(Gone)); vec![lost(1)];
+    let v: small = x.y()?.z(1)?.w();
+    let s = Point { field: value };
+    let n = q as size_t;
+    let m: Vec<tiny> = g::<Big>(a)?.b()??.c();
+}
+""", "rust", "src/m.rs")
+    assert calls(f) == {("src::m::f", x) for x in ("x.y", "x.y()?.z", "x.y()?.z(1)?.w", "g::<Big>", "g::<Big>(a)?.b", "g::<Big>(a)?.b()??.c")}
+    assert {r["raw_name"] for r in f.refs} == {"my_type", "other", "inner", "res_t", "small", "Point", "size_t", "Vec", "tiny", "Big"}
+
+
 PYTHON = '''import os, sys as system
 from . import near
 from ..pkg.mod import name as other, more
@@ -132,6 +145,39 @@ def test_python_with_errors():
     assert symbols(f) == {"a.A": "class", "a.A.m": "method", "a.ok": "function"}
 
 
+def test_python_of_another_version():
+    text = """import os, sys
+from . import near
+
+
+class Old(Base, object):
+    def run(self, x):
+        print "running", x
+        try:
+            return self.go(x)
+        except IOError, e:
+            exec "code"
+            log(e)
+
+    def other(self):
+        return `x` + compute()
+
+
+def fine(a: Item):
+    return helper(a)
+
+
+def broken(:
+    call_in_broken()
+print "end"
+"""
+    f = found(text, "python", "p/m.py")
+    assert symbols(f) == {"p.m.Old": "class", "p.m.Old.run": "method", "p.m.Old.other": "method", "p.m.fine": "function", "p.m.broken": "function"}
+    assert imports(f) == [("os", None), ("sys", None), (".near", None)] and relations(f) == {("p.m.Old", "extends", "Base"), ("p.m.Old", "extends", "object")}
+    assert calls(f) == {("p.m.Old.run", "self.go"), ("p.m.Old.run", "log"), ("p.m.fine", "helper")} and [r["raw_name"] for r in f.refs] == ["Item"]
+    assert one(f, "fine")["start_line"] == 18 and text.encode()[one(f, "run")["body_start_byte"] : one(f, "run")["body_end_byte"]].startswith(b"def run(self, x):")
+
+
 TS = """import def, { a, b as c } from "./mod";
 import * as ns from 'lib';
 import "./side.css";
@@ -228,6 +274,33 @@ def test_go():
     assert {"Shape", "Point", "Delta", "error"} <= types and "x" not in types
 
 
+def test_go_types_in_bodies():
+    f = found("""package p
+func N(a Foo) *Bar {
+	c := make(chan Msg, 3)
+	d := new(Thing)
+	e := x.(Asserted)
+	g := func(q Arg, r ...Rest) Res { return inner(q) }
+	h := []Elem{}
+	m := map[Key]pkg.Val{}
+	switch y := x.(type) {
+	case One, *Two:
+		use(y)
+	}
+	var z Zed = Gen[Item](a)
+	for i := range xs { fs[i](a) }
+	return nil
+}
+func (s *S) M(a Foo) {}
+func G[T Num](t T) T { return t }
+""", "go", "p/n.go")
+    types = [r["raw_name"] for r in f.refs if r["kind"] == "type"]
+    assert "N" not in types and "M" not in types and "G" not in types
+    assert {"Foo", "Bar", "Msg", "Thing", "Asserted", "Arg", "Rest", "Res", "Elem", "Key", "Val", "One", "Two", "Zed", "Item", "S", "Num", "T"} <= set(types)
+    assert not {"x", "y", "a", "q", "r", "c", "xs", "i", "t", "s", "pkg"} & set(types)
+    assert {("p::N", "inner"), ("p::N", "use"), ("p::N", "Gen"), ("p::N", "make"), ("p::N", "new")} <= calls(f)
+
+
 JAVA = """package com.example.app;
 import java.util.List;
 import static java.lang.Math.*;
@@ -256,7 +329,7 @@ def test_java():
     assert s[b + "Shape"] == "interface" and s[b + "Shape::area"] == "method" and s[b + "Mark"] == "annotation" and s[b + "Foo::Inner"] == "class"
     assert imports(f) == [("java.util.List", None), ("static java.lang.Math.*", None)]
     targets = {t for o, _, t in relations(f) if o == b + "Foo"}
-    assert targets == {"Base", "Item", "Runnable", "Comparable", "Foo", "List", "Result"}
+    assert targets == {"Base<Item>", "Base", "Item", "Runnable", "Comparable<Foo>", "Comparable", "Foo", "List"}  # of a plain type nothing, of generic ones all
     assert not any(o == b + "Foo::Color" and t == "Named" for o, _, t in relations(f))
     assert {(b + "Foo::run", "go"), (b + "Foo::run", "new Thing"), (b + "Foo::Foo", "init"), (b + "Foo::Color::RED::paint", "p")} == calls(f)
     assert one(f, "Foo")["doc_comment"] == "Top doc." and one(f, "run")["doc_comment"] is None and one(f, "RED")["doc_comment"] == "red"
@@ -264,6 +337,26 @@ def test_java():
     assert f.refs == []
 
 
+def test_java_generics():
+    f = found("""package p;
+class A<K extends Comparable<K>> {
+    private Map<String, Integer> counts = new HashMap<String, Integer>(), more = of(1, 2), last;
+    Map<String, List<Foo>> get() { return go(); }
+    public static <T, U> Map.Entry<T, U[]> pair(Map<T, U> a, int b) { return make(a); }
+    record Rec(int a, List<B> b) { int twice() { return a; } }
+    int[] sizes = {1, 2}, rest[];
+    @Nullable Foo plain; boolean less = a < b;
+    A(List<K> all) { super(all); }
+    void end() { done(); }
+}
+record Top(int x) {}
+class Last {}
+""", "java", "A.java")
+    assert symbols(f) == {"p::A": "class", "p::A::counts": "field", "p::A::more": "field", "p::A::last": "field", "p::A::get": "method", "p::A::pair": "method", "p::A::sizes": "field", "p::A::rest": "field", "p::A::plain": "field", "p::A::less": "field", "p::A::A": "constructor", "p::A::end": "method", "p::Last": "class"}
+    assert [t["target_raw_name"] for t in f.types] == ["Map", "Integer", "Map", "List<Foo>", "List", "Foo", "Map.Entry", "Map", "Entry", "T", "U"]
+    assert calls(f) == {("p::A::get", "go"), ("p::A::pair", "make"), ("p::A::end", "done")}
+
+
 CSHARP = """using System;
 using static System.Math;
 using Alias = System.Text.StringBuilder;
@@ -299,6 +392,29 @@ def test_csharp():
     assert one(f, "Foo")["doc_comment"] == "<summary>Hi</summary>"
 
 
+def test_csharp_generics():
+    f = found("""namespace N;
+class A {
+    private Dictionary<string, int> counts = new Dictionary<string, int>(), more;
+    public readonly Dictionary<string, List<Foo>> map;
+    int a = 1, b = Make(2, 3);
+    Foo?[] items;
+    (int x, Bar y) pair;
+    public Dictionary<string, List<Foo>> Get(IList<Bar> all, System.Text.Encoding e) => Go();
+    public event Action<int, string> Changed;
+    public List<Foo> All { get; set; } = new();
+    T Map<T>(Func<T, Foo> f) where T : class { return f.Run<T>(1); }
+    void IThing.Do() { Done(); }
+    void End() { }
+}
+""", "csharp", "A.cs")
+    b = "N::A"
+    assert symbols(f) == {b: "class", **{f"{b}::{x}": "field" for x in ("counts", "more", "map", "a", "b", "items", "pair")}, f"{b}::Get": "method", f"{b}::Changed": "event", f"{b}::All": "property", f"{b}::Map": "method", f"{b}::Do": "method", f"{b}::End": "method"}
+    types = [r["raw_name"] for r in f.refs if r["kind"] == "type"]
+    assert {"Dictionary<string, int>", "Dictionary<string, List<Foo>>", "IList<Bar>", "System.Text.Encoding", "Action<int, string>", "List<Foo>", "Foo", "Bar", "int", "Func<T, Foo>"} <= set(types) and "Make" not in types
+    assert {(f"{b}::Get", "Go"), (f"{b}::Map", "Run"), (f"{b}::Do", "Done")} == calls(f)
+
+
 DART = """library my.lib;
 import 'dart:io' as io;
 export 'src/a.dart';
