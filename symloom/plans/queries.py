@@ -114,39 +114,138 @@ def _(p):
     return f.select("doc_id", paths.module_path(F.col("path"), F.col("language")).alias("module_path"))
 
 
-#: Languages in turn by brand: extension, a type of two lines, its kind, what precedes its name, and lines before the first.
+#: Languages in turn by brand: extension, module before a name, what separates names, lines before the first, and the code of one part.
 _SOURCES = [
-    ("rs", "pub struct {n} {{\n}}\n", "struct", "catalog::brand_{b}::", ""), ("py", "class {n}:\n    pass\n", "class", "catalog.brand_{b}.", ""), ("ts", "export class {n} {{\n}}\n", "class", "catalog::brand_{b}::", ""),
-    ("js", "class {n} {{\n}}\n", "class", "catalog::brand_{b}::", ""), ("go", "type {n} struct {{\n}}\n", "struct", "catalog::", "package catalog\n"), ("java", "class {n} {{\n}}\n", "class", "", ""),
-    ("cs", "class {n} {{\n}}\n", "class", "", ""), ("dart", "class {n} {{\n}}\n", "class", "catalog::brand_{b}::", ""),
+    ("rs", "catalog::brand_{b}::", "::", "", """use ext::dep_{n}::Helper;
+pub struct T_{n} {
+    items: HashMap<String, Vec<Inner_{n}>>,
+}
+impl T_{n} {
+    pub fn run(&self, a: Arg_{n}) -> Res_{n} {
+        println!("{}", hidden(a));
+        self.go(a)?.stop()
+    }
+}
+"""),
+    ("py", "catalog.brand_{b}.", ".", "", """import dep_{n}
+class T_{n}(Base_{n}):
+    def run(self, a: Arg_{n}) -> Res_{n}:
+        return self.go(a).stop()
+"""),
+    ("ts", "catalog::brand_{b}::", "::", "", """import { Helper } from "dep_{n}";
+export class T_{n} extends Base_{n}<Item_{n}> {
+  run(a: Arg_{n}): Res_{n} { return this.go(a).stop(); }
+}
+function make_{n}(a: Arg_{n}): Map<string, Res_{n}> { return build(a); }
+"""),
+    ("js", "catalog::brand_{b}::", "::", "", """import { Helper } from "dep_{n}";
+class T_{n} extends Base_{n} {
+  run(a) { return this.go(a).stop(); }
+}
+"""),
+    ("go", "catalog::", "::", "package catalog\n", """import "dep_{n}"
+type T_{n} struct {
+	Base_{n}
+	items map[string][]Inner_{n}
+}
+func (t *T_{n}) Run(a Arg_{n}) (Res_{n}, error) {
+	x := make(chan Msg_{n})
+	return t.start(a).stop(x), nil
+}
+"""),
+    ("java", "", "::", "", """import dep.D_{n};
+class T_{n} extends Base_{n}<Item_{n}> {
+    private Map<String, Inner_{n}> items = new HashMap<String, Inner_{n}>();
+    Map<String, List<Res_{n}>> run(int a) { return go(a).stop(); }
+}
+"""),
+    ("cs", "", "::", "", """using Dep_{n};
+class T_{n} : Base_{n} {
+    private Dictionary<string, Inner_{n}> items = new Dictionary<string, Inner_{n}>();
+    public List<Res_{n}> Run(Arg_{n} a) { return Go(a).Stop(); }
+}
+"""),
+    ("dart", "catalog::brand_{b}::", "::", "", """import 'dep_{n}.dart';
+class T_{n} extends Base_{n} {
+  Map<String, Inner_{n}> items = {};
+  Res_{n} run(Arg_{n} a) { return go(a).stop(); }
+}
+"""),
 ]
+#: What is in the code of one part, by language: lines from the part's first, owners after the module.
+_HOLDS = {
+    "symbols": [  # owner, kind, first line, last line
+        [("T_{n}", "struct", 2, 4), ("T_{n}|run", "method", 6, 9)], [("T_{n}", "class", 2, 4), ("T_{n}|run", "method", 3, 4)],
+        [("T_{n}", "class", 2, 4), ("T_{n}|run", "method", 3, 3), ("make_{n}", "function", 5, 5)], [("T_{n}", "class", 2, 4), ("T_{n}|run", "method", 3, 3)],
+        [("T_{n}", "struct", 2, 5), ("T_{n}|Run", "method", 6, 9)], [("T_{n}", "class", 2, 5), ("T_{n}|items", "field", 3, 3), ("T_{n}|run", "method", 4, 4)],
+        [("T_{n}", "class", 2, 5), ("T_{n}|items", "field", 3, 3), ("T_{n}|Run", "method", 4, 4)], [("T_{n}", "class", 2, 5), ("T_{n}|items", "field", 3, 3), ("T_{n}|run", "method", 4, 4)],
+    ],
+    "calls": [  # caller, callee, line
+        [("T_{n}|run", "self.go", 8), ("T_{n}|run", "self.go(a)?.stop", 8)], [("T_{n}|run", "self.go", 4), ("T_{n}|run", "self.go(a).stop", 4)],
+        [("T_{n}|run", "go", 3), ("T_{n}|run", "stop", 3), ("make_{n}", "build", 5)], [("T_{n}|run", "go", 3), ("T_{n}|run", "stop", 3)],
+        [("T_{n}|Run", "make", 7), ("T_{n}|Run", "start", 8), ("T_{n}|Run", "stop", 8)], [("T_{n}|run", "go", 4), ("T_{n}|run", "stop", 4)],
+        [("T_{n}|Run", "Go", 4), ("T_{n}|Run", "Stop", 4)], [("T_{n}|run", "go", 4), ("T_{n}|run", "stop", 4)],
+    ],
+    "refs": [  # kind, name, line
+        [("type", "Arg_{n}", 6), ("type", "Res_{n}", 6)], [("type", "Arg_{n}", 3), ("type", "Res_{n}", 3)],
+        [("call", "go", 3), ("call", "stop", 3), ("type", "Arg_{n}", 5), ("type", "Map", 5), ("type", "string", 5), ("type", "Res_{n}", 5), ("call", "build", 5)], [("call", "go", 3), ("call", "stop", 3)],
+        [("type", "Base_{n}", 3), ("type", "string", 4), ("type", "Inner_{n}", 4), ("type", "T_{n}", 6), ("type", "Arg_{n}", 6), ("type", "Res_{n}", 6), ("type", "error", 6), ("type", "Msg_{n}", 7), ("call", "make", 7), ("call", "start", 8), ("call", "stop", 8)],
+        [], [("type", "Dictionary<string, Inner_{n}>", 3), ("type", "items", 3), ("type", "Arg_{n}", 4), ("type", "a", 4), ("type", "List<Res_{n}>", 4), ("call", "Go", 4), ("call", "Stop", 4)],
+        [("type", "Map", 3), ("type", "Inner_{n}", 3), ("type", "Res_{n}", 4), ("type", "Arg_{n}", 4), ("call", "go", 4), ("call", "stop", 4)],
+    ],
+    "types": [  # owner, relation, target, line
+        [("T_{n}", "field_type", "HashMap<String, Vec<Inner_{n}>>", 3)], [("T_{n}", "extends", "Base_{n}", 2)], [("T_{n}", "extends", "Base_{n}", 2)], [("T_{n}", "extends", "Base_{n}", 2)], [("T_{n}", "embeds", "Base_{n}", 3)],
+        [("T_{n}", "references", x, 2) for x in ("Base_{n}<Item_{n}>", "Base_{n}", "Item_{n}")] + [("T_{n}", "references", x, 3) for x in ("Map", "Inner_{n}")] + [("T_{n}", "references", x, 4) for x in ("Map", "List<Res_{n}>", "List", "Res_{n}")],
+        [("T_{n}", "extends", "Base_{n}", 2)], [("T_{n}", "extends", "Base_{n}", 2)],
+    ],
+    "imports": [  # path, alias, line
+        [("ext::dep_{n}::Helper", "", 1)], [("dep_{n}", "", 1)], [("dep_{n}", "Helper", 1)], [("dep_{n}", "Helper", 1)], [("dep_{n}", "", 1)], [("dep.D_{n}", "", 1)], [("Dep_{n}", "", 1)], [("import:dep_{n}.dart", "", 1)],
+    ],
+}
+#: Columns of each kind of record, and which of them are lines or owners.
+_RECORDS = {
+    "symbols": ["qualified_name", "kind", "start_line", "end_line"], "calls": ["caller_qualified_name", "callee_raw_name", "line"], "refs": ["kind", "raw_name", "line"],
+    "types": ["owner_qualified_name", "relation", "target_raw_name", "line"], "imports": ["raw_path", "alias", "line"],
+}
+_NAME = "concat(replace(p_name, ' ', '_'), '_', CAST(p_partkey AS VARCHAR(20)))"
 
 
-def _by_brand(value: Callable[[tuple], str]) -> str:
-    return "CASE b % 8 " + " ".join(f"WHEN {i} THEN {value(x)}" for i, x in enumerate(_SOURCES)) + " END"
+def _sql_text(x) -> str:
+    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
 
 
-_NAME = "concat(replace(p_name, ' ', '_'), '_', CAST(p_partkey AS VARCHAR(20)))"
-_PREFIX = _by_brand(lambda x: "concat(" + ", ".join(["''", *[f"'{y}'" for y in x[3].split("{b}")[:1] if y], *(["CAST(b AS VARCHAR(9))", "'" + x[3].split("{b}")[1] + "'"] if "{b}" in x[3] else [])]) + ")")
+def _held(kind: str) -> str:
+    """The records of a kind in all generated files, from what is in the code of a part."""
+    columns = _RECORDS[kind]
+    values = ", ".join("(" + ", ".join(map(_sql_text, (i, *row))) + ")" for i, rows in enumerate(_HOLDS[kind]) for row in rows)
+    sources = ", ".join("(" + ", ".join(map(_sql_text, (i, x[0], x[1], x[2], x[4].count("\n"), x[3].count("\n")))) + ")" for i, x in enumerate(_SOURCES))
 
+    def value(c: str) -> str:
+        if c.endswith("line"):
+            return f"CAST(v.{c} + before + (i - 1) * lines AS INT) AS {c}"
+        named = f"replace(v.{c}, '{{n}}', name)"
+        if c.endswith("qualified_name"):
+            named = f"concat(replace(module, '{{b}}', CAST(b AS VARCHAR(9))), replace({named}, '|', sep))"
+        return f"nullif({named}, '') AS {c}" if c == "alias" else f"{named} AS {c}"
 
-@query("o14_extract", f"""SELECT concat('catalog/brand_', CAST(b AS VARCHAR(9)), '.', {_by_brand(lambda x: "'" + x[0] + "'")}) AS path, concat({_PREFIX}, name) AS qualified_name, {_by_brand(lambda x: "'" + x[2] + "'")} AS kind,
-    CAST(2 * i - 1 + CASE WHEN b % 8 = 4 THEN 1 ELSE 0 END AS INT) AS start_line, CAST(2 * i + CASE WHEN b % 8 = 4 THEN 1 ELSE 0 END AS INT) AS end_line
-    FROM (SELECT CAST(substr(p_brand, 7) AS INT) AS b, {_NAME} AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part)""")
-def _(p):
-    """Source files in all eight languages, written from the parts of each brand, and read by the extractors."""
-    part = p.source("part").select(F.substring("p_brand", 7, 9).cast("int").alias("b"), "p_partkey", F.expr(_NAME).alias("name"))
+    return f"""SELECT concat('catalog/brand_', CAST(b AS VARCHAR(9)), '.', ext) AS path, {", ".join(map(value, columns))}
+    FROM (SELECT CAST(substr(p_brand, 7) AS INT) AS b, {_NAME} AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part)
+    JOIN (VALUES {sources}) x(lang, ext, module, sep, lines, before) ON x.lang = b % 8 JOIN (VALUES {values}) v(lang, {", ".join(columns)}) ON v.lang = b % 8"""
 
-    def template(x: tuple) -> tuple[str, str]:
-        return tuple(y.replace("{{", "{").replace("}}", "}") for y in x[1].split("{n}"))
 
-    head, tail = (F.element_at(F.array(*[F.lit(template(x)[j]) for x in _SOURCES]), F.col("b") % 8 + 1) for j in (0, 1))
+def _extracted(p: Projection, kind: str) -> DataFrame:
+    """Source files in all eight languages, written from the parts of each brand, and read by the extractors."""
+    part = p.source("part").select(F.substring("p_brand", 7, 9).cast("int").alias("b"), "p_partkey", F.expr(_NAME).alias("name"))
     each = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _SOURCES]), F.col("b") % 8 + 1)
-    one = part.withColumn("code", F.concat(head, "name", tail)).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "code"))).alias("all"))
+    one = part.withColumn("code", F.replace(each(4), F.lit("{n}"), F.col("name"))).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "code"))).alias("all"))
     path = F.concat(F.lit("catalog/brand_"), F.col("b").cast("string"), F.lit("."), each(0))
-    content = F.encode(F.concat(each(4), F.array_join(F.col("all.code"), "")), "UTF-8")
+    content = F.encode(F.concat(each(3), F.array_join(F.col("all.code"), "")), "UTF-8")
     files = with_language(one.select(path.alias("path"), content.alias("content"))).select("path", "language", "content", F.unhex(F.sha2("content", 256)).alias("content_hash"), F.octet_length("content").cast("bigint").alias("size_bytes"), F.lit(0).cast("bigint").alias("modified_at"))
-    return extract(files).select("path", F.explode("symbols").alias("s")).select("path", "s.qualified_name", "s.kind", "s.start_line", "s.end_line")
+    return extract(files).select("path", F.explode(kind).alias("s")).select("path", *[f"s.{c}" for c in _RECORDS[kind]])
+
+
+for _kind in _RECORDS:
+    query("o14_extract" if _kind == "symbols" else f"o17_{_kind}", _held(_kind))(lambda p, kind=_kind: _extracted(p, kind))
 
 
 # --- loading and upkeep
