@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from symloom.llm.store import drop_path, table, written
 from symloom.llm.words import flat, slices
 
-DEPTH = 6
+DEPTH = 5
 #: Runs of a task, and runs that are weighed at once unless more share their last two context bytes.
 TASK_RUNS, WEIGHED = 2_000_000, 500_000
 #: Runs whose code lengths are sent to every task (12 bytes each), the most frequent ones; documents are joined with the others by run, and
