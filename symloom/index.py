@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from symloom import shared
 from symloom.extract.pipeline import extract
 from symloom.operators import diff, graph, load, lookup, resolve, traverse, tree, verbs
 from symloom.shared import scratch, stored
@@ -40,26 +41,28 @@ class Summary:
 
 class Index:
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, os.path.abspath(root)
-        self.state = os.path.join(self.root, STATE)
-        self.store = Store(spark, os.path.join(self.state, "index"))
+        """root: a folder of this machine, or of any file system by its address; what belongs to the index lies below it."""
+        local = discover.local_path(root)
+        self.spark, self.root = spark, local if local is not None else root.rstrip("/")
+        self.state = f"{self.root}/{STATE}"
+        self.store = Store(spark, f"{self.state}/index")
+
+    def _at(self, name: str) -> str:
+        """The address of a file below the root."""
+        return f"{self.root}/{name}" if "://" in self.root else f"file://{self.root}/{name}"
 
     # --- building and upkeep
 
     def init(self, ignore_entry: bool = True) -> None:
         """State folder, settings and an ignore entry; what is there already stays."""
-        os.makedirs(self.state, exist_ok=True)
-        config = os.path.join(self.state, "config")
-        if not os.path.exists(config):
-            with open(config, "w") as f:
-                f.write(CONFIG)
+        if not shared.exists(self.spark, self._at(f"{STATE}/config")):
+            shared.write_text(self.spark, self._at(f"{STATE}/config"), CONFIG)
         self.store.open()
         if ignore_entry:
-            at = os.path.join(self.root, discover.IGNORE_FILE)
-            text = open(at).read() if os.path.exists(at) else ""
+            at = self._at(discover.IGNORE_FILE)
+            text = shared.read_text(self.spark, at) if shared.exists(self.spark, at) else ""
             if not {STATE, f"{STATE}/", f"/{STATE}", f"/{STATE}/"} & {x.strip() for x in text.splitlines()}:
-                with open(at, "a") as f:
-                    f.write(("\n" if text and not text.endswith("\n") else "") + f"{STATE}/\n")
+                shared.write_text(self.spark, at, text + ("\n" if text and not text.endswith("\n") else "") + f"{STATE}/\n")
 
     def build(self, strict: bool = False) -> Summary:
         """Everything anew; files that were added by address stay."""
@@ -69,9 +72,10 @@ class Index:
 
     def _listed(self) -> DataFrame:
         found = discover.listed(self.spark, self.root)
-        added = [os.path.join(d, f) for d, _, names in os.walk(os.path.join(self.state, "raw")) for f in names if f.rpartition(".")[2] in EXTENSIONS]
-        if added:
-            found = found.unionByName(discover.named(self.spark, [os.path.relpath(f, self.root).replace(os.sep, "/") for f in added]))
+        if shared.exists(self.spark, self._at(ADDED)):
+            added = [p for p, _, _ in discover.files_below(self.root, ADDED.rstrip("/")) if p.rpartition(".")[2] in EXTENSIONS]
+            if added:
+                found = found.unionByName(discover.named(self.spark, added))
         return found
 
     def _publish(self, tables: dict[str, DataFrame], summary: Summary) -> Summary:
@@ -95,9 +99,26 @@ class Index:
         with scratch(self.spark):
             return self._update(compat_cascade)
 
+    def update_paths(self, paths: list[str]) -> Summary:
+        """As update(), for some paths that may have changed: nothing else is listed or read. A path that ends with a slash is all that was below it."""
+        if any(p.rpartition("/")[2] == discover.IGNORE_FILE for p in paths):
+            return self.update()  # other files may count now
+        with scratch(self.spark):
+            tables = self.store.tables()
+            names = [p for p in paths if not p.endswith("/")]
+            about = F.col("path").isin(names)
+            for folder in (p for p in paths if p.endswith("/")):
+                about = about | F.startswith("path", F.lit(folder))
+            rules = discover.rules_above(self.root, names)
+            listed = discover.named(self.spark, [p for p in names if not rules.ignored(p) and not any(x.startswith(".") for x in p.split("/"))])
+            return self._changed(tables, tables["files"].where(about), listed, False)
+
     def _update(self, compat_cascade: bool) -> Summary:
-        tables, listed = self.store.tables(), self._listed()
-        state = stored(diff.file_diff(tables["files"], discover.read(listed, self.root, content=False)), "diff")
+        tables = self.store.tables()
+        return self._changed(tables, tables["files"], self._listed(), compat_cascade)
+
+    def _changed(self, tables: dict[str, DataFrame], known: DataFrame, listed: DataFrame, compat_cascade: bool) -> Summary:
+        state = stored(diff.file_diff(known, discover.read(listed, self.root, content=False)), "diff")
         n = diff.summary(state).first()
         summary = Summary(changed=n.changed, new=n.new, deleted=n.deleted)
         if n.is_empty:
@@ -119,17 +140,18 @@ class Index:
         if not enabled or os.environ.get("SYMLOOM_FRESHNESS", "").lower() in ("0", "off", "false", "no"):
             return "disabled", None
         throttle = float(os.environ.get("SYMLOOM_FRESHNESS_SECONDS", throttle))
-        stamp = os.path.join(self.state, "fresh")
-        if os.path.exists(stamp) and time.time() - os.path.getmtime(stamp) < throttle:
+        stamp = self._at(f"{STATE}/fresh")
+        last = shared.modified(self.spark, stamp)
+        if last is not None and time.time() - last < throttle:
             return "throttled", None
-        os.makedirs(self.state, exist_ok=True)
-        with open(stamp, "w") as f:
-            f.write(str(int(time.time())))
+        shared.write_text(self.spark, stamp, str(int(time.time())))
         summary = self.update()
         return ("up-to-date", None) if summary.is_empty else ("updated", summary)
 
     def add(self, url: str) -> tuple[fetch.Fetched, str]:
-        """Fetches an address and indexes it if its language is known: indexed, saved or present."""
+        """Fetches an address and indexes it if its language is known: indexed, saved or present. Only a tree of this machine takes files."""
+        if "://" in self.root:
+            raise ValueError(f"{self.root} is no folder of this machine")
         got = fetch.fetch(url, self.state)
         ext = got.path.rpartition(".")[2].lower()
         if got.already_present:

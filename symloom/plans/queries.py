@@ -15,7 +15,7 @@ from symloom.plans.sql import using
 from symloom.sources.projection import Projection, projection
 from symloom.shared import new_path
 from symloom.sources.registry import EXTENSIONS, with_language
-from symloom.streaming.watch import debounced, watched
+from symloom.streaming.watch import debounced, ended, watched
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -610,20 +610,24 @@ _CHANGED = "SELECT event_id, ts, concat('src/user_', CAST(user_id AS VARCHAR(20)
 _KEPT = f"SELECT * FROM ({_CHANGED.replace('{events}', 'events')}) WHERE path LIKE '%/lib.rs'"
 
 
-@query("o60_debounce", f"""SELECT path, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT path, ts, sum(new) OVER (PARTITION BY path ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ({_KEPT}))) GROUP BY path, s""")
+_RUNS = f"""SELECT path, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT path, ts, sum(new) OVER (PARTITION BY path ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ({_KEPT}))) GROUP BY path, s"""
+
+
+@query("o60_debounce", _RUNS)
 def _(p):
     return debounced(p._sql(_CHANGED), "6 hours")
 
 
-@query("o62_stream_batches")
+@query("o62_stream_batches", _RUNS)
 def _(p):
-    """The stream itself: events are read as they would arrive, and settled paths leave in batches once the watermark has passed them."""
-    spark, out = p.spark, new_path(p.spark, "settled")
+    """The stream itself: events are read as they would arrive, and settled paths leave in batches once the watermark has passed them; at its end the rest."""
+    spark, out, kind = p.spark, new_path(p.spark, "settled"), dict(p.source("events").dtypes)["ts"]
     folder, _, name = p.source("events").inputFiles()[0].rpartition("/")  # a stream reads a folder: the table's, or the one in which its only file lies
     events = spark.readStream.schema(p.source("events").schema).option("pathGlobFilter", name if name == "events.parquet" else "*.parquet").parquet(folder)
-    settled = debounced(p._sql(_CHANGED.replace("{events}", "{e}"), e=events).withColumn("ts", F.col("ts").cast("timestamp")), "6 hours")
+    changes = p._sql(_CHANGED.replace("{events}", "{e}"), e=events).withColumn("ts", F.col("ts").cast("timestamp"))
+    settled = debounced(ended(changes, "9999-01-01 00:00:00"), "6 hours")
     settled.writeStream.outputMode("append").option("checkpointLocation", new_path(spark, "watch")).format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(settled.schema).parquet(out)
+    return spark.read.schema(settled.schema).parquet(out).withColumns({c: F.col(c).cast(kind) for c in ("first", "last")})
 
 
 @query("o61_watched_paths", f"SELECT DISTINCT path FROM ({_KEPT})")

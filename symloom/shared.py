@@ -56,7 +56,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def _fs(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # of this machine's files no checksums are kept beside them: others write them too
+    return fs.getRawFileSystem() if fs.getScheme() == "file" else fs, at
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -65,12 +67,21 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def rename(spark: SparkSession, old: str, new: str) -> bool:
-    """Moves a file over another if there is one; readers see the old or the new."""
+    """Moves a file to a name that no file has."""
     fs, at = _fs(spark, old)
-    _, to = _fs(spark, new)
-    if fs.exists(to):
-        fs.delete(to, True)
-    return fs.rename(at, to)
+    return fs.rename(at, _fs(spark, new)[1])
+
+
+def modified(spark: SparkSession, path: str) -> float | None:
+    """When a file was written last, in seconds; None if there is none."""
+    fs, at = _fs(spark, path)
+    return fs.getFileStatus(at).getModificationTime() / 1000 if fs.exists(at) else None
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Of the files in a folder; none if there is no such folder."""
+    fs, at = _fs(spark, folder)
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
 
 
 def remove(spark: SparkSession, path: str) -> None:

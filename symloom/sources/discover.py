@@ -24,7 +24,7 @@ _READ = "path string, language string, content binary, content_hash binary, size
 _TASK_BYTES = 16_000_000
 
 
-def _local(root: str) -> str | None:
+def local_path(root: str) -> str | None:
     """A root of this machine's files as a plain path."""
     if root.startswith("file:"):
         return "/" + root.removeprefix("file:").lstrip("/")
@@ -32,7 +32,7 @@ def _local(root: str) -> str | None:
 
 
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
-    local = _local(root)
+    local = local_path(root)
     return (pafs.LocalFileSystem(), local) if local is not None else pafs.FileSystem.from_uri(root)
 
 
@@ -42,7 +42,7 @@ def _hidden(path: str) -> bool:
 
 def _walk(root: str, folder: str, recursive: bool, rules: Ignore) -> list[tuple[str, int, int]]:
     """Files below a folder, relative to the root: (path, size, mtime). Links aren't followed, hidden and ignored folders not entered."""
-    local, out = _local(root), []
+    local, out = local_path(root), []
     if local is not None:
         todo = [folder]
         while todo:
@@ -65,6 +65,11 @@ def _walk(root: str, folder: str, recursive: bool, rules: Ignore) -> list[tuple[
     return out
 
 
+def files_below(root: str, folder: str) -> list[tuple[str, int, int]]:
+    """Files below a folder of the root, whatever its name, by the driver: (path, size, mtime)."""
+    return _walk(root, folder, True, Ignore({}))
+
+
 def _bytes(root: str, path: str) -> bytes | None:
     fs, base = _open(root)
     try:
@@ -87,7 +92,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
                 yield pd.DataFrame(_walk(root, folder, bool(deep), rules), columns=["path", "size_bytes", "modified_at"])
 
     # links to folders at the top are no folders of this tree
-    local = _local(root)
+    local = local_path(root)
     folders = [f for f in folders if local is None or not os.path.islink(os.path.join(local, f))]
     table = spark.createDataFrame([("", False), *[(f, True) for f in folders]], "folder string, deep boolean")
     return table.repartition(max(1, min(len(folders) + 1, 4 * spark.sparkContext.defaultParallelism)), "folder").mapInPandas(run, _LISTED)
@@ -115,6 +120,13 @@ def ignore_rules(listed: DataFrame, root: str) -> Ignore:
     return Ignore({p.rpartition("/")[0]: (_bytes(root, p) or b"").decode("utf-8", "replace") for p in paths})
 
 
+def rules_above(root: str, paths: list[str]) -> Ignore:
+    """The rules of the ignore files that some paths are subject to; no folder is listed."""
+    folders = {"", *("/".join(p.split("/")[:i]) for p in paths for i in range(1, p.count("/") + 1))}
+    found = {f: _bytes(root, f"{f}/{IGNORE_FILE}".lstrip("/")) for f in folders}
+    return Ignore({f: b.decode("utf-8", "replace") for f, b in found.items() if b is not None})
+
+
 def listed(spark: SparkSession, root: str, extensions: dict[str, str] | None = None) -> DataFrame:
     """Rows (path, language, size_bytes, modified_at) of the files of registered languages below a root.
 

@@ -1,7 +1,8 @@
 """Versioned snapshots of an index: tables in Parquet below a state folder, and one file that names the current snapshot.
 
-A snapshot is written whole beside the others and becomes current by the rename of that file, so readers see all of an update, resolution
-included, or nothing of it; a job that dies leaves a folder that nobody reads.
+A snapshot is written whole beside the others and becomes current when a pointer with the next number is renamed into its place. No pointer is written
+over or removed before the next is there, so readers see all of an update, resolution included, or nothing of it, whenever a job dies; what a dead
+job leaves is a folder that nobody reads.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from symloom.operators import graph
 from symloom.schema import TABLES, struct
 
 SCHEMA_VERSION = 2
-POINTER = "current.json"
+POINTERS = "pointers"
 #: How tables are laid out, for the lookups that verbs make.
 SORTED = {"symbols": ["file_id", "id"], "calls": ["callee_symbol_id", "id"], "refs": ["symbol_id", "id"], "edges": ["src", "kind_rank", "row_id", "top_id", "dst"]}
 
@@ -36,9 +38,18 @@ class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path if "://" in path or path.startswith("file:") else "file://" + path
 
+    def _pointers(self) -> list[str]:
+        """Names of the pointers, the current one last."""
+        return sorted(n for n in shared.names(self.spark, f"{self.path}/{POINTERS}") if n.endswith(".json") and not n.startswith("."))
+
     def _meta(self) -> dict | None:
-        at = f"{self.path}/{POINTER}"
-        return json.loads(shared.read_text(self.spark, at)) if shared.exists(self.spark, at) else None
+        while found := self._pointers():
+            try:
+                return json.loads(shared.read_text(self.spark, f"{self.path}/{POINTERS}/{found[-1]}"))
+            except Py4JJavaError:
+                if found == self._pointers():  # not gone since for a newer one
+                    raise
+        return None
 
     def exists(self) -> bool:
         return self._meta() is not None
@@ -83,8 +94,18 @@ class Store:
             done = dict(zip(tables, pool.map(write, tables, tables.values())))
         write("edges", graph.edges(done["symbols"], done["calls"], done["types"], done["imports"]))
         meta = {"snapshot": name, "previous": before.get("snapshot"), "schema_version": schema_version, "created_at": before.get("created_at", int(time.time())), "indexed_at": int(time.time())}
-        staged = f"{self.path}/.{POINTER}.{uuid.uuid4().hex}"
-        shared.write_text(self.spark, staged, json.dumps(meta))
-        shared.rename(self.spark, staged, f"{self.path}/{POINTER}")
+        self._point(meta)
         if before.get("previous"):
             shared.remove(self.spark, f"{self.path}/{before['previous']}")
+
+    def _point(self, meta: dict) -> None:
+        """Adds the next pointer, then drops the older ones but one, which readers may be at."""
+        known = self._pointers()
+        number = int(known[-1].split("-")[0]) + 1 if known else 1
+        at = f"{self.path}/{POINTERS}"
+        name = f"{number:012d}-{uuid.uuid4().hex}.json"  # of two writers at once both succeed, and the later name counts
+        shared.write_text(self.spark, f"{at}/.{name}", json.dumps(meta))
+        if not shared.rename(self.spark, f"{at}/.{name}", f"{at}/{name}"):
+            raise OSError(f"{at}/{name} can't be written")
+        for old in known[:-1]:
+            shared.remove(self.spark, f"{at}/{old}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
 import os
@@ -165,6 +166,43 @@ def test_init_is_idempotent(spark, tmp_path):
     assert {r.n_rows for r in load.counts(ix.store.tables()).collect()} == {0}
 
 
+@pytest.mark.parametrize("step", ["rename", "remove"])
+def test_a_job_that_dies_leaves_an_index(ix, root, spark, monkeypatch, step):
+    """Between the new snapshot and its pointer the old index counts; after it the new one, whatever wasn't tidied."""
+    before = names(ix)
+    (root / "c.rs").write_text("pub fn leaf() {}\npub fn extra() {}\n")
+    ix.upsert_paths(["b.rs"])
+
+    def dies(*_):
+        raise OSError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr("symloom.shared." + step, dies)
+        m.setattr("symloom.index.scratch", contextlib.nullcontext)
+        with pytest.raises(OSError):
+            ix.update()
+    again = Index(spark, str(root))
+    assert again.store.open() == 2 and names(again) == before | ({"c::extra"} if step == "remove" else set())
+    again.update()
+    assert names(again) == before | {"c::extra"}
+
+
+def test_a_tree_by_its_address(spark, tmp_path):
+    """A root with a scheme is read and kept through its file system."""
+    root = planted(tmp_path)
+    ix = Index(spark, f"file://{root}")
+    ix.root, ix.state = f"file://{root}", f"file://{root}/.symloom"  # as one that isn't of this machine
+    ix.store = type(ix.store)(spark, f"{ix.state}/index")
+    ix.init()
+    ix.build()
+    assert ix.find("leaf") and ".symloom/" in (root / ".gitignore").read_text() and ix.follow(ix.find("leaf"))["body"] == ["pub fn leaf() {}"]
+    (root / "c.rs").write_text("pub fn leaf() {}\npub fn extra() {}\n")
+    assert ix.ensure_fresh()[0] == "updated" and ix.find("extra") and ix.ensure_fresh(throttle=600)[0] == "throttled"
+    assert ix.update_paths(["c.rs", "ignored/x.rs", "none.rs"]).is_empty
+    with pytest.raises(ValueError):
+        ix.add("file:///x.py")
+
+
 def test_migration(ix, spark):
     tables = ix.store.tables()
     tables["symbols"] = tables["symbols"].drop("doc_comment")

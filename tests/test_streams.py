@@ -50,13 +50,48 @@ def test_errors_end_the_stream_or_dont(spark, tmp_path):
         watch.watch(stream, broken, str(tmp_path / "off"), once=True).awaitTermination(120)
 
 
-def test_watching_a_tree(spark, tmp_path):
+def test_a_stream_that_ends(spark, tmp_path):
+    source = tmp_path / "changes"
+    source.mkdir()
+    (source / "1.json").write_text('{"path": "a.rs", "ts": "2023-11-14T22:00:00"}\n{"path": "b.rs", "ts": "2023-11-14T23:00:00"}\n')
+    stream = watch.ended(spark.readStream.schema("path string, ts timestamp").json(str(source)), "2024-01-01 00:00:00")
+    got = []
+    watch.watch(stream, lambda paths, n: got.extend(paths), str(tmp_path / "c"), once=True).awaitTermination(120)
+    assert sorted(got) == ["a.rs", "b.rs"]
+
+
+def test_watching_a_tree(spark, tmp_path, monkeypatch):
+    """What was there is taken in; then only what changes is looked at, and an idle tree is left alone."""
+    import threading
+    import time
+
     from symloom.index import Index
+    from symloom.sources import discover
     from symloom.streaming.tree import watch_tree
 
     (tmp_path / "a.rs").write_text("fn a() {}\n")
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "gone.rs").write_text("fn gone() {}\n")
     ix = Index(spark, str(tmp_path))
     ix.init()
-    seen = []
-    assert watch_tree(ix, 200, 1, seen.append, 120) == 1
-    assert seen[0].new == 1 and ix.find("a::a")
+    seen, listings = [], []
+    listing = discover.listed
+    monkeypatch.setattr(discover, "listed", lambda *a: listings.append(1) or listing(*a))
+
+    def change(summary) -> None:
+        seen.append(summary)
+        if len(seen) == 1:
+            threading.Thread(target=edit).start()
+
+    def edit() -> None:
+        time.sleep(1.5)  # idle
+        (tmp_path / "a.rs").write_text("fn a() {}\nfn b() {}\n")
+        (tmp_path / "new").mkdir()
+        (tmp_path / "new" / "c.rs").write_text("fn c() {}\n")
+        (tmp_path / "new" / "notes.txt").write_text("none")
+        (tmp_path / "old").rename(tmp_path.parent / "moved-away")
+
+    watch_tree(ix, 200, None, change, 60)
+    total = [sum(getattr(s, x) for s in seen[1:]) for x in ("changed", "new", "deleted")]
+    assert (seen[0].new, total) == (2, [1, 1, 1]) and len(listings) == 1
+    assert ix.find("a::b") and ix.find("new::c::c") and ix.find("gone") is None
