@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.functions.text import name_score, tokens
+from symloom.operators.graph import decorated
+from symloom.shared import stored
 
 MAX_SEEDS = 16
+#: Texts that are looked for within names in one scan, and letters of the runs by which more are joined.
+SCANNED, RUN = 64, 3
 TIERS = ["qualified name", "name", "suffix", "part"]
 
 
@@ -44,21 +48,43 @@ def seeds(symbols: DataFrame, question: str, most: int = MAX_SEEDS) -> DataFrame
 def candidates(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """For each text of queries (column q) the symbols of its first tier that has any: (q, tier, id).
 
-    The two tiers of equality are hash joins; only texts that they leave open meet all symbols in a scan with the texts broadcast.
+    The two tiers of equality are hash joins. What they leave open is looked for within names: a few texts in one scan with the texts broadcast, more of
+    them by joins on a run of letters that a text and the names with it share.
     """
     q = queries.select(F.trim("q").alias("q")).where("q <> ''").distinct()
     s = symbols.select("id", "qualified_name", "name")
     full = q.join(s, q["q"] == s["qualified_name"]).select("q", F.lit(0).alias("tier"), "id")
     bare = q.join(s, q["q"] == s["name"]).select("q", F.lit(1).alias("tier"), "id")
     equal = full.unionAll(bare)
-    open_ = q.join(equal.select("q").distinct(), "q", "left_anti")
-    suffix = F.endswith(s["qualified_name"], F.concat(F.lit("::"), open_["q"])) | F.endswith(s["qualified_name"], F.concat(F.lit("."), open_["q"]))
-    part = s.join(open_, F.contains(s["qualified_name"], open_["q"])).select("q", F.when(suffix, 2).otherwise(3).alias("tier"), "id")
-    every = equal.unionAll(part)
+    open_ = stored(q.join(equal.select("q").distinct(), "q", "left_anti"), "open")
+    every = equal.unionAll(_within(s, open_))
     first = F.min("tier").over(Window.partitionBy("q"))
     return every.withColumn("first", first).where("tier = first").select("q", "tier", "id")
 
 
+def _within(symbols: DataFrame, texts: DataFrame, at_once: int | None = None) -> DataFrame:
+    """Rows (q, tier, id) of symbols whose qualified name has a text of texts (q, a stored table) in it."""
+    at_once = SCANNED if at_once is None else at_once
+    suffix = F.endswith("qualified_name", F.concat(F.lit("::"), "q")) | F.endswith("qualified_name", F.concat(F.lit("."), "q"))
+    out = lambda pairs: pairs.select("q", F.when(suffix, 2).otherwise(3).alias("tier"), "id")
+    few = texts if texts.limit(at_once + 1).count() <= at_once else texts.where(F.length("q") < RUN)
+    found = out(symbols.join(F.broadcast(few), F.contains("qualified_name", F.col("q"))))  # at_once texts, or as many as there are of fewer than RUN letters
+    if few is texts:
+        return found
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (RUN - 1)), lambda i: F.substr(F.col(c), i, F.lit(RUN))))
+    has = stored(symbols.where(F.length("qualified_name") >= RUN).select("id", "qualified_name", F.explode(runs("qualified_name")).alias("run")), "runs")
+    n = has.groupBy("run").agg(F.count("*").alias("n"))
+    # each text by the run of it that the fewest names have; one that no name has rules it out
+    each = texts.where(F.length("q") >= RUN).select("q", F.explode(runs("q")).alias("run")).join(n, "run", "left")
+    rarest = each.groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("m")).where("m.n > 0").select("q", F.col("m.run").alias("run"))
+    return found.unionAll(out(has.join(rarest, "run").where(F.contains("qualified_name", F.col("q")))))
+
+
+def ambiguous(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (name, candidates, cross_language) of the names that more than one symbol has."""
+    return decorated(symbols, files).groupBy("name").agg(F.count("*").alias("candidates"), (F.count_distinct("language") > 1).alias("cross_language")).where("candidates > 1")
+
+
 def find(symbols: DataFrame, files: DataFrame, text: str, path: str | None = None) -> int | None:
     """The id of the symbol that a text means, None if there is none; with a path, only symbols of that file count. Raises Ambiguous."""
     text = text.strip()

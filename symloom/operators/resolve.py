@@ -61,6 +61,11 @@ def imports(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     return joined.withColumn("resolved_file_id", F.when(F.col("found_id").isNotNull(), F.col("found_file")).otherwise(F.col("resolved_file_id"))).withColumn("resolved_symbol_id", F.coalesce("resolved_symbol_id", "found_id")).drop("key", "found_id", "found_file")
 
 
+def resolvable(rows: DataFrame, symbols: DataFrame, raw: str) -> DataFrame:
+    """Rows whose raw name is the qualified name of a symbol."""
+    return rows.join(symbols.select(F.col("qualified_name").alias(raw)), raw, "left_semi").select(*rows.columns)
+
+
 def stats(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows (table, resolved, unresolved), one a table of calls, types, refs and imports."""
     column = {"calls": "callee_symbol_id", "types": "target_symbol_id", "refs": "symbol_id", "imports": "resolved_symbol_id"}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions.paths import levels
 from symloom.operators.graph import decorated, top_by
-from symloom.operators.verbs import caller_counts
+from symloom.operators.verbs import with_counts
 
 TOP_SYMBOLS = 5
 
@@ -41,8 +41,7 @@ def hottest(files: DataFrame, symbols: DataFrame, calls: DataFrame, scope: str |
     """Rows (dir, rank, id, qualified_name, caller_count): the most called symbols whose files fold into exactly that directory."""
     own = F.element_at(levels(F.col("path"), normal_scope(scope), depth), -1)
     s = decorated(symbols, files).where(in_scope(F.col("path"), scope)).select("id", "qualified_name", own.alias("dir"))
-    counted = s.join(caller_counts(symbols, calls), "id")
-    return top_by(counted, ["dir"], [F.desc("caller_count"), "qualified_name", "id"], most).select("dir", "rank", "id", "qualified_name", "caller_count")
+    return top_by(with_counts(s, calls), ["dir"], [F.desc("caller_count"), "qualified_name", "id"], most).select("dir", "rank", "id", "qualified_name", "caller_count")
 
 
 def build(files: DataFrame, symbols: DataFrame, calls: DataFrame, scope: str | None = None, depth: int = 2) -> dict:

@@ -7,14 +7,27 @@ from pyspark.sql import functions as F
 
 from symloom.functions.text import byte_slice, fitting_lines, lines, strictly_inside
 from symloom.operators.graph import enclosing, top_by
+from symloom.operators.ids import dense_ids
 
 CALLERS, IMPORTS, HARD_LIMIT, BYTES_PER_TOKEN = 3, 16, 10_000, 4
 
 
-def caller_counts(symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    """Rows (id, caller_count): call rows, not distinct callers, for every symbol."""
+def with_counts(rows: DataFrame, calls: DataFrame) -> DataFrame:
+    """Rows with an id, and caller_count: call rows, not distinct callers."""
     n = calls.where("callee_symbol_id IS NOT NULL").groupBy(F.col("callee_symbol_id").alias("id")).agg(F.count("*").alias("n"))
-    return symbols.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("caller_count"))
+    return rows.join(n, "id", "left").withColumn("caller_count", F.coalesce("n", F.lit(0)).cast("bigint")).drop("n")
+
+
+def caller_counts(symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """Rows (id, caller_count) for every symbol."""
+    return with_counts(symbols.select("id"), calls)
+
+
+def call_sites(calls: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (id, callee_symbol_id, caller, caller_path, site_path, line, col) of resolved calls: who calls, and where both lie."""
+    caller = symbols.join(files, "file_id").select(F.col("id").alias("caller_symbol_id"), F.col("qualified_name").alias("caller"), F.col("path").alias("caller_path"))
+    site = files.select("file_id", F.col("path").alias("site_path"))
+    return calls.where("callee_symbol_id IS NOT NULL").join(caller, "caller_symbol_id").join(site, "file_id").select("id", "callee_symbol_id", "caller", "caller_path", "site_path", "line", "col")
 
 
 def first_callers(calls: DataFrame, most: int = CALLERS) -> DataFrame:
@@ -26,14 +39,16 @@ def first_callers(calls: DataFrame, most: int = CALLERS) -> DataFrame:
 def neighbourhood(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Rows (id, bucket, position, neighbor_id): one-hop neighbours, once for each kind, in order of qualified names.
 
-    Buckets are parents, children, callees, types and imports. Calls go to callees in either direction, since edges have none.
+    Buckets are parents, children, callees, types and imports. Calls go to callees in either direction, since edges have none. Neighbours are put in
+    order by ranges, so those of a symbol that everything uses are no single task's.
     """
     names = symbols.select(F.col("id"), F.col("qualified_name"))
     e = edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbor_id"), "kind").distinct()
     both = e.join(names.withColumnRenamed("qualified_name", "own"), "id").join(names.select(F.col("id").alias("neighbor_id"), F.col("qualified_name").alias("other")), "neighbor_id")
     bucket = F.when(F.col("kind") == "parent", F.when(strictly_inside(F.col("own"), F.col("other")), "children").otherwise("parents")).when(F.col("kind") == "call", "callees").when(F.col("kind") == "type", "types").otherwise("imports")
-    order = F.row_number().over(Window.partitionBy("id", "bucket").orderBy("other", "neighbor_id")).cast("bigint") - 1
-    return both.withColumn("bucket", bucket).withColumn("position", order).select("id", "bucket", "position", "neighbor_id")
+    at = dense_ids(both.select("id", bucket.alias("bucket"), "other", "neighbor_id"), ["id", "bucket", "other", "neighbor_id"], "at")
+    first = at.groupBy("id", "bucket").agg(F.min("at").alias("first"))
+    return at.join(first, ["id", "bucket"]).select("id", "bucket", (F.col("at") - F.col("first")).alias("position"), "neighbor_id")
 
 
 def directed_calls(calls: DataFrame) -> DataFrame:
@@ -73,7 +88,7 @@ def within_budget(df: DataFrame, text: str, signature: str, budget: int | Column
     most = (F.lit(budget) if isinstance(budget, int) else budget).cast("bigint") * BYTES_PER_TOKEN
     taken = F.coalesce(F.octet_length(signature) + 1, F.lit(0))
     parts = lines(F.col(text))
-    n = fitting_lines(parts, F.greatest(most - taken, F.lit(0)))
+    n = fitting_lines(F.col("_lines"), F.greatest(most - taken, F.lit(0)))  # of the column: a text is split once
     return df.withColumn("_lines", parts).withColumn("_n", n).withColumn("kept", F.slice("_lines", F.lit(1), F.col("_n"))).withColumn("truncated", F.col("_n") < F.size("_lines")).drop("_lines", "_n")
 
 
@@ -90,5 +105,5 @@ def slices(asked: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def by_file(rows: DataFrame) -> DataFrame:
-    """Rows in the order in which they are shown: path, then start line."""
-    return rows.orderBy("path", "start_line", "id")
+    """Rows (position, path, id) of rows (path, start_line, id): within each file by start line."""
+    return top_by(rows, ["path"], ["start_line", "id"], 2**31 - 1, "position").select((F.col("position") - 1).alias("position"), "path", "id")

@@ -12,6 +12,7 @@ from symloom.extract.pipeline import extract
 from symloom.functions import paths
 from symloom.operators import diff, graph, load, lookup, meter, resolve, traverse, tree, verbs
 from symloom.plans.sql import using
+from symloom.sources import fetch
 from symloom.sources.projection import Projection, projection
 from symloom.shared import new_path
 from symloom.sources.registry import EXTENSIONS, with_language
@@ -69,8 +70,7 @@ def _(p):
 @query("o05_fetch_names", r"""SELECT host, sha8, ext, min(page_id) AS page_id, count(*) AS pages FROM (SELECT page_id, coalesce(nullif(regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1), '[^A-Za-z0-9._-]', '_', 'g'), ''), 'local') AS host,
     substr(sha256(html), 1, 8) AS sha8, coalesce(nullif(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '[.]([A-Za-z0-9]{1,10})$', 1), ''), 'bin') AS ext FROM pages) GROUP BY host, sha8, ext""")
 def _(p):
-    named = p.source("pages").select("page_id", paths.host(F.col("url")).alias("host"), F.substring(F.sha2("html", 256), 1, 8).alias("sha8"), paths.url_extension(F.col("url")).alias("ext"))
-    return named.groupBy("host", "sha8", "ext").agg(F.min("page_id").alias("page_id"), F.count("*").alias("pages"))
+    return fetch.named(p.source("pages"), "page_id")
 
 
 @query("o09_scan", using("files symbols", "SELECT language, path, kind, name, start_line, parent_symbol_id, qualified_name, id FROM files JOIN symbols USING (file_id)"))
@@ -359,14 +359,12 @@ def _(p):
 
 @query("o32_call_sites", using("files symbols rcalls", "SELECT c.id, c.callee_symbol_id, s.qualified_name AS caller, sf.path AS caller_path, cf.path AS site_path, c.line, c.col FROM files cf JOIN rcalls c USING (file_id) JOIN symbols s ON c.caller_symbol_id = s.id JOIN files sf ON s.file_id = sf.file_id WHERE c.callee_symbol_id IS NOT NULL"))
 def _(p):
-    c, s, f = p.resolved_calls.where("callee_symbol_id IS NOT NULL"), p.symbols, p.files
-    caller = s.join(f, "file_id").select(F.col("id").alias("caller_symbol_id"), F.col("qualified_name").alias("caller"), F.col("path").alias("caller_path"))
-    return c.join(caller, "caller_symbol_id").join(f.select("file_id", F.col("path").alias("site_path")), "file_id").select("id", "callee_symbol_id", "caller", "caller_path", "site_path", "line", "col")
+    return verbs.call_sites(p.resolved_calls, p.symbols, p.files)
 
 
 @query("o33_resolvable_calls", using("symbols calls", "SELECT id FROM calls c WHERE EXISTS (SELECT 1 FROM symbols s WHERE s.qualified_name = c.callee_raw_name)"))
 def _(p):
-    return p.calls.join(p.symbols, p.calls["callee_raw_name"] == p.symbols["qualified_name"], "left_semi").select("id")
+    return resolve.resolvable(p.calls, p.symbols, "callee_raw_name").select("id")
 
 
 @query("o34_enclosing", using("within", "SELECT site_id, enclosing_id FROM within"))
@@ -431,12 +429,34 @@ def _(p):
     return _nodes(p, traverse.depth_first(p.edges, _seed_ids(p), BUDGET))
 
 
-@query("o41_traversed_edges")
+def _met(level: str, frontier: str, seen: str) -> str:
+    """The edges that a level's walk meets: all that leave its frontier, or those up to the one to the node that the budget doesn't admit."""
+    room = f"({BUDGET // traverse.NODE_COST} - (SELECT count(*) FROM {seen}))"
+    return f"""{level}_out AS (SELECT e.*, f.position AS pos, row(f.position, e.kind_rank, e.row_id, e.top_id) AS seq FROM edges e JOIN {frontier} f ON e.src = f.id),
+{level}_new AS (SELECT pos, seq, row_number() OVER (ORDER BY seq, dst) - 1 AS n FROM (SELECT dst, min(seq) AS seq, arg_min(pos, seq) AS pos FROM {level}_out WHERE dst NOT IN (SELECT id FROM {seen}) GROUP BY dst)),
+{level}_last AS (SELECT l.pos, x.seq FROM {level}_new l LEFT JOIN {level}_new x ON x.n = l.n + 1 AND x.pos = l.pos WHERE l.n = {room} - 1),
+{level}_met AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, kind FROM {level}_out WHERE {room} >= 1 AND ((SELECT count(*) FROM {level}_last) = 0 OR EXISTS (SELECT 1 FROM {level}_last l WHERE {level}_out.pos <= l.pos AND (l.seq IS NULL OR {level}_out.seq <= l.seq))))"""
+
+
+_WALKED = _BFS[: _BFS.rindex("SELECT position, id, TRUE")].rstrip()
+
+
+@query("o41_traversed_edges", f"""{_WALKED}, seen_2 AS (SELECT id FROM seeds UNION ALL SELECT id FROM l1), seen_3 AS (SELECT id FROM seen_2 UNION ALL SELECT id FROM l2), {_met("w1", "seeds", "seeds")}, {_met("w2", "l1", "seen_2")}, {_met("w3", "l2", "seen_3")}
+SELECT * FROM w1_met UNION SELECT * FROM w2_met UNION SELECT * FROM w3_met""")
 def _(p):
     return traverse.breadth_first(p.edges, _seed_ids(p), BUDGET).edges
 
 
-@query("o42_shortest_path")
+#: Levels of a breadth-first walk, each node with its place in the queue and what it was reached by, and the way back from the goal.
+_HOPS = 8
+_LEVELS = ", v0 AS (SELECT min(id) AS node, 0::BIGINT AS pos, NULL::BIGINT AS prev, NULL::VARCHAR AS kind FROM symbols WHERE kind = 'interface')" + "".join(
+    f""", v{i} AS (SELECT dst AS node, row_number() OVER (ORDER BY w, dst) - 1 AS pos, w.src AS prev, w.kind AS kind FROM (SELECT e.dst, min(struct_pack(pos := v.pos, kind_rank := e.kind_rank, row_id := e.row_id, top_id := e.top_id, src := e.src, kind := e.kind)) AS w
+    FROM edges e JOIN v{i - 1} v ON e.src = v.node WHERE e.dst NOT IN ({" UNION ALL ".join(f"SELECT node FROM v{j}" for j in range(i))}) GROUP BY e.dst))""" for i in range(1, _HOPS + 1))
+
+
+@query("o42_shortest_path", using("edges symbols", _LEVELS).replace("WITH", "WITH RECURSIVE", 1) + ", v AS (" + " UNION ALL ".join(f"SELECT {i} AS hop, node, prev, kind FROM v{i}" for i in range(_HOPS + 1)) + """),
+    trail AS (SELECT hop, node, prev, kind FROM v WHERE node = (SELECT max(id) FROM symbols WHERE kind = 'interface') UNION ALL SELECT v.hop, v.node, v.prev, v.kind FROM trail t JOIN v ON v.hop = t.hop - 1 AND v.node = t.prev)
+    SELECT hop::BIGINT AS position, node AS id, kind FROM trail""")
 def _(p):
     first, last = p.symbols.where("kind = 'interface'").agg(F.min("id"), F.max("id")).first()
     found = traverse.shortest_path(p.edges, p.symbols, first, last) or []
@@ -487,8 +507,7 @@ def _(p):
 
 @query("o47_ambiguity", using("symbols files", "SELECT s.name, count(*) AS candidates, count(DISTINCT f.language) > 1 AS cross_language FROM symbols s JOIN files f USING (file_id) GROUP BY s.name HAVING count(*) > 1"))
 def _(p):
-    s = graph.decorated(p.symbols, p.files)
-    return s.groupBy("name").agg(F.count("*").alias("candidates"), (F.count_distinct("language") > 1).alias("cross_language")).where("candidates > 1")
+    return lookup.ambiguous(p.symbols, p.files)
 
 
 # --- roll-ups and slices
@@ -500,7 +519,7 @@ def _(p):
 
 @query("o48_hot_symbols", using("symbols callers", "SELECT id, qualified_name, caller_count FROM callers JOIN symbols USING (id) ORDER BY caller_count DESC, id LIMIT 10"))
 def _(p):
-    return verbs.caller_counts(p.symbols, p.resolved_calls).join(p.symbols.select("id", "qualified_name"), "id").orderBy(F.desc("caller_count"), "id").limit(10)
+    return verbs.with_counts(p.symbols.select("id", "qualified_name"), p.resolved_calls).orderBy(F.desc("caller_count"), "id").limit(10)
 
 
 @query("o49_scope", using("files", "SELECT file_id, path FROM files WHERE path = 'geo/asia' OR starts_with(path, 'geo/asia/')"))
@@ -589,8 +608,7 @@ def _(p):
 
 @query("o58_by_file", using("files symbols", "SELECT row_number() OVER (PARTITION BY path ORDER BY start_line, id) - 1 AS position, path, id FROM symbols JOIN files USING (file_id)"))
 def _(p):
-    s = graph.decorated(p.symbols, p.files)
-    return graph.top_by(s, ["path"], ["start_line", "id"], 2**31 - 1, "position").select((F.col("position") - 1).alias("position"), "path", "id")
+    return verbs.by_file(graph.decorated(p.symbols, p.files))
 
 
 @query("o59_map_text")

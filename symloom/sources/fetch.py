@@ -65,7 +65,7 @@ def fetch(url: str, into: str) -> Fetched:
     return Fetched(path, present, len(body), sha8, hashlib.sha256(body).digest())
 
 
-def named(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
-    """Pages that were fetched already, as they would be kept: one row for each (host, sha8, ext), the first address by order."""
-    rows = pages.select(host(F.col(url)).alias("host"), F.substring(F.sha2(F.col(body), 256), 1, 8).alias("sha8"), url_extension(F.col(url)).alias("ext"), F.col(url).alias("url"), F.octet_length(body).cast("bigint").alias("n_bytes"))
-    return rows.groupBy("host", "sha8", "ext").agg(F.min("url").alias("url"), F.min("n_bytes").alias("n_bytes"))
+def named(pages: DataFrame, key: str, url: str = "url", body: str = "html") -> DataFrame:
+    """Pages that were fetched already, as they would be kept: one row for each (host, sha8, ext), its least key, and how many pages they are."""
+    rows = pages.select(host(F.col(url)).alias("host"), F.substring(F.sha2(F.col(body), 256), 1, 8).alias("sha8"), url_extension(F.col(url)).alias("ext"), key)
+    return rows.groupBy("host", "sha8", "ext").agg(F.min(key).alias(key), F.count("*").alias("pages"))

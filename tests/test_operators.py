@@ -304,3 +304,17 @@ def test_meter(spark):
     assert tuple(meter.totals(many, ["k"]).first()) == (1, (1 << 63) - 1, 2, 2)
     lines = spark.createDataFrame([("a=1",), ("# a=2",), ("a=x",), (" b = 7 ",), ("",)], "value string")
     assert sorted(map(tuple, meter.parse(lines).collect())) == [("a", 1), ("b", 7)]
+
+
+def test_many_texts_are_looked_up_as_few_are(spark):
+    """Looked for by shared runs of letters, many texts find what a scan finds."""
+    from symloom.operators import lookup
+    from symloom.shared import stored
+
+    names = [(i, f"mod_{i % 5}::Type{i}::get_{i * 7 % 13}", f"get_{i * 7 % 13}") for i in range(60)]
+    symbols = spark.createDataFrame(names, "id bigint, qualified_name string, name string")
+    texts = ["Type1", "e1", "::", "x", "get_1", "5::", "none of them", "mod_3::Type", "é", "Type59::get_10"]
+    asked = stored(spark.createDataFrame([(t,) for t in texts], "q string"), "asked")
+    rows = [sorted(map(tuple, lookup._within(symbols, asked, n).collect())) for n in (100, 2)]
+    want = sorted((t, 2 if q.endswith(("::" + t, "." + t)) else 3, i) for t in texts for i, q, _ in names if t in q)
+    assert rows[0] == rows[1] == want and len(want) > 60
