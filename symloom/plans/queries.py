@@ -611,7 +611,22 @@ def _(p):
     return verbs.by_file(graph.decorated(p.symbols, p.files))
 
 
-@query("o59_map_text")
+_MAP_TEXT = f""", {_DIRS}, n AS (SELECT file_id, count(*) AS n FROM symbols GROUP BY file_id),
+    own AS (SELECT file_id, arg_max(dir, i) AS dir FROM dirs GROUP BY file_id),
+    d AS (SELECT dir, count(*) AS n_files, coalesce(sum(n), 0)::BIGINT AS n_symbols, CASE WHEN dir = '' THEN NULL ELSE regexp_replace(dir, '/?[^/]*$', '') END AS above FROM dirs LEFT JOIN n USING (file_id) GROUP BY dir),
+    l AS (SELECT *, dir = max(dir) OVER (PARTITION BY above) AS last, string_split(dir, '/') AS place FROM d),
+    x AS (SELECT a.*, CASE WHEN a.dir = '' THEN '' ELSE CASE WHEN b.above IS NULL THEN '' WHEN b.last THEN '    ' ELSE '│   ' END END AS lead FROM l a LEFT JOIN l b ON b.dir = a.above),
+    y AS (SELECT *, CASE WHEN dir = '' THEN '' ELSE lead || CASE WHEN last THEN '    ' ELSE '│   ' END END AS deep FROM x),
+    k AS (SELECT dir, string_agg(kind || '=' || n, ', ' ORDER BY n DESC, kind) AS kinds FROM (SELECT dir, kind, count(*) AS n, row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, kind) AS r FROM dirs JOIN symbols USING (file_id) GROUP BY dir, kind) WHERE r <= 5 GROUP BY dir),
+    t AS (SELECT dir, row_number() OVER (PARTITION BY dir ORDER BY caller_count DESC, qualified_name, id) AS rank, qualified_name, kind, path, start_line, caller_count FROM symbols JOIN own USING (file_id) JOIN callers USING (id) JOIN files USING (file_id) QUALIFY rank <= 5),
+    text AS (SELECT place, 0 AS part, 0 AS rank, CASE WHEN dir = '' THEN './' ELSE lead || CASE WHEN last THEN '└── ' ELSE '├── ' END || place[-1] || '/' END || '  (' || n_files || ' files, ' || n_symbols || ' symbols)' AS line FROM y
+    UNION ALL SELECT place, 1, 0, deep || 'kinds: ' || kinds FROM y JOIN k USING (dir)
+    UNION ALL SELECT place, 2, 0, deep || 'top:' FROM y WHERE dir IN (SELECT dir FROM t)
+    UNION ALL SELECT place, 3, rank, deep || '  - ' || qualified_name || ' (' || kind || ') — ' || path || ':' || start_line || ' [' || caller_count || ' caller' || CASE WHEN caller_count = 1 THEN ']' ELSE 's]' END FROM y JOIN t USING (dir))
+    SELECT row_number() OVER (ORDER BY place, part, rank) + 3 AS line_no, line FROM text UNION ALL SELECT 0, '# Map: <project root>' UNION ALL SELECT 1, '' UNION ALL SELECT 2, '**Files:** ' || n_files || ' • **Symbols:** ' || n_symbols || ' • **Depth:** 2' FROM d WHERE dir = '' UNION ALL SELECT 3, ''"""
+
+
+@query("o59_map_text", using("files symbols callers", _MAP_TEXT))
 def _(p):
     text = render.map_({"scope": "", "depth": 2, "root": tree.build(p.files, p.symbols, p.resolved_calls)})
     return p.spark.createDataFrame(list(enumerate(text.splitlines())), "line_no bigint, line string")

@@ -105,10 +105,10 @@ def path(start: str, goal: str, found: list | None) -> str:
 
 def slice_(location: str, answer: dict) -> str:
     f = answer["focus"]
-    out = _lines(f"# Slice: `{location}`", "", f"**Enclosing:** `{f.qualified_name}` ({f.kind}) — `{f.path}:{f.start_line}`", "")
+    out = _lines(f"# Slice: `{location}`", "", f"**Encloses:** `{f.qualified_name}` ({f.kind}) • **File:** `{f.path}:{f.start_line}`", "")
     if answer["imports"]:
         prefix = _IMPORT.get(_ext(f.path), "")
-        out += _lines(f"**Imports** ({len(answer['imports'])})", "") + _fenced(f.path, [prefix + x for x in answer["imports"]])
+        out += _lines(f"**Imports** ({len(answer['imports'])} shown)", "") + _fenced(f.path, [f"{prefix}{x};" for x in answer["imports"]])
     return out + _signature_and_body(answer)
 
 
