@@ -55,6 +55,8 @@ NEEDS = {
     "assigned_secret": [["=", ":"], ["assword", "PASSWORD", "asswd", "ecret", "SECRET", "oken", "TOKEN", "pi_", "piK", "pik", "API_KEY", "ccess_", "ccessK", "ccessk", "ACCESS_KEY"]],
     "assigned_user": [["=", ":"], ["ser", "USER", "ogin", "lient", "ccount"]], "url": [["://"]], "mail": [["@"]],
 }
+#: Cheaper patterns that match wherever the rule does: a digit next to another character of a run, and the digits alone.
+BEFORE = {"mixed_run": "[0-9](?:[A-Za-z+/_-]|(?<=[A-Za-z+/_-][0-9]))", "upper_hex": "[0-9A-F]{32}"}
 #: Weak parts without a form of their own are searched in what the other rules leave.
 BARE = ["mixed_run", "upper_hex", "bare_hex"]
 ANY = "|".join(f"(?:{r[3]})" for r in RULES if r[0] not in BARE)
@@ -76,7 +78,8 @@ def has_part(text: Column) -> Column:
     """Whether any rule matches; a rule's pattern is tried only on texts with the plain strings that each of its matches has."""
     found = F.lit(False)
     for name, _, _, pattern in RULES:
-        found = found | (F.when(has_needs(text, name), text.rlike(pattern)).otherwise(False) if name in NEEDS else text.rlike(pattern))
+        test = has_needs(text, name) if name in NEEDS else text.rlike(BEFORE[name]) if name in BEFORE else None
+        found = found | (text.rlike(pattern) if test is None else F.when(test, text.rlike(pattern)).otherwise(False))
     return F.coalesce(found, F.lit(False))
 
 
