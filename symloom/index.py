@@ -82,9 +82,9 @@ class Index:
         """Resolves all rows from their raw names and makes the snapshot current."""
         s = stored(tables["symbols"], "symbols")
         clear = {"calls": ["callee_symbol_id"], "types": ["target_symbol_id"], "refs": ["symbol_id"], "imports": ["resolved_symbol_id", "resolved_file_id"]}
-        out = {"files": tables["files"], "symbols": s}
+        out, look = {"files": tables["files"], "symbols": s}, resolve.names(s)
         for name, f in (("calls", resolve.calls), ("types", resolve.types), ("refs", resolve.refs), ("imports", resolve.imports)):
-            out[name] = f(tables[name].drop(*clear[name]), s)
+            out[name] = f(tables[name].drop(*clear[name]), look)
         self.store.publish(out)
         now = self.store.tables()
         summary.rows = {r.table_name: r.n_rows for r in load.counts(now).collect()}

@@ -5,9 +5,13 @@ Lookup tables are grouped down to one row a key first, so a hot name on the look
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symloom.shared import stored
+
 
 def by_qualified_name(symbols: DataFrame) -> DataFrame:
     """Rows (key, symbol_id, file_id): for each qualified name its lowest-id symbol and that symbol's file."""
@@ -19,43 +23,55 @@ def by_local_name(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy(F.col("file_id").alias("key_file"), F.col("name").alias("key")).agg(F.min("id").alias("local_id"))
 
 
-def phase_qualified(rows: DataFrame, symbols: DataFrame, raw: str, into: str) -> DataFrame:
+@dataclass(frozen=True)
+class Names:
+    """Both lookups over the same symbols, for several tables that are resolved by them; stored, they are made once."""
+
+    qualified: DataFrame
+    local: DataFrame
+
+
+def names(symbols: DataFrame) -> Names:
+    return Names(stored(by_qualified_name(symbols), "qualified-names"), stored(by_local_name(symbols), "local-names"))
+
+
+def phase_qualified(rows: DataFrame, symbols: DataFrame | Names, raw: str, into: str) -> DataFrame:
     """Fills the symbol where the raw name is a qualified name anywhere; what is filled already stays."""
     if into not in rows.columns:
         rows = rows.withColumn(into, F.lit(None).cast("bigint"))
-    look = by_qualified_name(symbols).select("key", "found_id")
+    look = (symbols.qualified if isinstance(symbols, Names) else by_qualified_name(symbols)).select("key", "found_id")
     return rows.join(look, rows[raw] == look["key"], "left").withColumn(into, F.coalesce(into, "found_id")).drop("key", "found_id")
 
 
-def phase_local(rows: DataFrame, symbols: DataFrame, raw: str, into: str) -> DataFrame:
+def phase_local(rows: DataFrame, symbols: DataFrame | Names, raw: str, into: str) -> DataFrame:
     """Fills what is still empty where the raw name is the name of a symbol of the same file."""
-    look = by_local_name(symbols)
+    look = symbols.local if isinstance(symbols, Names) else by_local_name(symbols)
     on = (rows[raw] == look["key"]) & (rows["file_id"] == look["key_file"]) & rows[into].isNull()
     return rows.join(look, on, "left").withColumn(into, F.coalesce(into, "local_id")).drop("key", "key_file", "local_id")
 
 
-def _both(rows: DataFrame, symbols: DataFrame, raw: str, into: str) -> DataFrame:
+def _both(rows: DataFrame, symbols: DataFrame | Names, raw: str, into: str) -> DataFrame:
     return phase_local(phase_qualified(rows, symbols, raw, into), symbols, raw, into)
 
 
-def calls(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+def calls(rows: DataFrame, symbols: DataFrame | Names) -> DataFrame:
     return _both(rows, symbols, "callee_raw_name", "callee_symbol_id")
 
 
-def types(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+def types(rows: DataFrame, symbols: DataFrame | Names) -> DataFrame:
     return _both(rows, symbols, "target_raw_name", "target_symbol_id")
 
 
-def refs(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+def refs(rows: DataFrame, symbols: DataFrame | Names) -> DataFrame:
     return _both(rows, symbols, "raw_name", "symbol_id")
 
 
-def imports(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+def imports(rows: DataFrame, symbols: DataFrame | Names) -> DataFrame:
     """Symbol and file of an import, both from the same lowest-id symbol with that qualified name."""
     for c in ("resolved_symbol_id", "resolved_file_id"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("bigint"))
-    look = by_qualified_name(symbols)
+    look = symbols.qualified if isinstance(symbols, Names) else by_qualified_name(symbols)
     open_ = rows["resolved_symbol_id"].isNull()
     joined = rows.join(look, (rows["raw_path"] == look["key"]) & open_, "left")
     return joined.withColumn("resolved_file_id", F.when(F.col("found_id").isNotNull(), F.col("found_file")).otherwise(F.col("resolved_file_id"))).withColumn("resolved_symbol_id", F.coalesce("resolved_symbol_id", "found_id")).drop("key", "found_id", "found_file")

@@ -110,21 +110,25 @@ class Projection:
     def refs(self) -> DataFrame:
         return self._written(self._table("refs"), "refs")
 
+    @cached_property
+    def names(self) -> resolve.Names:
+        return resolve.Names(self._written(resolve.by_qualified_name(self.symbols), "qnames"), self._written(resolve.by_local_name(self.symbols), "lnames"))
+
     @cached_property
     def resolved_calls(self) -> DataFrame:
-        return self._written(resolve.calls(self.calls, self.symbols), "rcalls", "callee_symbol_id")
+        return self._written(resolve.calls(self.calls, self.names), "rcalls", "callee_symbol_id")
 
     @cached_property
     def resolved_types(self) -> DataFrame:
-        return self._written(resolve.types(self.types, self.symbols), "rtypes")
+        return self._written(resolve.types(self.types, self.names), "rtypes")
 
     @cached_property
     def resolved_refs(self) -> DataFrame:
-        return self._written(resolve.refs(self.refs, self.symbols), "rrefs", "symbol_id")
+        return self._written(resolve.refs(self.refs, self.names), "rrefs", "symbol_id")
 
     @cached_property
     def resolved_imports(self) -> DataFrame:
-        return self._written(resolve.imports(self.imports, self.symbols), "rimports")
+        return self._written(resolve.imports(self.imports, self.names), "rimports")
 
     @cached_property
     def edges(self) -> DataFrame:
