@@ -35,12 +35,7 @@ def test_stages(spark, folder):
     keep = model.keep(model.judge(pa.array([t for _, t in rows], pa.string())), len(rows))
     rows = [r for r, k in zip(rows, keep) if k]
     assert not any((t or "").startswith("BUY") for _, t in rows)
-    gone = {d for d, _ in groups(rows)}
-    once, seen = [], set()
-    for d, t in rows:
-        if d is None or d not in gone and d not in seen:
-            once.append((d, t))
-            seen.add(d)
+    once = groups(rows, texts=True) + [(d, t) for d, t in rows if d is None or t is None]  # different texts of a doc_id are judged each
     found = {d for d, *_ in leaks(once, [(1, prose(600, 30)), (2, prose(601, 30))])}
     clean = [(d, t) for d, t in once if d not in found]
     assert found == {4000}
