@@ -424,7 +424,17 @@ def _(p):
     return _nodes(p, traverse.breadth_first(p.edges, _seed_ids(p), BUDGET))
 
 
-@query("o40_depth_first")
+_ROOM = BUDGET // traverse.NODE_COST
+#: The walk a step at a time: the nodes so far and the stack, of which the last is taken up.
+_DFS = using("edges symbols", "").rstrip().replace("WITH", "WITH RECURSIVE", 1) + ",\n" + _SCORED + f""", walk AS (SELECT 0 AS step, (SELECT list(id ORDER BY position) FROM seeds) AS nodes, (SELECT list(id ORDER BY position) FROM seeds) AS stack, (SELECT count(*) FROM seeds) AS n_seeds
+UNION ALL SELECT any_value(step) + 1, list_concat(any_value(nodes), fresh), list_concat(any_value(stack)[:-2], fresh), any_value(n_seeds) FROM (
+    SELECT w.step, w.nodes, w.stack, w.n_seeds, list_transform(list_sort(list_filter(list(struct_pack(a := w.seq, d := w.dst)), lambda x: x.d IS NOT NULL)), lambda x: x.d)[:{_ROOM} - len(w.nodes)] AS fresh
+    FROM (SELECT w.step, w.nodes, w.stack, w.n_seeds, e.dst, min(row(e.kind_rank, e.row_id, e.top_id)) AS seq FROM walk w LEFT JOIN edges e ON e.src = w.stack[-1] AND NOT list_contains(w.nodes, e.dst)
+        WHERE len(w.stack) > 0 AND len(w.nodes) < {_ROOM} GROUP BY ALL) w GROUP BY w.step, w.nodes, w.stack, w.n_seeds) GROUP BY fresh)
+SELECT unnest(range(0, len(nodes))) AS position, unnest(nodes) AS id, unnest(list_transform(range(0, len(nodes)), lambda i: i < n_seeds)) AS is_seed FROM walk WHERE step = (SELECT max(step) FROM walk)"""
+
+
+@query("o40_depth_first", _DFS)
 def _(p):
     return _nodes(p, traverse.depth_first(p.edges, _seed_ids(p), BUDGET))
 
