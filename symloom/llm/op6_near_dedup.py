@@ -145,37 +145,44 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, label) for all nodes of the edges (a, b): label is the least node of the component.
 
-    Large-star and small-star steps in turn, each written to the shared folder, until nothing changes; the rounds grow
-    with the logarithm of the longest path. The least neighbour of a node is an aggregate that is combined before it is shuffled, and
-    joined back to the edges: the neighbours of a hub never meet in one task.
+    Large-star and small-star steps in turn, each pair written to the shared folder, until all edges lead to the least node of their component; the
+    rounds grow with the logarithm of the longest path. The least neighbour of a node is an aggregate that is combined before it is shuffled,
+    and joined back to the edges: the neighbours of a hub never meet in one task.
     """
     spark = edges.sparkSession
     now, path = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    while not starred(now):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         # large-star: a greater neighbour's edge goes to the least neighbour
-        large, large_path = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small-star: what a node has left is linked to its least
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after, after_path = written(small, "edges")
-        sign = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_path(spark, path)
-        drop_path(spark, large_path)
         now, path = after, after_path
-        if sign == before:
-            break
-        before = sign
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    return labelled(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
+
+
+def starred(edges: DataFrame) -> bool:
+    """Whether each node of the edges (u, v) that has an edge to a smaller one has one only, and none leads to it."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
-def split_bands(band: DataFrame, group: DataFrame) -> DataFrame:
-    """Rows (band, node, label) of the bands whose nodes are in more than one group; a node in no group is one of its own."""
-    labelled, _ = written(lookup(band.select("band", "node"), group, "node", "left").select("band", "node", F.coalesce("label", F.col("node")).alias("label")), "labelled")
-    mixed, _ = written(labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "lo", "hi"), "mixed")
-    return written(lookup(labelled, mixed, "band"), "split")[0]
+def labelled(stars: DataFrame) -> DataFrame:
+    """Rows (node, label) for the nodes of stars (a, b): b has one a, the least node of its component."""
+    return stars.select(F.col("b").alias("node"), F.col("a").alias("label")).unionAll(stars.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+
+
+def split_bands(band: DataFrame, group: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows (band, node, label, lo) of the bands whose nodes are in more than one group, a node in no group being one of its own; how many
+    there are, and at most how many pairs."""
+    own, _ = written(lookup(band.select("band", "node"), group, "node", "left").select("band", "node", F.coalesce("label", F.col("node")).alias("label")), "labelled")
+    mixed, _ = written(own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "lo", "n"), "mixed")
+    n, pairs = mixed.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n"))).first()
+    return lookup(own, mixed.select("band", "lo"), "band"), n or 0, int(pairs or 0) // 2
 
 
 def blockwise(split: DataFrame, block: int) -> DataFrame:
@@ -188,29 +195,30 @@ def blockwise(split: DataFrame, block: int) -> DataFrame:
     return left.join(right, ["band", "mine", "other"]).where("a < b AND label_a <> label_b").select("a", "b").distinct()
 
 
-def texts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (doc_id, digest, node, text), repeated ones once: the node of a text is its doc_id. Of a doc_id with different texts each is a node
-    of its own, numbered by a hash; these are rows (node, doc_id, digest) of the second table, None if there are none."""
+def texts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows (doc_id, digest, node, text), repeated ones once, and (digest, node): the node of a text is its doc_id. Of a doc_id with different texts
+    each is a node of its own, numbered by a hash; these are rows (node, doc_id, digest) of the third table, None if there are none."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("digest", F.unhex(F.md5("text")))
     digests, _ = written(own.select("doc_id", "digest"), "digests")
     repeated, _ = written(digests.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("n")).where("n > 1").select("doc_id", (F.col("lo") != F.col("hi")).alias("several")), "repeated")
     if repeated.isEmpty():
-        return own.select("doc_id", "digest", F.col("doc_id").alias("node"), "text"), None
+        return own.select("doc_id", "digest", F.col("doc_id").alias("node"), "text"), digests.select("digest", F.col("doc_id").alias("node")), None
     hashed = F.xxhash64("doc_id", "digest")
-    numbered = lookup(own, repeated, "doc_id", "left").select("doc_id", "digest", F.when(F.col("several"), hashed).otherwise(F.col("doc_id")).alias("node"), "text")
+    node = F.when(F.col("several"), hashed).otherwise(F.col("doc_id")).alias("node")
+    numbered = lookup(own, repeated, "doc_id", "left").select("doc_id", "digest", node, "text")
+    nodes, _ = written(lookup(digests, repeated, "doc_id", "left").select("digest", node).distinct(), "nodes")
     ids = repeated.select("doc_id")
     once = with_ids(numbered, ids, "doc_id", "left_semi").groupBy("doc_id", "digest", "node").agg(F.first("text").alias("text"))
     named, _ = written(lookup(digests, repeated.where("several"), "doc_id").select(hashed.alias("node"), "doc_id", "digest").distinct(), "named")
-    return with_ids(numbered, ids, "doc_id", "left_anti").unionAll(once), None if named.isEmpty() else named
+    return with_ids(numbered, ids, "doc_id", "left_anti").unionAll(once), nodes, None if named.isEmpty() else named
 
 
 def groups(docs: DataFrame, k: int = K, registers: int = REGISTERS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, digest, keep_id): a text that goes, and the doc_id of the one that stays of its group, that with the least (doc_id, digest).
     digest is null where all texts of the doc_id are equal."""
-    every, named = texts_of(docs)
-    digests, _ = written(every.select("digest", "node"), "nodes")
-    shared, _ = written(digests.groupBy("digest").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last").select("digest", "least"), "shared")
-    copies, _ = written(lookup(digests, shared, "digest", limit=BROADCAST_IDS // 2).where("node <> least").select("least", "node").distinct(), "copies")
+    every, nodes, named = texts_of(docs)
+    shared, _ = written(nodes.groupBy("digest").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last").select("digest", "least"), "shared")
+    copies, _ = written(lookup(nodes, shared, "digest", limit=BROADCAST_IDS // 2).where("node <> least").select("least", "node").distinct(), "copies")
     texts = with_ids(every, copies.select("node"), "node", "left_anti").select("node", "text")
     signed, _ = written(bands(texts, k, registers, rows), "signed")
     common, _ = written(signed.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a"), "common")
@@ -218,20 +226,23 @@ def groups(docs: DataFrame, k: int = K, registers: int = REGISTERS, rows: int =
     star = band.where("a <> node").select("a", F.col("node").alias("b")).distinct()
     candidate, _ = written(components(star), "candidates")
     edges = verified(candidate.where("label <> node").select(F.col("label").alias("a"), F.col("node").alias("b")), texts, k, threshold)
-    group, _ = written(components(edges), "groups")
-    split, left = split_bands(band, group), None
-    while (now := split.count()) and (left is None or now < 0.8 * left):
+    group, _ = written(labelled(edges), "groups")  # a pair has the least node of its candidates
+    split, left, pairs = split_bands(band, group)
+    while pairs > 8 * left:
         # a pass with a new centre for each band: its least node outside the group of its least label
-        left = now
         centre, _ = written(split.where("label <> lo").groupBy("band").agg(F.min(F.struct("node", "label")).alias("c")).select("band", F.col("c.node").alias("c"), F.col("c.label").alias("of")), "centres")
         near = lookup(split.select("band", "node", "label"), centre, "band").where("label <> of").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         edges, _ = written(edges.select("a", "b").unionAll(verified(near, texts, k, threshold).select("a", "b")), "edges")
         group, _ = written(components(edges), "groups")
-        split = split_bands(band, group)
-    # what is still apart: all pairs of a band that are in different groups
-    rest, _ = written(blockwise(split, BLOCK), "pairs")
-    edges = edges.select("a", "b").unionAll(verified(rest, texts, k, threshold).select("a", "b")).unionAll(copies.select(F.col("least").alias("a"), F.col("node").alias("b")))
-    found = components(edges)
+        before = left
+        split, left, pairs = split_bands(band, group)
+        if left > 0.8 * before:
+            break
+    edges = edges.select("a", "b")
+    if left:  # what is still apart: all pairs of a band that are in different groups
+        rest, _ = written(blockwise(split, BLOCK), "pairs")
+        edges = edges.unionAll(verified(rest, texts, k, threshold).select("a", "b"))
+    found = components(edges.unionAll(copies.select(F.col("least").alias("a"), F.col("node").alias("b"))))
     none = F.lit(None).cast("binary")
     if named is None:
         return found.where("node <> label").select(F.col("node").alias("doc_id"), none.alias("digest"), F.col("label").alias("keep_id"))
