@@ -10,7 +10,8 @@ To spread the work, only what can repeat is merged, and where it can be compared
 hash of its K-word runs is its anchor, so equal windows have equal anchors. Anchors that occur once are in no repeat. For the
 others, the run of windows with that anchor is a segment; segments with the same anchor go to the same task, equal segments once. This
 loses nothing: each window lies in exactly one segment, and all equal windows meet in one task. An anchor with more than TASK_SEGMENTS different
-segments would make that task large: its windows are compared each by their hashes instead, which is as exact.
+segments would make that task large: its windows are compared each by their hashes instead, which is as exact. A task takes its anchors in order and
+merges so many at a time as have MERGE_WORDS words, so its memory is that of these, or of the largest anchor, and not of all it has.
 
 Result: one row for each place of a passage of at least MIN_WORDS words that occurs in two documents or more: (doc_id, start_word, n_words,
 first_doc_id); first_doc_id is the least doc_id with the passage. Copies of a whole text get one row each, the first one too.
@@ -22,6 +23,8 @@ that share a doc_id are one document with several texts. Other columns are not l
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +36,8 @@ from symloom.llm.words import WORD_SQL, mix, shingles, slices, words
 MIN_WORDS, K = 50, 8
 #: Segments that are merged in one task, and words of a shard.
 TASK_SEGMENTS, SHARD_WORDS = 16_000, 262_144
+#: Words that a task merges at once if no anchor has more; bytes of text that it takes apart at once.
+MERGE_WORDS, TEXT_BYTES = 2 * SHARD_WORDS, 500_000
 #: No document.
 NONE = np.iinfo(np.int64).min
 
@@ -90,11 +95,12 @@ class Shard:
             keyed = rank * n + after  # a suffix that step leads out of its segment is settled by then
             order = np.argsort(keyed, kind="stable")
             step *= 2
-        self.segment = np.repeat(np.arange(len(segments)), size)[order] + number
-        self.offset = order - np.repeat(end - size + 1, size)[order]
+        # kept in 32 bits each, as many shards are held at once
+        self.segment = (np.repeat(np.arange(len(segments)), size)[order] + number).astype(np.int32)
+        self.offset = (order - np.repeat(end - size + 1, size)[order]).astype(np.int32)
         before = order - 1
         starts = self.offset == 0
-        self.bwt = np.where(starts, 0, text[before])
+        self.bwt = np.where(starts, 0, text[before]).astype(np.int32)
 
 
 def merge(shards: list[Shard], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,20 +108,21 @@ def merge(shards: list[Shard], most: int) -> tuple[np.ndarray, np.ndarray, np.nd
     words or more), and, of those still in a block with others, row and block."""
     base = np.cumsum([0] + [len(s.bwt) for s in shards])
     n = int(base[-1])
+    kind = np.int32 if n < 2**31 else np.int64
     # from the transforms alone: a row's first symbol, and the row of the suffix that follows
-    follow = np.concatenate([np.argsort(s.bwt, kind="stable") + b for s, b in zip(shards, base)])
+    follow = np.concatenate([(np.argsort(s.bwt, kind="stable") + b).astype(kind) for s, b in zip(shards, base)])
     first = np.concatenate([np.sort(s.bwt, kind="stable") for s in shards])
-    place, lcp = np.zeros(n, np.int64), np.full(n, most, np.int64)
+    place, lcp = np.zeros(n, kind), np.full(n, most, np.int32)
     lcp[:1] = 0
-    active = np.argsort(first, kind="stable")
+    active = np.argsort(first, kind="stable").astype(kind)
     ends = int((first == 0).sum())
     key = first[active]
     new = np.ones(n, bool)
     new[1:] = (key[1:] != key[:-1]) | (key[1:] == 0)
     new[:ends] = True
-    at = np.arange(n)
-    block = np.maximum.accumulate(np.where(new, at, 0))
-    place[active] = block
+    del first, key
+    at = np.arange(n, dtype=kind)
+    place[active] = np.maximum.accumulate(np.where(new, at, kind(0)))
     lcp[at[new]] = 0
     settled = active.copy()  # rows by place
     depth = 1
@@ -125,16 +132,19 @@ def merge(shards: list[Shard], most: int) -> tuple[np.ndarray, np.ndarray, np.nd
         if depth >= most or not len(active):
             break
         now = place[active]
-        key = now * n + place[follow[active]]
+        key = now.astype(np.int64) * n
+        key += place[follow[active]]
         order = np.argsort(key, kind="stable")
         active, key = active[order], key[order]
+        del order
         new = np.ones(len(active), bool)
         new[1:] = key[1:] != key[:-1]
+        del key
         parted = new.copy()
         parted[1:] &= now[1:] == now[:-1]  # places of blocks are as before: only within them rows move
         parted[0] = False
         lcp[at[parted]] = depth
-        place[active] = np.maximum.accumulate(np.where(new, at, 0))
+        place[active] = np.maximum.accumulate(np.where(new, at, kind(0)))
         settled[at] = active
         depth += 1
     return settled, lcp, active, place[active]
@@ -143,9 +153,9 @@ def merge(shards: list[Shard], most: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def repeats(segments: list[np.ndarray], low: np.ndarray, high: np.ndarray, many: np.ndarray, length: int, within: bool = False, shard_words: int = SHARD_WORDS) -> list[tuple[int, int, int, int]]:
     """Runs (segment, first window, windows, least document) of windows that two documents have, or with within of those at two places. low and
     high are the least and greatest document with the segment's text, many says whether it is at several places."""
-    alphabet, symbols = np.unique(np.concatenate(segments), return_inverse=True)
+    symbols = np.unique(np.concatenate(segments), return_inverse=True)[1].astype(np.int32) + np.int32(1)
     cut = np.cumsum([0] + [len(s) for s in segments])
-    own = [symbols[a:b] + 1 for a, b in zip(cut, cut[1:])]
+    own = [symbols[a:b] for a, b in zip(cut, cut[1:])]
     shards, a = [], 0
     while a < len(own):
         b = max(a + 1, int(np.searchsorted(cut, cut[a] + shard_words)))
@@ -162,13 +172,43 @@ def repeats(segments: list[np.ndarray], low: np.ndarray, high: np.ndarray, many:
         lo, hi = np.minimum.reduceat(low[segment], new), np.maximum.reduceat(high[segment], new)
         each = np.diff(np.append(new, len(block)))
         best[base[segment] + offset] = np.repeat(np.where((lo < hi) | within, lo, NONE), each)
-    owner = np.repeat(np.arange(len(segments)), count)
+    owner = np.repeat(np.arange(len(segments), dtype=np.int32), count)
     edge = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])))
     size = np.diff(np.append(edge, len(best)))
     on = best[edge] != NONE
     return list(zip(owner[edge][on].tolist(), (edge - base[owner[edge]])[on].tolist(), size[on].tolist(), best[edge][on].tolist()))
 
 
+def whole_anchors(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows in the order of their anchors as tables of whole anchors: of up to so many words, or one anchor that has more."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([*kept, batch])
+        anchor = t.column("anchor").to_numpy()
+        end = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1  # the last anchor may go on in the next batch
+        size = np.cumsum(np.append(0, pa.compute.binary_length(t.column("words")).to_numpy().astype(np.int64) // 4))
+        begin = 0
+        while len(end) and size[-1] - size[begin] > most:
+            i = max(0, int(np.searchsorted(size[end], size[begin] + most, "right")) - 1)
+            yield t.slice(begin, int(end[i]) - begin)
+            begin, end = int(end[i]), end[i + 1 :]
+        kept = t.slice(begin).to_batches()
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def merged(batches: Iterable[pa.RecordBatch], length: int, within: bool, most: int = MERGE_WORDS) -> Iterator[pa.RecordBatch]:
+    """Runs (anchor, c, first, n, least) of repeated windows in segments that come in the order of their anchors."""
+    for t in whole_anchors(batches, most):
+        body = [np.frombuffer(x, np.uint32) for x in t.column("words").to_pylist()]
+        rows = repeats(body, t.column("low").to_numpy(), t.column("high").to_numpy(), t.column("n").to_numpy() > 1, length, within)
+        if rows:
+            segment, first, n, least = (np.array(x) for x in zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(t.column("anchor").to_numpy()[segment]), pa.array(t.column("c").to_numpy()[segment]), pa.array(first), pa.array(n), pa.array(least)], ["anchor", "c", "first", "n", "least"])
+
+
 def texts_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (node, h, text), equal texts once under the least doc_id, h being a hash of the text; and (doc_id, node, h) for texts of several documents."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -193,16 +233,17 @@ def compared(once: DataFrame, length: int, within: bool) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            body = batch.column(2)
-            size = np.asarray(pa.compute.binary_length(body), np.int64) // 4
-            flat = np.frombuffer(b"".join(body.to_pylist()), np.uint32).astype(np.uint64)
-            at = np.concatenate([[0], np.cumsum(size)])
-            one, first = shingles(mix(flat + np.uint64(1)), at, length)
-            two, _ = shingles(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at, length)
-            owner = np.repeat(np.arange(len(size)), np.diff(first))
-            take = lambda i: batch.column(i).take(pa.array(owner))
-            inner = np.arange(len(owner)) - first[:-1][owner]
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), take(0), take(1), pa.array(inner), take(3), take(4), take(5)], ["one", "two", "anchor", "c", "first", "low", "high", "n"])
+            for part in slices(batch, "words", TEXT_BYTES):
+                body = part.column(2)
+                size = np.asarray(pa.compute.binary_length(body), np.int64) // 4
+                flat = np.frombuffer(b"".join(body.to_pylist()), np.uint32).astype(np.uint64)
+                at = np.concatenate([[0], np.cumsum(size)])
+                one, first = shingles(mix(flat + np.uint64(1)), at, length)
+                two, _ = shingles(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), at, length)
+                owner = np.repeat(np.arange(len(size)), np.diff(first))
+                take = lambda i: part.column(i).take(pa.array(owner))
+                inner = np.arange(len(owner)) - first[:-1][owner]
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), take(0), take(1), pa.array(inner), take(3), take(4), take(5)], ["one", "two", "anchor", "c", "first", "low", "high", "n"])
 
     windows_, _ = written(once.select("anchor", "c", "words", "low", "high", "n").mapInArrow(cut, "one bigint, two bigint, anchor bigint, c bigint, first bigint, low bigint, high bigint, n bigint"), "windows")
     found = windows_.groupBy("one", "two").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.sum("n").alias("places"))
@@ -217,7 +258,7 @@ def repeated_passages(docs: DataFrame, length: int = MIN_WORDS, k: int = K, task
 
     def anchors(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXT_BYTES):
                 doc, lo, _, anchor = windows(*words(part.column(2)), length, k)
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(lo.astype(np.int32))], ["anchor", "node", "h", "lo"])
@@ -230,7 +271,7 @@ def repeated_passages(docs: DataFrame, length: int = MIN_WORDS, k: int = K, task
 
     def cut(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXT_BYTES):
                 hashes, at = words(part.column(2))
                 doc, lo, n, anchor = windows(hashes, at, length, k)
                 los = part.column(3)
@@ -253,17 +294,8 @@ def repeated_passages(docs: DataFrame, length: int = MIN_WORDS, k: int = K, task
         usual, extra = with_ids(once, full, "anchor", "left_anti"), compared(with_ids(once, full, "anchor", "left_semi"), length, within)
     tasks = max(1, -(-once.count() // task_segments))
 
-    def merged(batches):
-        kept = list(batches)
-        t = pa.Table.from_batches(kept) if kept else None
-        if t is not None and t.num_rows:
-            body = [np.frombuffer(x, np.uint32) for x in t.column("words").to_pylist()]
-            rows = repeats(body, t.column("low").to_numpy(), t.column("high").to_numpy(), t.column("n").to_numpy() > 1, length, within)
-            if rows:
-                segment, first, n, least = (np.array(x) for x in zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(t.column("anchor").to_numpy()[segment]), pa.array(t.column("c").to_numpy()[segment]), pa.array(first), pa.array(n), pa.array(least)], ["anchor", "c", "first", "n", "least"])
-
-    runs = usual.repartition(tasks, "anchor").select("anchor", "c", "words", "low", "high", "n").mapInArrow(merged, "anchor bigint, c bigint, first bigint, n bigint, least bigint")
+    ordered = usual.repartition(tasks, "anchor").sortWithinPartitions("anchor").select("anchor", "c", "words", "low", "high", "n")
+    runs = ordered.mapInArrow(lambda batches: merged(batches, length, within), "anchor bigint, c bigint, first bigint, n bigint, least bigint")
     runs, _ = written(runs if extra is None else runs.unionAll(extra), "runs")
     places = segments.select("anchor", "c", "node", "h", "lo").join(runs, ["anchor", "c"]).select("node", "h", (F.col("lo") + F.col("first")).alias("at"), "n", "least")
     w = Window.partitionBy("node", "h").orderBy("at")
@@ -273,7 +305,7 @@ def repeated_passages(docs: DataFrame, length: int = MIN_WORDS, k: int = K, task
 
     def sizes(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXT_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(words(part.column(2))[1]))], ["node", "h", "n_words"])
 
     whole = with_ids(texts, copies.select("node").distinct(), "node", "left_semi").mapInArrow(sizes, "node bigint, h bigint, n_words bigint").where(F.col("n_words") >= length)

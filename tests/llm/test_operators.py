@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -641,6 +642,37 @@ def test_merged_order_is_the_sorted_order():
         assert n == common
 
 
+def test_a_task_merges_a_part_at_a_time():
+    """Segments in batches, anchors over several of them: parts are whole anchors, and give what a merge of all at once gives."""
+    r = np.random.default_rng(5)
+    many = [(a, r.integers(0, 1 << 32, 60, dtype=np.uint32)) for a in range(40) for _ in range(r.integers(1, 12))] + [(99, x) for x in r.integers(0, 1 << 32, (150, 90), dtype=np.uint32)]
+    many = sorted([*many, *((a, np.roll(x, 5)) for a, x in many)], key=lambda x: x[0])
+    n = range(len(many))
+    own = pa.table({"anchor": [a for a, _ in many], "c": n, "words": [x.tobytes() for _, x in many], "low": n, "high": n, "n": [1 for _ in n]})
+    batches = own.to_batches(max_chunksize=50)
+    parts = list(op9.whole_anchors(batches, 1500))
+    assert pa.concat_tables(parts).equals(own) and len(parts) > 15
+    for p, after in zip(parts, [*parts[1:], None]):
+        assert sum(len(x) // 4 for x in p["words"].to_pylist()) <= 1500 or len(p["anchor"].unique()) == 1
+        assert after is None or p["anchor"][-1] != after["anchor"][0]
+    found = lambda most: sorted(tuple(x.values()) for b in op9.merged(batches, 50, False, most) for x in b.to_pylist())
+    assert found(1500) == found(1 << 40) and len({c for _, c, *_ in found(1500)}) == len(many)
+    assert list(op9.whole_anchors([], 9)) == [] and list(op9.merged(own.slice(0, 0).to_batches(), 50, False)) == []
+
+
+def test_memory_of_a_merge():
+    """The largest anchor is merged at once: at most 100 bytes a word at any time."""
+    x = np.random.default_rng(6).integers(0, 1 << 32, (3000, 80), dtype=np.uint32)
+    x[::2, 10:70] = x[1::2, 12:72]
+    n = np.arange(len(x))
+    tracemalloc.start()
+    found = op9.repeats(list(x), n, n, n < 0, 50, shard_words=50_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(i, 10 + 2 * (i % 2), 11, i - i % 2) for i in range(len(x))]
+    assert most < 100 * x.size
+
+
 # --- 10
 
 def test_warc_round_trip(spark, tmp_path):
