@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from symloom.extract.lexer import Source
 
 
+#: Records that go with a symbol of their file, and where its name is.
+OWNERS = {"calls": "caller_qualified_name", "types": "owner_qualified_name"}
+
+
 @dataclass
 class Found:
     """Lists of rows as dicts, in the order in which they were met."""
@@ -42,6 +47,16 @@ class Found:
         self.types = [t for t in self.types if t["owner_qualified_name"] in own]
 
 
+def gathered(pieces: Iterable[Found]) -> Found:
+    """What the pieces of a file hold together."""
+    out = Found()
+    for x in pieces:
+        for kind, rows in vars(out).items():
+            rows += getattr(x, kind)
+    out.without_strangers()
+    return out
+
+
 def joined(module: str, parent: str | None, name: str, sep: str = "::") -> str:
     return sep.join(x for x in ((parent,) if parent else (module,)) if x) + (sep if parent or module else "") + name
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from symloom.extract.record import Found
 from symloom.sources.registry import EXTENSIONS
@@ -42,6 +42,15 @@ def extractor(language: str, more: dict[str, Extractor] | None = None) -> Extrac
     return None
 
 
+def pieces(language: str, body: str, module: str, more: dict[str, Extractor] | None = None) -> Iterator[Found]:
+    """What a file holds, piece by piece; what is found by an extractor that was registered is one piece."""
+    if more and language in more:
+        yield more[language](body, module)
+    elif language in _BUILT_IN:
+        at, name = _BUILT_IN[language]
+        yield from getattr(importlib.import_module(f"symloom.extract.langs.{at}"), "pieces" if name == "extract" else f"{name}_pieces")(body, module)
+
+
 def module_path(path: str, language: str, more: dict[str, Callable[[str], str]] | None = None) -> str:
     """The module that a path stands for; the row-wise twin of functions.paths.module_path."""
     if more and language in more:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+
 import pytest
 
-from symloom.extract.pipeline import extract_text
+from symloom.extract import lexer, registry
+from symloom.extract.langs import python
+from symloom.extract.pipeline import extract, extract_text, records, records_of
 from symloom.sources.registry import supported_languages
 
 
@@ -466,3 +470,63 @@ def test_anything_can_be_read(language):
     for odd in ["", "}}}}", "((((", "\x00\xff", "é" * 10, "'", '"', "/*", "`${", "class", "fn", "func (", "type", "import", "use a::{", "@", "#", "enum {"]:
         found(odd, language, "x.y")
     assert extract_text(b"\xff\xfe class A", language, "a.b") is not None
+
+
+def test_python_work_grows_with_the_file():
+    """Functions of Python called while a file is read: of twice the file about twice as many, though each of its functions has calls to be put in order."""
+
+    def work(n):
+        text, seen = b"".join(b"def f_%d(a: A) -> B:\n    return g(a).h()\n" % i for i in range(n)), 0
+
+        def count(frame, event, arg):
+            nonlocal seen
+            seen += event == "call"
+
+        sys.setprofile(count)
+        try:
+            found = extract_text(text, "python", "m.py")
+        finally:
+            sys.setprofile(None)
+        assert len(found.calls) == 2 * n and found.calls == sorted(found.calls, key=lambda r: (r["line"], r["col"]))
+        return seen
+
+    assert work(400) < 2.5 * work(200)
+
+
+#: For each language a file's extension, lines before the first item, and items of which some look across others.
+ITEMS = [
+    ("rust", "rs", "", "impl T_9 {\n    fn f(&self) { self.g(); }\n}\nuse a::b_#;\npub struct T_# {\n    x: A_#,\n}\nimpl S for T_# {\n    pub fn run(&self) -> B_# { go(1) }\n}\n"),
+    ("python", "py", "", '@d\nclass T_#(B):\n    """x\nclass Y:\n"""\n    def run(self, a: A_#) -> B:\n        return self.go(a)\nimport m_#\n'),
+    ("typescript", "ts", "", 'import { A } from "m_#";\nexport class T_# extends B {\n  run(a: A_#): B { return go(a); }\n}\nfunction f_#(a: A) { return `${g(a)}`; }\n'),
+    ("javascript", "js", "", "class T_# extends B {\n  run(a) { return this.go(a); }\n}\nimport 'm_#'\n"),
+    ("go", "go", "package p\n", 'import "m_#"\ntype T_# struct {\n\tB_#\n}\nfunc (t *T_#) Run(a A) error {\n\treturn t.go(a)\n}\n'),
+    ("java", "java", "package p.q;\n", "import m.N_#;\nclass T_# extends B<A_#> {\n    A run(int a) { return go(a); }\n}\n"),
+    ("csharp", "cs", "namespace N;\n", "using M_#;\nclass T_# : B {\n    public A_# Run(B b) { return Go(b); }\n}\n"),
+    ("dart", "dart", "library l;\n", "import 'm_#.dart';\nclass T_# extends B {\n  A_# run(B b) { return go(b); }\n}\n"),
+]
+
+
+@pytest.mark.parametrize("language, ext, head, item", ITEMS)
+def test_pieces_are_the_whole(monkeypatch, language, ext, head, item):
+    text, at = head + "".join(item.replace("#", str(i)) for i in range(12)), f"a/b.{ext}"
+    # what is open at the end, or named by what stands at the end, is found as in a file that is read as one
+    texts = [text, text.replace("}", "", 1), text + "}\n" + text, text + "\nclass Z {", text.removeprefix(head) + head, text.replace("(", "", 1)]
+    whole = [vars(extract_text(t.encode(), language, at)) for t in texts]
+    monkeypatch.setattr(lexer, "PIECE", 20)
+    monkeypatch.setattr(python, "PIECE", 100)
+    module = registry.module_path(at, language)
+    assert len(list(registry.pieces(language, text, module))) > 3
+    assert [vars(extract_text(t.encode(), language, at)) for t in texts] == whole
+    for kind in ("symbols", "refs", "calls", "imports", "types"):
+        for t, w in zip(texts, whole):
+            rows = [r for piece in records_of(t.encode(), language, at, kind) for r in piece]
+            assert sorted(map(str, rows)) == sorted(map(str, w[kind]))
+
+
+def test_records_of_a_kind(spark):
+    files = spark.createDataFrame([(f"a/b.{ext}", language, bytearray((head + item).replace("#", "1").encode())) for language, ext, head, item in ITEMS] + [("c.txt", "text", bytearray(b"x"))], "path string, language string, content binary")
+    every = extract(files.selectExpr("*", "content AS content_hash", "0 AS size_bytes", "0 AS modified_at"))
+    for kind in ("symbols", "refs", "calls", "imports", "types"):
+        got, wanted = records(files, kind), every.selectExpr("path", f"inline({kind})")
+        assert got.columns == wanted.columns and got.count() == wanted.count() > 0
+        assert got.exceptAll(wanted).isEmpty()
