@@ -52,13 +52,14 @@ def without_files(tables: dict[str, DataFrame], gone: DataFrame, compat_cascade:
 
 
 def pointing(rows: DataFrame, column: str, lost: DataFrame, drop: bool = False) -> DataFrame:
-    """rows whose pointer is among lost without the pointer, or without them."""
+    """rows whose pointer is among lost without the pointer, or without them. Rows that have none stay where they are: a join would send them all to one task."""
+    none, rows = rows.where(F.col(column).isNull()), rows.where(F.col(column).isNotNull())
     on = rows[column] == lost["_lost"]
     if drop:
-        return rows.join(lost, on, "left_anti")
+        return rows.join(lost, on, "left_anti").unionAll(none)
     names = rows.columns
     hit = rows.join(lost, on, "left")
-    return hit.select(*[F.when(F.col("_lost").isNull(), F.col(c)).alias(c) if c == column else F.col(c) for c in names])
+    return none.unionAll(hit.select(*[F.when(F.col("_lost").isNull(), F.col(c)).alias(c) if c == column else F.col(c) for c in names]))
 
 
 def upsert(tables: dict[str, DataFrame], batch: dict[str, DataFrame], gone: DataFrame, compat_cascade: bool = False) -> dict[str, DataFrame]:
