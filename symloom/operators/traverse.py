@@ -21,6 +21,8 @@ _SEQ = ["kind_rank", "row_id", "top_id"]
 ON_DRIVER = 20_000
 #: Nodes up to which a frontier goes into the scan's filter.
 IN_LIST = 1000
+#: Nodes up to which a frontier goes to every task rather than the edges to it.
+BROADCAST = 500_000
 
 
 @dataclass
@@ -104,7 +106,7 @@ def shortest_path(edges: DataFrame, symbols: DataFrame, start: int, goal: int, m
     """[(node, kind of the edge that leads to it)], None if either is unknown or no path leads there. Of shortest paths, the one that a breadth-first walk finds first.
 
     As long as the nodes met are few, their order is kept on the driver and a level is one job. Beyond on_driver nodes the search goes over tables in the shared
-    folder, whatever their size: the goal is looked for before a level is built, and levels keep their nodes' order so that ties fall as in one queue.
+    folder, whatever their size, from both ends.
     """
     known = {r.id for r in symbols.where(F.col("id").isin([start, goal])).select("id").distinct().collect()}
     if {start, goal} - known:
@@ -131,31 +133,64 @@ def shortest_path(edges: DataFrame, symbols: DataFrame, start: int, goal: int, m
 
 
 def _path_over_tables(edges: DataFrame, start: int, goal: int, most_hops: int | None) -> list[tuple[int, str | None]] | None:
+    """From both ends, always on from that with the smaller last level, so that a goal that little leads to costs little. What lies on some shortest path is
+    then put in order from the start: what leads to a node of these is one of them, so ties fall as they would among all nodes."""
     spark = edges.sparkSession
-    frontier = spark.createDataFrame([(start, 0)], "node bigint, pos bigint")
-    visited, levels, hops = frontier.select("node"), [frontier], 0
-    while most_hops is None or hops < most_hops:
-        hops += 1
-        e = edges.where(F.col("src") == start) if hops == 1 else edges
-        out = e.join(frontier.withColumnRenamed("node", "src"), "src")
-        hit = out.where(F.col("dst") == goal).orderBy("pos", *_SEQ).limit(1).collect()
-        if hit:
-            trail, node = [(goal, hit[0].kind)], hit[0].src
-            for level in reversed(levels[1:]):
-                r = level.where(F.col("node") == node).first()
-                trail.append((node, r.kind))
-                node = r.prev
-            return [(node, None), *reversed(trail)]
-        fresh = out.join(visited.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    one = lambda i: spark.createDataFrame([(i,)], "node bigint")
+    ahead, behind = [(one(start), 1)], [(one(goal), 1)]
+    while True:
+        if most_hops is not None and len(ahead) + len(behind) - 2 >= most_hops:
+            return None
+        side, other = (ahead, behind) if (ahead[-1][1], len(ahead)) <= (behind[-1][1], len(behind)) else (behind, ahead)
+        new = _neighbours(edges, *side[-1])
+        for level, _ in side[-2:]:  # edges go both ways, so neighbours lie no further back
+            new = new.join(level, "node", "left_anti")
+        new = stored(new, "level")
+        if not (n := new.count()):
+            return None
+        side.append((new, n))
+        met = stored(new.join(other[-1][0], "node", "left_semi"), "met")
+        if n := met.count():
+            break
+    on, at = {len(ahead) - 1: (met, n)}, len(ahead) - 1
+    hops = at + len(behind) - 1
+    for i, of in [*((i, at) for i in range(at - 1, 0, -1)), *((i, at) for i in range(at + 1, hops))]:
+        level = ahead[i][0] if i < at else behind[hops - i][0]
+        beside = stored(level.join(_neighbours(edges, *on[i + 1 if i < at else i - 1]), "node", "left_semi"), "on")
+        on[i] = (beside, beside.count())
+    on[0], on[hops] = ahead[0], behind[0]
+    frontier, n, levels = on[0][0].withColumn("pos", F.lit(0).cast("bigint")), 1, []
+    for i in range(1, hops + 1):
+        out = _leaving(edges, frontier.withColumnRenamed("node", "src"), n)
+        fresh = out.join(_small(on[i][0].withColumnRenamed("node", "dst"), on[i][1]), "dst", "left_semi")
         first = fresh.groupBy("dst").agg(F.min(F.struct("pos", *_SEQ, F.col("src").alias("prev"), "kind")).alias("at"))
         ranked = first.select(F.col("dst").alias("node"), F.col("at.prev").alias("prev"), F.col("at.kind").alias("kind"), F.col("at.pos").alias("p"), *[F.col(f"at.{c}").alias(c) for c in _SEQ])
         level = stored(dense_ids(ranked, ["p", *_SEQ, "node"], "pos", 0).select("node", "pos", "prev", "kind"), "level")
-        if level.isEmpty():
-            return None
         levels.append(level)
-        visited = visited.unionAll(level.select("node"))
-        frontier = level.select("node", "pos")
-    return None
+        frontier, n = level.select("node", "pos"), on[i][1]
+    trail, node = [], goal
+    for level in reversed(levels):
+        r = level.where(F.col("node") == node).first()
+        trail.append((node, r.kind))
+        node = r.prev
+    return [(node, None), *reversed(trail)]
+
+
+def _small(table: DataFrame, n: int) -> DataFrame:
+    """A table of n rows of a few numbers, sent to every task where it is small."""
+    return F.broadcast(table) if n <= BROADCAST else table
+
+
+def _leaving(edges: DataFrame, frontier: DataFrame, n: int) -> DataFrame:
+    """Edges from the n nodes of a frontier (src, ...)."""
+    near = edges
+    if n <= IN_LIST:
+        near = edges.where(F.col("src").isin([r.src for r in frontier.select("src").collect()]))
+    return near.join(_small(frontier, n), "src")
+
+
+def _neighbours(edges: DataFrame, frontier: DataFrame, n: int) -> DataFrame:
+    return _leaving(edges.select("src", "dst"), frontier.withColumnRenamed("node", "src"), n).select(F.col("dst").alias("node")).distinct()
 
 
 def distances(edges: DataFrame, start: int, most_hops: int) -> DataFrame:
@@ -163,9 +198,9 @@ def distances(edges: DataFrame, start: int, most_hops: int) -> DataFrame:
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(start,)], "node bigint")
     out = frontier.withColumn("distance", F.lit(0))
-    pairs = edges.select("src", "dst")
+    n = 1
     for hop in range(1, most_hops + 1):
-        nxt = pairs.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = stored(nxt.join(out.select("node"), "node", "left_anti"), "hop")
+        frontier = stored(_neighbours(edges, frontier, n).join(out.select("node"), "node", "left_anti"), "hop")
+        n = frontier.count()
         out = out.unionAll(frontier.withColumn("distance", F.lit(hop)))
     return out

@@ -318,3 +318,41 @@ def test_many_texts_are_looked_up_as_few_are(spark):
     rows = [sorted(map(tuple, lookup._within(symbols, asked, n).collect())) for n in (100, 2)]
     want = sorted((t, 2 if q.endswith(("::" + t, "." + t)) else 3, i) for t in texts for i, q, _ in names if t in q)
     assert rows[0] == rows[1] == want and len(want) > 60
+
+
+def test_rows_without_a_pointer_stay_where_they_are(spark):
+    """They have no key, and a join by it would bring all of them to one task."""
+    rows = spark.range(0, 4000, 1, 4).selectExpr("id", "if(id % 2 = 0, NULL, id) AS symbol_id")
+    lost = spark.range(1, 100).selectExpr("id AS _lost")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for drop, n in ((False, 2050), (True, 2000)):
+            left = diff.pointing(rows, "symbol_id", lost, drop)
+            assert left.count() == (3950 if drop else 4000) and left.where("symbol_id IS NULL").count() == n
+            most = left.where("symbol_id IS NULL AND id % 2 = 0").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+            assert most <= 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_goal_that_nothing_leads_to_is_looked_at_from_its_end(spark, monkeypatch):
+    """A search over tables goes on from the end where there is less: none of a long chain's levels is made for a goal beside it."""
+    pairs = [(i, i + 1) for i in range(1, 12)] + [(20, 21)]
+    e = spark.createDataFrame([(x, y, "call", 1, i, 0) for i, (a, b) in enumerate(pairs) for x, y in ((a, b), (b, a))], "src bigint, dst bigint, kind string, kind_rank int, row_id bigint, top_id bigint")
+    s = symbols(spark, *[(i, 1, f"f{i}") for i in [*range(1, 13), 20, 21, 30]])
+    made = []
+    monkeypatch.setattr(traverse, "stored", lambda df, tag, f=traverse.stored: made.append(tag) or f(df, tag))
+    assert traverse.shortest_path(e, s, 1, 30, on_driver=0) is None and len(made) <= 4
+    made.clear()
+    assert traverse.shortest_path(e, s, 1, 20, on_driver=0) is None and len(made) <= 12
+    assert [n for n, _ in traverse.shortest_path(e, s, 1, 7, on_driver=0)] == [1, 2, 3, 4, 5, 6, 7]
+    assert traverse.shortest_path(e, s, 1, 7, most_hops=5, on_driver=0) is None and len(traverse.shortest_path(e, s, 1, 7, most_hops=6, on_driver=0)) == 7
+
+
+def test_small_frontiers_go_to_the_edges(spark):
+    """Edges are not moved for a frontier that can be sent to them, which is what keeps a hop's cost from growing with all edges."""
+    e = spark.range(100_000).selectExpr("id AS src", "id + 1 AS dst", "'call' AS kind", "1 AS kind_rank", "id AS row_id", "0L AS top_id")
+    plan = traverse._neighbours(e, spark.range(2000).toDF("node"), 2000)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r.node: r.distance for r in traverse.distances(e, 5, 3).collect()} == {5: 0, 6: 1, 7: 2, 8: 3}
