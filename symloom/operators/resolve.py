@@ -5,6 +5,7 @@ Lookup tables are grouped down to one row a key first, so a hot name on the look
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -51,7 +52,15 @@ def phase_local(rows: DataFrame, symbols: DataFrame | Names, raw: str, into: str
 
 
 def _both(rows: DataFrame, symbols: DataFrame | Names, raw: str, into: str) -> DataFrame:
-    return phase_local(phase_qualified(rows, symbols, raw, into), symbols, raw, into)
+    return _open(rows, into, lambda r: phase_local(phase_qualified(r, symbols, raw, into), symbols, raw, into))
+
+
+def _open(rows: DataFrame, into: str, look_up: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What look_up makes of the rows that have no symbol yet; others take no part in it, in whatever number they are."""
+    if into not in rows.columns:
+        return look_up(rows)
+    found = look_up(rows.where(F.col(into).isNull()))
+    return found.unionByName(rows.where(F.col(into).isNotNull()))
 
 
 def calls(rows: DataFrame, symbols: DataFrame | Names) -> DataFrame:
@@ -68,12 +77,18 @@ def refs(rows: DataFrame, symbols: DataFrame | Names) -> DataFrame:
 
 def imports(rows: DataFrame, symbols: DataFrame | Names) -> DataFrame:
     """Symbol and file of an import, both from the same lowest-id symbol with that qualified name."""
+    known = "resolved_symbol_id" in rows.columns
     for c in ("resolved_symbol_id", "resolved_file_id"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("bigint"))
     look = symbols.qualified if isinstance(symbols, Names) else by_qualified_name(symbols)
-    open_ = rows["resolved_symbol_id"].isNull()
-    joined = rows.join(look, (rows["raw_path"] == look["key"]) & open_, "left")
+    if known:
+        return _open(rows, "resolved_symbol_id", lambda r: _imported(r, look))
+    return _imported(rows, look)
+
+
+def _imported(rows: DataFrame, look: DataFrame) -> DataFrame:
+    joined = rows.join(look, rows["raw_path"] == look["key"], "left")
     return joined.withColumn("resolved_file_id", F.when(F.col("found_id").isNotNull(), F.col("found_file")).otherwise(F.col("resolved_file_id"))).withColumn("resolved_symbol_id", F.coalesce("resolved_symbol_id", "found_id")).drop("key", "found_id", "found_file")
 
 
