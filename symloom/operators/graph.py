@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 KINDS = ["parent", "call", "type", "import"]
 
 
-def directed(symbols: DataFrame, calls: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
-    """Rows (a, b, kind, kind_rank, row_id, top_id): one for each resolved row, in its own direction; an import leaves from every top symbol of its file."""
+def directed(symbols: DataFrame, calls: DataFrame, types: DataFrame, imports: DataFrame, of_imports: DataFrame | None = None) -> DataFrame:
+    """Rows (a, b, kind, kind_rank, row_id, top_id): one for each resolved row, in its own direction; an import leaves from every top symbol of its file.
+
+    of_imports: import_edges(symbols, imports) where that is stored.
+    """
     none = F.lit(0).cast("bigint")
 
     def part(df: DataFrame, a: str, b: str, rank: int, row: str = "id", top=none) -> DataFrame:
         return df.where(F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(KINDS[rank]).alias("kind"), F.lit(rank).alias("kind_rank"), F.col(row).alias("row_id"), top.alias("top_id"))
 
-    return part(symbols, "id", "parent_symbol_id", 0).unionAll(part(calls, "caller_symbol_id", "callee_symbol_id", 1)).unionAll(part(types, "symbol_id", "target_symbol_id", 2)).unionAll(part(import_edges(symbols, imports), "top", "resolved_symbol_id", 3, top=F.col("top")))
+    return part(symbols, "id", "parent_symbol_id", 0).unionAll(part(calls, "caller_symbol_id", "callee_symbol_id", 1)).unionAll(part(types, "symbol_id", "target_symbol_id", 2)).unionAll(part(import_edges(symbols, imports) if of_imports is None else of_imports, "top", "resolved_symbol_id", 3, top=F.col("top")))
 
 
 def import_edges(symbols: DataFrame, imports: DataFrame) -> DataFrame:
@@ -30,6 +33,12 @@ def edges(symbols: DataFrame, calls: DataFrame, types: DataFrame, imports: DataF
     return directed(symbols, calls, types, imports).select(both.alias("e"), "kind", "kind_rank", "row_id", "top_id").select("e.src", "e.dst", "kind", "kind_rank", "row_id", "top_id")
 
 
+def both_ways(directed_rows: DataFrame) -> DataFrame:
+    """As edges, of stored directed rows: they are read twice, so that a filter on src reaches what is read."""
+    rest = ["kind", "kind_rank", "row_id", "top_id"]
+    return directed_rows.select(F.col("a").alias("src"), F.col("b").alias("dst"), *rest).unionAll(directed_rows.select(F.col("b").alias("src"), F.col("a").alias("dst"), *rest))
+
+
 def decorated(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Symbols with the path and language of their file."""
     return symbols.join(files.select("file_id", "path", "language"), "file_id")

@@ -50,7 +50,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: what comes after doesn't depend on any executor's memory."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

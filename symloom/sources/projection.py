@@ -6,9 +6,12 @@ and there by row_number().
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from symloom.operators import graph, resolve
 from symloom.operators.ids import dense_ids
@@ -76,14 +79,12 @@ class Projection:
         return self.spark.sql(text, **used, **more)
 
     def _table(self, name: str) -> DataFrame:
-        df = self._sql(SQL[name])
-        if name in ORDER:
-            df = dense_ids(df, ORDER[name]).select(*COLUMNS[name])
-        return df
+        return self._sql(SQL[name])
 
-    def _written(self, df: DataFrame, name: str, *sort: str) -> DataFrame:
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
-        (df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+        with co_partitioned(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.parquet(path)
 
     @cached_property
@@ -92,15 +93,29 @@ class Projection:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return self._written(self._table("symbols"), "symbols", "id")
+        return self._written(self._table("symbols"), "symbols")
 
     @cached_property
     def calls(self) -> DataFrame:
-        return self._written(self._table("calls"), "calls")
+        """As SQL["calls"] says, by the narrowest way: of a line item goes along what its row is made of, which leaves no more to be ordered by than that,
+        and orders come to their line items in the ranges in which these are numbered."""
+        part = self.source("part").select(F.col("p_partkey").alias("l_partkey"), F.expr(_PART_QNAME).alias("qname"), F.expr(_PART_NAME).alias("pname"))
+        named = F.when(F.col("l_linenumber") % 3 == 0, F.col("qname")).when(F.col("l_linenumber") % 3 != 1, F.col("pname")).when(F.col("l_linenumber").isNull(), F.col("pname"))
+        lines = self.source("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", named.alias("callee"))
+        made = self.source("orders").join(self.source("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), "c_nationkey", "c_name")
+        every = met_in_ranges(lines, made, "l_orderkey").withColumn("callee", F.when(F.col("l_linenumber") % 3 == 1, F.col("c_name")).otherwise(F.col("callee")))
+        numbered = dense_ids(every, ["l_orderkey", F.asc_nulls_last("l_linenumber"), "l_partkey", "callee", "c_nationkey"], ranged=True)
+        return numbered.select("id", F.expr("1000000000 + l_orderkey AS caller_symbol_id"), F.col("callee").alias("callee_raw_name"), F.expr("CAST(c_nationkey + 1 AS BIGINT) AS file_id"), F.expr("CAST(l_linenumber AS INT) AS line"), F.expr("CAST(l_partkey % 80 AS INT) AS col"))
 
     @cached_property
     def types(self) -> DataFrame:
-        return self._written(self._table("types"), "types")
+        """As SQL["types"] says; what is distinct is found before names are put to it."""
+        supplier = self.source("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.expr("concat('supply::', s_name)").alias("target")).distinct()
+        part = self.source("part").select(F.col("p_partkey").alias("l_partkey"), F.expr(f"CAST(1000 + {_BRAND} AS BIGINT)").alias("file_id")).distinct()
+        pairs = self.source("lineitem").select("l_partkey", "l_suppkey").repartition("l_suppkey").distinct()
+        every = met_in_ranges(pairs.join(supplier, "l_suppkey"), part, "l_partkey")
+        numbered = dense_ids(every, ["l_partkey", "l_suppkey", "target", "file_id"], ranged=True)
+        return numbered.select("id", F.expr("3000000000 + l_partkey AS symbol_id"), F.lit("implements").alias("relation"), F.col("target").alias("target_raw_name"), "file_id", F.expr("CAST(l_partkey * 10 + 1 AS INT) AS line"))
 
     @cached_property
     def imports(self) -> DataFrame:
@@ -112,11 +127,11 @@ class Projection:
 
     @cached_property
     def names(self) -> resolve.Names:
-        return resolve.Names(self._written(resolve.by_qualified_name(self.symbols), "qnames"), self._written(resolve.by_local_name(self.symbols), "lnames"))
+        return resolve.Names(resolve.by_qualified_name(self.symbols), resolve.by_local_name(self.symbols.repartition("name")))
 
     @cached_property
     def resolved_calls(self) -> DataFrame:
-        return self._written(resolve.calls(self.calls, self.names), "rcalls", "callee_symbol_id")
+        return self._written(resolve.calls(self.calls, self.names), "rcalls")
 
     @cached_property
     def resolved_types(self) -> DataFrame:
@@ -124,16 +139,20 @@ class Projection:
 
     @cached_property
     def resolved_refs(self) -> DataFrame:
-        return self._written(resolve.refs(self.refs, self.names), "rrefs", "symbol_id")
+        return self._written(resolve.refs(self.refs, self.names), "rrefs")
 
     @cached_property
     def resolved_imports(self) -> DataFrame:
         return self._written(resolve.imports(self.imports, self.names), "rimports")
 
+    @cached_property
+    def import_edges(self) -> DataFrame:
+        return self._written(graph.import_edges(self.symbols, self.resolved_imports), "iedges")
+
     @cached_property
     def edges(self) -> DataFrame:
-        e = graph.edges(self.symbols, self.resolved_calls, self.resolved_types, self.resolved_imports)
-        return self._written(e, "edges", "src", "kind_rank", "row_id", "top_id", "dst")
+        """A view of the stored tables: a question or two of them costs less than writing every edge twice in order."""
+        return graph.both_ways(graph.directed(self.symbols, self.resolved_calls, self.resolved_types, self.resolved_imports, self.import_edges))
 
     def new_files(self) -> DataFrame:
         return self._sql(NEW_FILES_SPARK)
@@ -142,6 +161,28 @@ class Projection:
         return self._sql(SQL["old_files"], new_files=self.new_files())
 
 
+def met_in_ranges(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The inner join of two tables by a key, left in ranges of the key: both go there once, and rows can be numbered in its order as they lie."""
+    mine, theirs = [c for c in rows.columns if c != key], [c for c in others.columns if c != key]
+    one = rows.select(key, F.struct(*mine).alias("_row"), F.lit(None).alias("_other"))
+    two = others.select(key, F.lit(None).alias("_row"), F.struct(*theirs).alias("_other"))
+    both = one.unionAll(two).where(F.col(key).isNotNull()).repartitionByRange(key)
+    met = both.withColumn("_others", F.collect_list("_other").over(Window.partitionBy(key))).where("_row IS NOT NULL")
+    return met.select(key, "_row", F.explode("_others").alias("_other")).select(key, "_row.*", "_other.*")
+
+
+@contextmanager
+def co_partitioned(spark: SparkSession) -> Iterator[None]:
+    """Within, a join by name and file takes rows as they lie after a join by name, rather than sending all of them once more."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _known: dict[tuple[str, str], Projection] = {}
 
 
