@@ -10,6 +10,8 @@ from symloom.operators.graph import enclosing, top_by
 from symloom.operators.ids import dense_ids
 
 CALLERS, IMPORTS, HARD_LIMIT, BYTES_PER_TOKEN = 3, 16, 10_000, 4
+#: Neighbours from which on those of one symbol are more than one task's.
+HOT = 2_000_000
 
 
 def with_counts(rows: DataFrame, calls: DataFrame) -> DataFrame:
@@ -36,19 +38,47 @@ def first_callers(calls: DataFrame, most: int = CALLERS) -> DataFrame:
     return top_by(pairs, ["callee_symbol_id"], ["caller_symbol_id"], most)
 
 
-def neighbourhood(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+def neighbourhood(edges: DataFrame, symbols: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Rows (id, bucket, position, neighbor_id): one-hop neighbours, once for each kind, in order of qualified names.
 
-    Buckets are parents, children, callees, types and imports. Calls go to callees in either direction, since edges have none. Neighbours are put in
-    order by ranges, so those of a symbol that everything uses are no single task's.
+    Buckets are parents, children, callees, types and imports. Calls go to callees in either direction, since edges have none. places: rows (id, place) of
+    every symbol in order of qualified name and id, which are narrower than names where all symbols are asked for. Neighbours of a symbol that
+    everything uses are put in order by ranges, so they are no single task's; others in one window.
     """
-    names = symbols.select(F.col("id"), F.col("qualified_name"))
-    e = edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbor_id"), "kind").distinct()
-    both = e.join(names.withColumnRenamed("qualified_name", "own"), "id").join(names.select(F.col("id").alias("neighbor_id"), F.col("qualified_name").alias("other")), "neighbor_id")
-    bucket = F.when(F.col("kind") == "parent", F.when(strictly_inside(F.col("own"), F.col("other")), "children").otherwise("parents")).when(F.col("kind") == "call", "callees").when(F.col("kind") == "type", "types").otherwise("imports")
-    at = dense_ids(both.select("id", bucket.alias("bucket"), "other", "neighbor_id"), ["id", "bucket", "other", "neighbor_id"], "at")
-    first = at.groupBy("id", "bucket").agg(F.min("at").alias("first"))
-    return at.join(first, ["id", "bucket"]).select("id", "bucket", (F.col("at") - F.col("first")).alias("position"), "neighbor_id")
+    names = symbols.select("id", "qualified_name")
+    names = names.withColumn("place", F.col("qualified_name")) if places is None else names.join(places, "id")
+    e = edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbor_id"), "kind_rank")
+    named = lambda rows, key, *more: rows.join(names.select(F.col("id").alias(key), *more), key)
+    up = named(named(e.where("kind_rank = 0"), "id", F.col("qualified_name").alias("own")), "neighbor_id", F.col("qualified_name").alias("other"), "place")
+    up = up.select("id", "neighbor_id", F.when(strictly_inside(F.col("own"), F.col("other")), 0).otherwise(1).alias("b"), "place")
+    rest = named(e.where("kind_rank > 0"), "neighbor_id", "place").select("id", "neighbor_id", (F.col("kind_rank") + 1).alias("b"), "place")
+    both = up.unionAll(rest)
+    if hot := _hot(e):
+        apart = F.col("id").isin(hot)
+        found = _by_window(both.where(~apart)).unionAll(_by_ranges(both.where(apart)))
+    else:
+        found = _by_window(both)
+    bucket = F.element_at(F.array(*map(F.lit, ["children", "parents", "callees", "types", "imports"])), F.col("b") + 1)
+    return found.select("id", bucket.alias("bucket"), "position", "neighbor_id")
+
+
+def _hot(e: DataFrame) -> list[int]:
+    """Symbols with some HOT neighbours or more, by every 64th pair; which they are says only how their neighbours are put in order."""
+    some = e.where(F.xxhash64("id", "neighbor_id") % 64 == 0)
+    return [r.id for r in some.groupBy("id").count().where(F.col("count") >= HOT // 64).collect()]
+
+
+def _by_window(rows: DataFrame) -> DataFrame:
+    """Rows (id, b, place, neighbor_id) once each, with their position in each (id, b)."""
+    w = Window.partitionBy("id", "b").orderBy("place", "neighbor_id")
+    at = rows.withColumns({"position": F.dense_rank().over(w).cast("bigint") - 1, "_again": F.lag("neighbor_id").over(w) == F.col("neighbor_id")})
+    return at.where("_again IS NULL OR NOT _again").select("id", "b", "position", "neighbor_id")
+
+
+def _by_ranges(rows: DataFrame) -> DataFrame:
+    at = dense_ids(rows.distinct(), ["id", "b", "place", "neighbor_id"], "at")
+    first = at.groupBy("id", "b").agg(F.min("at").alias("first"))
+    return at.join(first, ["id", "b"]).select("id", "b", (F.col("at") - F.col("first")).alias("position"), "neighbor_id")
 
 
 def directed_calls(calls: DataFrame) -> DataFrame:

@@ -95,6 +95,11 @@ class Projection:
     def symbols(self) -> DataFrame:
         return self._written(self._table("symbols"), "symbols")
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """Each symbol's place in order of qualified name and id."""
+        return dense_ids(self.symbols.select("id", "qualified_name"), ["qualified_name", "id"], "place", keep=["id"]).select("id", "place")
+
     @cached_property
     def calls(self) -> DataFrame:
         """As SQL["calls"] says, by the narrowest way: of a line item goes along what its row is made of, which leaves no more to be ordered by than that,

@@ -356,3 +356,26 @@ def test_small_frontiers_go_to_the_edges(spark):
     plan = traverse._neighbours(e, spark.range(2000).toDF("node"), 2000)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert {r.node: r.distance for r in traverse.distances(e, 5, 3).collect()} == {5: 0, 6: 1, 7: 2, 8: 3}
+
+
+def test_neighbours_of_the_hot_and_of_others(spark, monkeypatch):
+    """Neighbours come in order of names whether by a window or by ranges, with places of names or without; those of few take no range exchange and no table."""
+    n = 300
+    s = symbols(spark, (1, 1, "m"), *[(i, 1, f"m::f{i * 7 % n}", 1) for i in range(2, n)])
+    c = resolve.calls(calls(spark, *[(i, "m", 1, i, 0) for i in range(2, n, 2)], *[(i, "m", 1, i, 1) for i in range(2, n, 4)], *[(2, f"m::f{i}", 1, 5, 0) for i in range(9)]), s)
+    e = graph.edges(s, c, spark.createDataFrame([], "id bigint, symbol_id bigint, target_symbol_id bigint"), spark.createDataFrame([], "id bigint, file_id bigint, resolved_symbol_id bigint"))
+    places = dense_ids(s.select("id", "qualified_name"), ["qualified_name", "id"], "place").select("id", "place")
+    answer = lambda *more: sorted(map(tuple, verbs.neighbourhood(e, s, *more).select("id", "bucket", "position", "neighbor_id").collect()))
+    names = {r.id: r.qualified_name for r in s.collect()}
+    kinds = defaultdict(set)
+    for r in e.collect():
+        inside = names[r.dst].startswith(names[r.src] + "::")
+        kinds[r.src, "callees" if r.kind == "call" else "children" if inside else "parents"].add(r.dst)
+    wanted = sorted((i, b, k, x) for (i, b), near in kinds.items() for k, x in enumerate(sorted(near, key=lambda x: (names[x], x))))
+    made = []
+    monkeypatch.setattr(verbs, "dense_ids", lambda *a, f=verbs.dense_ids, **k: made.append(1) or f(*a, **k))
+    assert answer() == wanted and answer(places) == wanted and not made
+    monkeypatch.setattr(verbs, "HOT", 50_000)
+    assert verbs._hot(spark.range(120_000).selectExpr("if(id % 2 = 0, 7, id) AS id", "id AS neighbor_id")) == [7]
+    monkeypatch.setattr(verbs, "_hot", lambda e: [1])
+    assert answer() == wanted and answer(places) == wanted and made
