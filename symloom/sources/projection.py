@@ -109,7 +109,9 @@ class Projection:
         lines = self.source("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", named.alias("callee"))
         made = self.source("orders").join(self.source("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), "c_nationkey", "c_name")
         every = met_in_ranges(lines, made, "l_orderkey").withColumn("callee", F.when(F.col("l_linenumber") % 3 == 1, F.col("c_name")).otherwise(F.col("callee")))
-        numbered = dense_ids(every, ["l_orderkey", F.asc_nulls_last("l_linenumber"), "l_partkey", "callee", "c_nationkey"], ranged=True)
+        kept = ["l_orderkey", "l_linenumber", "l_partkey", "callee", "c_nationkey"]
+        with co_partitioned(self.spark):
+            numbered = dense_ids(every, ["l_orderkey", F.asc_nulls_last("l_linenumber"), "l_partkey", "callee", "c_nationkey"], ranged=True, keep=kept)
         return numbered.select("id", F.expr("1000000000 + l_orderkey AS caller_symbol_id"), F.col("callee").alias("callee_raw_name"), F.expr("CAST(c_nationkey + 1 AS BIGINT) AS file_id"), F.expr("CAST(l_linenumber AS INT) AS line"), F.expr("CAST(l_partkey % 80 AS INT) AS col"))
 
     @cached_property
@@ -119,7 +121,8 @@ class Projection:
         part = self.source("part").select(F.col("p_partkey").alias("l_partkey"), F.expr(f"CAST(1000 + {_BRAND} AS BIGINT)").alias("file_id")).distinct()
         pairs = self.source("lineitem").select("l_partkey", "l_suppkey").repartition("l_suppkey").distinct()
         every = met_in_ranges(pairs.join(supplier, "l_suppkey"), part, "l_partkey")
-        numbered = dense_ids(every, ["l_partkey", "l_suppkey", "target", "file_id"], ranged=True)
+        with co_partitioned(self.spark):
+            numbered = dense_ids(every, ["l_partkey", "l_suppkey", "target", "file_id"], ranged=True)
         return numbered.select("id", F.expr("3000000000 + l_partkey AS symbol_id"), F.lit("implements").alias("relation"), F.col("target").alias("target_raw_name"), "file_id", F.expr("CAST(l_partkey * 10 + 1 AS INT) AS line"))
 
     @cached_property
@@ -176,16 +179,21 @@ def met_in_ranges(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     return met.select(key, "_row", F.explode("_others").alias("_other")).select(key, "_row.*", "_other.*")
 
 
+#: While tables of the index are written: a join by name and file takes rows as they lie after a join by name, rather than sending all of them once more;
+#: and a task takes fewer of these narrow rows, which are many times as large in memory as they are when sent.
+_WRITING = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
+
+
 @contextmanager
 def co_partitioned(spark: SparkSession) -> Iterator[None]:
-    """Within, a join by name and file takes rows as they lie after a join by name, rather than sending all of them once more."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 _known: dict[tuple[str, str], Projection] = {}
