@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of a question that are compiled into the scan of names.
+SPELLED_OUT = 64
 #: Question words that say nothing about a symbol.
 STOPWORDS = sorted(
     "all and any are but can could does find for from get had has have how into let not set should show tell that the this use used uses was were what where which will with would you".split()
@@ -23,11 +27,12 @@ def tokens(question: Column, stopwords: list[str] = STOPWORDS) -> Column:
     return F.array_distinct(F.filter(trimmed, lambda t: (F.octet_length(t) >= 3) & ~t.isin(stopwords)))
 
 
-def name_score(name: Column, qualified: Column, words: Column) -> Column:
-    """100 a word that is the name, 30 a word in it, 10 more a word in the qualified name."""
-    n, q = ascii_lower(name), ascii_lower(qualified)
-    one = lambda t: F.when(n == t, 100).when(F.contains(n, t), 30).otherwise(0) + F.when(F.contains(q, t), 10).otherwise(0)
-    return F.aggregate(words, F.lit(0), lambda acc, t: acc + one(t))
+def name_score(name: Column, qualified: Column, words: list[str]) -> Column:
+    """100 a word that is the name, 30 a word in it, 10 more a word in the qualified name; name and qualified as ascii_lower has them."""
+    one = lambda t: F.when(name == t, 100).when(F.contains(name, t), 30).otherwise(0) + F.when(F.contains(qualified, t), 10).otherwise(0)
+    if len(words) <= SPELLED_OUT:  # compiled into the scan
+        return functools.reduce(lambda a, b: a + b, [one(F.lit(t)) for t in words], F.lit(0))
+    return F.aggregate(F.array(*map(F.lit, words)), F.lit(0), lambda acc, t: acc + one(t))
 
 
 def lines(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.functions.text import name_score, tokens
+from symloom.functions.text import ascii_lower, name_score, tokens
 from symloom.operators.graph import decorated
 from symloom.shared import stored
 
@@ -35,8 +35,9 @@ def question_tokens(questions: DataFrame, column: str) -> DataFrame:
 
 def scored(symbols: DataFrame, question: str) -> DataFrame:
     """Symbols with a score above 0 for the question; one scan, no join."""
-    score = name_score(F.col("name"), F.col("qualified_name"), tokens(F.lit(question)))
-    return symbols.withColumn("score", score).where("score > 0")
+    words = symbols.sparkSession.range(1).select(tokens(F.lit(question)).alias("t")).first().t  # once, not once a symbol
+    lower = symbols.withColumns({"_name": ascii_lower(F.col("name")), "_qualified": ascii_lower(F.col("qualified_name"))})
+    return lower.withColumn("score", name_score(F.col("_name"), F.col("_qualified"), words)).where("score > 0").drop("_name", "_qualified")
 
 
 def seeds(symbols: DataFrame, question: str, most: int = MAX_SEEDS) -> DataFrame:

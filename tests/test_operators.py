@@ -379,3 +379,15 @@ def test_neighbours_of_the_hot_and_of_others(spark, monkeypatch):
     assert verbs._hot(spark.range(120_000).selectExpr("if(id % 2 = 0, 7, id) AS id", "id AS neighbor_id")) == [7]
     monkeypatch.setattr(verbs, "_hot", lambda e: [1])
     assert answer() == wanted and answer(places) == wanted and made
+
+
+def test_words_of_a_question_are_found_once(spark, monkeypatch):
+    """They are no part of what is computed for each symbol, and many of them score as few do."""
+    s = symbols(spark, *[(i, 1, f"m::order_{i}") for i in range(1, 30)])
+    asked = "Where is order_12, or Order_1?"
+    plan = lookup.scored(s, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "split(" not in plan
+    few = sorted(map(tuple, lookup.seeds(s, asked).collect()))
+    monkeypatch.setattr(text, "SPELLED_OUT", 1)
+    assert sorted(map(tuple, lookup.seeds(s, asked).collect())) == few and few[0][1:] == (12, 150)
+    assert lookup.seeds(s, "of a").count() == 0
